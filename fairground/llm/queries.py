@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .common import read
 from .exact_dedup import exact_dedup
+from .labels import HELD_OUT, fold
 from .line_dedup import line_dedup
+from .media import illustrated, media_features, media_store, resolved_references, sequences
 from .packing import pack, word_count
+from .quality import fit_quality, with_quality
 from .sharding import shuffle_into_shards
 from .simhash import simhash_dedup
+from .tokenfile import token_table
+from .toxicity import fit_toxicity, with_toxicity
+
+#: A document passes for good from this quality on, and for toxic from this toxicity on.
+GOOD, TOXIC = 0.7, 0.3
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +41,37 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, "n_tokens")
 
 
+def scored(docs: DataFrame, threshold: float) -> DataFrame:
+    return docs.select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, read(spark, sf_dir, "labels"))
+    return scored(with_quality(docs, model), GOOD)
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    features = media_features(media_store(docs))
+    shown = resolved_references(sequences(illustrated(docs)), features)
+    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    return scored(with_toxicity(docs, model), TOXIC)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(read(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), keep="max")
 
@@ -40,7 +80,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_packing, op9_exact_dedup, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_packing, op4_quality, op5_media, op6_bpe, op7_toxicity, op8_token_files, op9_exact_dedup, op10_simhash)}
 
 ORACLE: dict[str, str] = {
     "op1_line_dedup": """
