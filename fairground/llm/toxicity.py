@@ -14,7 +14,7 @@ from .common import bounded_batches
 from .labels import training_rows, with_score
 
 #: Labelled rows that a model is fitted on at most, n-gram lengths, bits of a feature's number.
-MOST_ROWS, SHORTEST, LONGEST, BITS = 6_000, 3, 5, 20
+MOST_ROWS, SHORTEST, LONGEST, BITS = 3_000, 3, 5, 20
 SMOOTH, RIDGE, STEPS = 1.0, 1e-2, 40
 #: Characters hashed at once.
 AT_ONCE = 1 << 20
@@ -101,30 +101,52 @@ def minimize(value, start: np.ndarray, steps: int, memory: int = 8) -> np.ndarra
 
 
 def fit_rows(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, smooth: float = SMOOTH, ridge: float = RIDGE, steps: int = STEPS) -> ToxicityModel:
-    """rows: distinct feature numbers of each text."""
+    """rows: distinct feature numbers of each text; the list is emptied on the way."""
     size = 1 << BITS
     share = float((weight * y).sum() / weight.sum()) if len(y) else 0.5
     if not 0 < share < 1:
         return ToxicityModel(np.zeros(size, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    in_texts = np.bincount(flat, minlength=size)
+    in_texts = np.zeros(size, np.int32)
+    for r in rows:
+        in_texts[r] += 1
     used = np.flatnonzero(in_texts >= 2)
-    number = np.full(size, -1, np.int64)
-    number[used] = np.arange(len(used))
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    keep = number[flat] >= 0
-    flat, owner = number[flat][keep], owner[keep]
-    hits = np.bincount(flat, weights=(weight * y)[owner], minlength=len(used)) + smooth
-    misses = np.bincount(flat, weights=(weight * (1 - y))[owner], minlength=len(used)) + smooth
+    number = np.full(size, -1, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    # Only features of two texts or more stay, as 32-bit numbers: a few bytes for each of them and text.
+    for i, r in enumerate(rows):
+        rows[i] = number[r][number[r] >= 0]
+    ends = np.cumsum([len(r) for r in rows])
+    flat = np.concatenate(rows)
+    rows.clear()
+    n = len(ends)
+
+    def by_feature(of_text: np.ndarray) -> np.ndarray:
+        """The sum of a number of each text over the texts that have each feature, a few texts at a time."""
+        out = np.zeros(len(used))
+        for a in range(0, n, 256):
+            cut = slice(int(ends[a - 1]) if a else 0, int(ends[min(n, a + 256) - 1]))
+            sizes = np.diff(ends[a : a + 256], prepend=cut.start)
+            out += np.bincount(flat[cut], weights=np.repeat(of_text[a : a + 256], sizes), minlength=len(used))
+        return out
+
+    def by_text(of_feature: np.ndarray) -> np.ndarray:
+        """The sum of a number of each feature over the features that each text has."""
+        sums = np.zeros(n)
+        for a in range(0, n, 256):
+            start, stop = int(ends[a - 1]) if a else 0, int(ends[min(n, a + 256) - 1])
+            total = np.concatenate([[0.0], np.cumsum(of_feature[flat[start:stop]])])
+            at = np.concatenate([[0], ends[a : a + 256] - start])
+            sums[a : a + 256] = total[at[1:]] - total[at[:-1]]
+        return sums
+
+    hits, misses = by_feature(weight * y) + smooth, by_feature(weight * (1 - y)) + smooth
     ratio = np.log(hits / hits.sum()) - np.log(misses / misses.sum())
-    scaled = ratio[flat]
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
-        z = x[-1] + np.bincount(owner, weights=scaled * x[:-1][flat], minlength=len(rows))
+        z = x[-1] + by_text(ratio * x[:-1])
         loss = (weight * (np.logaddexp(0, z) - y * z)).sum() / weight.sum()
         off = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / weight.sum()
-        slope = np.append(np.bincount(flat, weights=scaled * off[owner], minlength=len(used)) + ridge * x[:-1], off.sum())
+        slope = np.append(ratio * by_feature(off) + ridge * x[:-1], off.sum())
         return loss + ridge / 2 * (x[:-1] @ x[:-1]), slope
 
     start = np.zeros(len(used) + 1)
@@ -149,8 +171,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["grams", "y", "weight"])
 
     rows = training_rows(docs, labels, label, most, balanced=True).select("text", "y", "weight").mapInArrow(number, "grams binary, y int, weight double").toArrow()
-    texts = [np.frombuffer(g.as_buffer(), "<u4").astype(np.int64) for g in rows.column("grams")]
-    return fit_rows(texts, rows.column("y").to_numpy().astype(float), rows.column("weight").to_numpy())
+    texts = [np.frombuffer(g.as_buffer(), "<u4") for g in rows.column("grams")]
+    y, weight = rows.column("y").to_numpy().astype(float), rows.column("weight").to_numpy()
+    del rows
+    return fit_rows(texts, y, weight)
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "score", text_col: str = "text") -> DataFrame:
