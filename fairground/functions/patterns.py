@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 #: White space in the wide sense, for the inside of a class.
 SPACES = r"\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 WS = f"[{SPACES}]"
-#: An ASCII word's edge: Java's own counts accented letters as parts of words.
-EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+#: Before and behind an ASCII word: Java's own edges count accented letters as parts of words.
+BEFORE_WORD, BEHIND_WORD = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 
 
 def java(pattern: str, ignore_case: bool = True) -> str:
-    return ("(?i)" if ignore_case else "") + pattern.replace(r"\b", EDGE)
+    """A pattern whose word edges mean ASCII words: one that a word or group follows begins a word, others end one."""
+    edges = re.sub(r"\\b(?=(.?.?))", lambda m: BEFORE_WORD if re.match(r"[\w(\[]|\\[dw]", m[1]) else BEHIND_WORD, pattern)
+    return ("(?i)" if ignore_case else "") + edges
 
 
 def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_listings
+from . import queries_listings, queries_serving
 from .catalog import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "queries_listings"]
+__all__ = ["ORACLE", "QUERIES", "queries_listings", "queries_serving"]
