@@ -12,6 +12,7 @@ import tempfile
 import types
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import by_value
-from .common import bounded_batches
+from .common import bounded_batches, materialize
 
 VOCABULARY = "word_bpe_49k.json"
 #: Frequent words compiled, the longest that is compiled or remembered, and chunks that a worker remembers.
@@ -66,7 +67,7 @@ class WordBpe:
         return self.plain_chunks(text)
 
     def plain_chunks(self, text: str) -> list[str]:
-        if text.isascii() and not OTHER.search(text) or not OTHER.search(text):
+        if not OTHER.search(text):
             return text.lower().split()
         return [c for c in self.library.normalizer.normalize_str(text).split(" ") if c]
 
@@ -74,7 +75,7 @@ class WordBpe:
         """The words of a normalised chunk, as the pre-tokenizer cuts it."""
         if chunk in self.special:
             return [chunk]
-        if not OTHER.search(chunk):
+        if chunk.isascii() or not OTHER.search(chunk):
             return WORD.findall(chunk)
         return [bytes(self.bytes[c] for c in piece).decode("utf-8") for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
 
@@ -82,6 +83,8 @@ class WordBpe:
         """The ids of any word, by the exact merges."""
         if word in self.special:
             return [self.special[word]]
+        if word.isascii() and word.isprintable():  # these bytes are their own letters
+            return [t.id for t in self.library.model.tokenize(word)]
         return [t.id for t in self.library.model.tokenize("".join(self.letters[b] for b in word.encode("utf-8")))]
 
     def decode(self, ids: list[int]) -> str:
@@ -204,17 +207,41 @@ class Coder:
 
     def __call__(self, chunks: list[str]) -> list:
         known = self.known
-        try:
-            return [known[c] for c in chunks]
-        except KeyError:
-            pass
-        if len(known) > self.most:
+        missing = set(chunks).difference(known)
+        for c in missing:
+            known[c] = self.of(c)
+        out = [known[c] for c in chunks]
+        if len(known) > 2 * self.most:
             known.clear()
-        extra: dict[str, object] = {}
-        for c in chunks:
-            if c not in known and c not in extra:
-                (known if len(c) <= LONGEST and len(known) <= 2 * self.most else extra)[c] = self.of(c)
-        return [known[c] if c in known else extra[c] for c in chunks]
+        elif missing:
+            for c in [c for c in missing if len(c) > LONGEST]:
+                del known[c]
+        return out
+
+
+class IdCoder:
+    """Ids of chunks as packed bytes. A word is a chunk of itself, so one memory serves both."""
+
+    def __init__(self, bpe: WordBpe) -> None:
+        self.bpe, self.code = bpe, "H" if len(bpe.names) <= 1 << 16 else "I"
+        self.chunks = Coder(self.of)
+
+    def of(self, chunk: str) -> bytes:
+        words = self.bpe.words(chunk)
+        if len(words) == 1:
+            return array(self.code, self.bpe.merge(words[0])).tobytes()
+        known, out = self.chunks.known, []
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                ids = array(self.code, self.bpe.merge(w)).tobytes()
+                if len(w) <= LONGEST:
+                    known[w] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def __call__(self, text: str | None) -> bytes:
+        return b"".join(self.chunks(self.bpe.chunks(text)))
 
 
 def vocabulary_path() -> str:
@@ -245,8 +272,18 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text_col: str = "text") -> list[str]:
-    """The `most` commonest words of all texts; that many come to the driver at most."""
-    return [r["word"] for r in word_counts(docs, path, text_col).orderBy(F.desc("n"), "word").limit(most).collect()]
+    """The commonest words of all texts, `most` at most: all that stand at least so often that no more do.
+
+    How many words have each count comes to the driver first (a row for each distinct count), and gives the
+    least count; then only the words that reach it come, however many partitions there are."""
+    counts = materialize(word_counts(docs, path, text_col), "words")
+    total, least = 0, None
+    for n, words in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        total += words
+        if total > most:
+            break
+        least = n
+    return [] if least is None else sorted(r["word"] for r in counts.where(F.col("n") >= least).select("word").collect())
 
 
 def ship_lexicon(spark: SparkSession, words: list[str], path: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import by_value
-from .bpe import Coder, WordBpe, remembered, vocabulary_path
+from .bpe import IdCoder, WordBpe, remembered, vocabulary_path
 from .common import bounded_batches, partitions, table_path
 
 #: Values in a word and bits of each, by selector from 2 on; selector 0: the next word is one value of 64
@@ -29,11 +30,12 @@ by_value(__name__)
 def widths(values: np.ndarray) -> np.ndarray:
     """Bits of each unsigned value."""
     out = np.zeros(len(values), np.uint8)
-    rest = values.copy()
+    rest = values
     for step in (32, 16, 8, 4, 2, 1):
         big = rest >= np.uint64(1) << np.uint64(step)
-        out[big] += step
-        rest[big] >>= np.uint64(step)
+        if big.any():
+            out += big * np.uint8(step)
+            rest = np.where(big, rest >> np.uint64(step), rest)
     return out + (rest > 0)
 
 
@@ -192,14 +194,13 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = remembered(f"bpe {path}", lambda: WordBpe(path))
-        kind = "<u2" if len(bpe.names) <= 1 << 16 else "<u4"
-        coder = remembered(f"words {path}", lambda: Coder(lambda word: np.array(bpe.merge(word), kind).tobytes()))
-        chunks = remembered(f"chunks {path}", lambda: Coder(lambda chunk: b"".join(coder(bpe.words(chunk)))))
+        coder = remembered(f"ids {path}", lambda: IdCoder(bpe))
+        kind = f"<u{array(coder.code).itemsize}"
         tail = np.array([] if end_id is None else [end_id], kind).tobytes()
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                ids = [np.frombuffer(b"".join(chunks(bpe.chunks(t.as_py()))) + tail, kind) for t in part.column(1)]
+                ids = [np.frombuffer(coder(t.as_py()) + tail, kind) for t in part.column(1)]
                 packed = pack_documents(ids)
                 keys = part.column(0).to_pylist()
                 where = [0 if k is None else int(np.searchsorted(bounds, k)) for k in keys]
