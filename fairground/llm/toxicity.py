@@ -104,7 +104,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, smooth:
     """rows: distinct feature numbers of each text; the list is emptied on the way."""
     size = 1 << BITS
     share = float((weight * y).sum() / weight.sum()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not rows or not 0 < share < 1:
         return ToxicityModel(np.zeros(size, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     in_texts = np.zeros(size, np.int32)
     for r in rows:
