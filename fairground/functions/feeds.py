@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import by_value
 from . import times
@@ -31,7 +32,7 @@ def _fold(line: str) -> str:
     return "\r\n ".join([*parts, held.decode("utf-8")])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_line(line: pd.Series) -> pd.Series:
     """A line cut to WIDEST octets between characters; what follows begins with a space."""
     return line.map(_fold, na_action="ignore")

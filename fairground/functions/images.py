@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import by_value
 
@@ -60,7 +61,7 @@ def _jpeg(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("width long, height long")
+@F.pandas_udf(T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())]))
 def jpeg_size(data: pd.Series) -> pd.DataFrame:
     found = [(_jpeg(bytes(d)) if d is not None else None) or (None, None) for d in data]
     return pd.DataFrame(found, columns=["width", "height"]).astype("Int64")

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..registry import NAMES
 from ..shipping import by_value
@@ -104,7 +105,7 @@ def has_price(text: Column) -> Column:
     return matches(text, rf"(?:{_near(BEFORE, True)})(?:{MONEY})") | matches(text, rf"(?:{MONEY})(?:{_near(BEHIND, False)})")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def price_line(text: pd.Series) -> pd.Series:
     """The line of the first sum that has a price word near it, or what stands around it if the line is long."""
     money = re.compile(MONEY, re.IGNORECASE | re.ASCII)

@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import by_value
 from .patterns import WS, let, squeeze, swap
@@ -40,7 +41,7 @@ def _decode(text: str) -> str:
     return re.sub(r"&([a-zA-Z]+);", one, re.sub(r"&(#[xX][0-9a-fA-F]+|#\d+);", one, text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
     return text.map(_decode, na_action="ignore")
 
@@ -52,7 +53,7 @@ def _without_tags(text: str) -> str:
     return "\n".join(line for i, line in enumerate(lines) if line or (i and lines[i - 1])).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_tags(markup: pd.Series) -> pd.Series:
     """Text of a page: blocks end lines, runs of blank lines shrink to one, entities are read."""
     return markup.map(_without_tags, na_action="ignore")
