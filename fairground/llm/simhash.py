@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..shipping import by_value
-from .common import bounded_batches, drop_materialized, materialize
+from .common import bounded_batches, materialize
 
 SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 3, 2
 #: Row b: the eight bits of the byte b, lowest first.
@@ -78,28 +79,6 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """node, root for each node of edges (a, b): root is the smallest node that it reaches.
-
-    Each round takes the smallest root among the neighbours, then jumps from root to root, so the rounds
-    grow with the logarithm of the longest chain. Every round is written to the shared folder, which cuts
-    the lineage. Only a count of changes comes to the driver."""
-    both = materialize(edges.union(edges.select("b", "a")).toDF("node", "other"), "edges")
-    labels = materialize(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), "labels")
-    for _ in range(rounds):
-        reached = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        near = labels.join(reached, "node").select("node", "root", F.least("root", "theirs").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        nearer = near.join(jump, "low").select("node", F.least("low", "far").alias("root"), (F.least("low", "far") != F.col("root")).alias("moved"))
-        stepped = materialize(nearer, "labels")
-        moved = stepped.where("moved").limit(1).count()
-        drop_materialized(labels)
-        labels = stepped.select("node", "root")
-        if not moved:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """id_col, fingerprint (16 hex digits), component_id (smallest id that links reach) for each row.
 
