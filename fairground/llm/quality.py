@@ -127,7 +127,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
             yield pa.RecordBatch.from_arrays([pa.array([statistics(t).tolist() for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["stats", "y", "fold"])
 
     rows = training_rows(docs, labels, label, most).select("text", "y", "fold")
-    rows = materialize(rows.mapInArrow(describe, "stats array<double>, y int, fold int"), "quality").repartition(SUMMERS, F.xxhash64("stats"))
+    rows = materialize(rows.mapInArrow(describe, "stats array<double>, y int, fold int"), "quality").coalesce(SUMMERS)
     fit, calibrate = rows.where(F.col("fold") != CALIBRATION_FOLD), rows.where(F.col("fold") == CALIBRATION_FOLD)
     moments = fit.agg(F.count("*"), F.array(*[F.avg(F.get("stats", F.lit(i))) for i in range(n)]), F.array(*[F.coalesce(F.stddev(F.get("stats", F.lit(i))), F.lit(0.0)) for i in range(n)])).first()
     if not moments[0]:
