@@ -21,7 +21,9 @@ WINDOW = ("1990-01-01", "2010-12-31")
 
 def payloads(events: DataFrame, platform: str, payload: Column, **options: str) -> DataFrame:
     given = F.create_map(*[F.lit(x) for pair in ({"timezone": ZONE} | options).items() for x in pair])
-    return events.select(F.col("source_a").alias("source_slug"), F.lit(platform).alias("platform"), given.alias("options"), F.col("n").alias("part"), payload.alias("payload"))
+    # Slim rows are dealt before payloads are made of them: one small file would be one task of parsing.
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.repartition(parts, "n").select(F.col("source_a").alias("source_slug"), F.lit(platform).alias("platform"), given.alias("options"), F.col("n").alias("part"), payload.alias("payload"))
 
 
 def parsed(events: DataFrame, platform: str, payload: Column, window: tuple[str, str] = WINDOW, **options: str) -> DataFrame:

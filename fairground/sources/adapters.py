@@ -503,10 +503,40 @@ def raw_events(payloads: DataFrame, window: Window) -> tuple[DataFrame, DataFram
                     out.append({"source_slug": r.source_slug, "platform": r.platform, "position": int(r.part) * 1_000_000, "placed": False, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(out, columns=[*_FIELDS, "platform", "placed", "error"]).astype(object).where(lambda d: d.notna(), None)
 
-    rows = payloads.select("source_slug", "platform", "options", "part", "payload").mapInPandas(run, f"{RAW}, platform string, placed boolean, error string")
-    placed = resolve_municipality(F.col("municipality_hint"), F.col("address"), F.col("venue_name")).isNotNull()
-    kept = rows.where(F.col("error").isNull() & (~F.col("placed") | placed))
-    series = runaway_series(kept.where("platform = 'tribe'").withColumn("_venue", F.coalesce("venue_name", F.lit(""))), ["source_slug", "title", "_venue"], F.substring("local_start", 1, 10))
-    daily = F.broadcast(series.select("source_slug", "title", F.col("_venue").alias("_v")))
-    kept = kept.join(daily, (kept["platform"] == "tribe") & (kept["source_slug"] == daily["source_slug"]) & (kept["title"] == daily["title"]) & (F.coalesce(kept["venue_name"], F.lit("")) == daily["_v"]), "left_anti")
-    return kept.select(*_FIELDS), rows.where(F.col("error").isNotNull()).select("source_slug", "platform", "error")
+    def parse(some: DataFrame) -> DataFrame:
+        return some.select("source_slug", "platform", "options", "part", "payload").mapInPandas(run, f"{RAW}, platform string, placed boolean, error string")
+
+    def placeable(rows: DataFrame) -> DataFrame:
+        place = resolve_municipality(F.col("municipality_hint"), F.col("address"), F.col("venue_name"))
+        return rows.where(F.col("error").isNull() & (~F.col("placed") | place.isNotNull())).select(*_FIELDS)
+
+    # Only one platform's series run away: all others are parsed once, and no join waits for them.
+    regional = F.col("platform").eqNullSafe("tribe")
+    others, tribes = parse(payloads.where(~regional)), parse(payloads.where(regional))
+    kept = placeable(tribes).withColumn("_venue", F.coalesce("venue_name", F.lit("")))
+    series = ["source_slug", "title", "_venue"]
+    daily = runaway_series(kept, series, F.substring("local_start", 1, 10))
+    kept = kept.join(daily.select(*series), series, "left_anti")
+    failed = others.union(tribes).where(F.col("error").isNotNull()).select("source_slug", "platform", "error")
+    return placeable(others).union(kept.select(*_FIELDS)), failed
+
+
+def page_details(pages: DataFrame) -> DataFrame:
+    """What events' own pages add: description, cost_text and image_url, or the error of a page that can't be read.
+
+    pages: id, platform, origin, html. Platforms whose pages are not read add nothing; a null page is an error."""
+    names = ("description", "cost_text", "image_url")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                found, error = {}, None
+                try:
+                    found = DETAILS[r.platform](r.html, r.origin or "") if r.platform in DETAILS else {}
+                except Exception as e:  # noqa: BLE001
+                    error = f"{type(e).__name__}: {e}"
+                out.append((r.id, *(found.get(k) for k in names), error))
+            yield pd.DataFrame(out, columns=["id", *names, "error"]).astype(object).where(lambda d: d.notna(), None)
+
+    return pages.select(F.col("id").cast("string").alias("id"), "platform", "origin", "html").mapInPandas(run, "id string, description string, cost_text string, image_url string, error string")
