@@ -44,9 +44,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumns({"__rid": F.col(id_col), "__rkey": F.xxhash64(text)})
     joined = rows.join(cuts, rows["__rid"].eqNullSafe(cuts["__id"]) & (rows["__rkey"] == cuts["__key"]), "left")
     joined = joined.withColumns({"__lines": F.split(text, "\n", -1), "__cut": F.coalesce("__cut", F.array().cast("array<int>"))})
-    left = F.array_join(F.filter("__lines", lambda _, i: ~F.array_contains("__cut", i)), "\n")
-    heads = F.filter("__cut", lambda i: ~F.array_contains("__cut", i - 1))
-    tails = F.filter("__cut", lambda i: ~F.array_contains("__cut", i + 1))
+    # Set differences hash their arguments, so a text of many lines and many cuts takes no more than linear time.
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__cut"))
+    left = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
+    heads = F.array_except(F.col("__cut"), F.transform("__cut", lambda i: i + 1))
+    tails = F.array_except(F.col("__cut"), F.transform("__cut", lambda i: i - 1))
     spans = F.array_join(F.zip_with(heads, tails, lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string"))), ",")
     return joined.select(
         *[(F.when(F.size("__cut") == 0, F.col(text_col)).otherwise(left).alias(c) if c == text_col else docs[c]) for c in docs.columns],
