@@ -19,6 +19,8 @@ from .common import bounded_batches, materialize
 #: Samples of an image row; payloads are padded to a multiple of it with PAD, which UTF-8 never has.
 WIDTH, PAD, SIGNATURE, LEVEL = 576, b"\xff", b"\x89PNG\r\n\x1a\n", 6
 SCHEME = "sha256:"
+#: Digests that a task remembers; beyond them it starts anew, which stores a repeated text again and loses nothing.
+SEEN = 1 << 18
 VOID = {"img", "br", "hr", "meta", "link", "input", "source", "wbr"}
 HIDDEN = {"script", "style", "head", "template", "noscript"}
 BLOCKS = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "br", "hr", "header", "footer", "main", "nav", "aside"}
@@ -80,24 +82,35 @@ def feature_of(payload: bytes) -> str:
 
 
 def media_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """digest and media, one row for each distinct text of docs, stored in the shared folder and read back.
+    """digest and media of the texts of docs, stored in the shared folder and read back.
 
-    digest: sha256 of the text's UTF-8 bytes, the content address that references use. Copies are merged
-    before the shuffle, so a text in a third of all rows is one row a task."""
+    digest: sha256 of the text's UTF-8 bytes, the content address that references use. Images are written where
+    their texts are read and never shuffled: a task stores a text once (but see SEEN), texts that several tasks
+    read are stored by each, and whoever needs one row for each digest takes the features, which are narrow."""
     bounded_batches(docs.sparkSession)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for batch in batches:
-            images = [to_png(payload_of(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], names=["digest", "media"])
+            digests, images = [], []
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if digest not in seen:
+                    if len(seen) == SEEN:
+                        seen.clear()
+                    seen.add(digest)
+                    digests.append(digest)
+                    images.append(to_png(payload_of(text.as_py())))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], names=["digest", "media"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    images = docs.select(F.sha2(text, 256).alias("digest"), text.alias("text")).mapInArrow(draw, "digest string, media binary")
-    return materialize(images.groupBy("digest").agg(F.first("media").alias("media")), "media")
+    return materialize(docs.select(F.sha2(text, 256).alias("digest"), text.alias("text")).mapInArrow(draw, "digest string, media binary"), "media")
 
 
 def media_features(store: DataFrame) -> DataFrame:
-    """FEATURES of each stored image, all from its bytes as read back."""
+    """FEATURES, one row for each digest of the store, all from the stored bytes as read back.
+
+    Of several stored copies of an image the least row stays, whichever codec wrote them; copies merge before
+    the shuffle. The rows are narrow and stored too, so a join on a hot digest may still be split."""
     bounded_batches(store.sparkSession)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +124,9 @@ def media_features(store: DataFrame) -> DataFrame:
             names = [c.split()[0] for c in FEATURES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
 
-    return store.select("digest", "media").mapInArrow(look, FEATURES)
+    values = F.struct(*[c.split()[0] for c in FEATURES.split(", ")[1:]]).alias("values")
+    found = store.select("digest", "media").mapInArrow(look, FEATURES).select("digest", values)
+    return materialize(found.groupBy("digest").agg(F.min("values").alias("values")).select("digest", "values.*"), "features")
 
 
 class Sequencer(HTMLParser):
