@@ -33,7 +33,7 @@ def test_loads_without_a_session_or_the_training_data_operators(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
-@pytest.mark.parametrize("name", ["filter_places", "facet_counts", "event_page", "digest_sections", "reconcile_plan", "canonical_events", "adapter_govstack", "stream_claims", "image_sizes"])
+@pytest.mark.parametrize("name", ["filter_places", "facet_counts", "event_page", "digest_sections", "reconcile_plan", "canonical_events", "adapter_govstack", "adapter_drupal", "adapter_eventon", "adapter_spaces", "adapter_tixhub", "event_pages", "stream_claims", "image_sizes"])
 def test_queries_give_rows(spark, name):
     rows = QUERIES[name](spark, SF)
     assert rows.count() > 0 and len(set(rows.columns)) == len(rows.columns)
