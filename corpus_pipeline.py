@@ -7,9 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairground.llm.bpe import token_counts
 from fairground.llm.common import materialize, read
 from fairground.llm.line_dedup import line_dedup
-from fairground.llm.packing import pack, word_count
+from fairground.llm.packing import pack
 from fairground.llm.quality import fit_quality, with_quality
 from fairground.llm.queries import GOOD, TOXIC
 from fairground.llm.simhash import simhash_dedup
@@ -47,8 +48,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bucket, batch and place of every document; texts stay where they are."""
-    return pack(docs.select("doc_id", "lang", "source", "n_chars", word_count(F.col("text")).alias("n_tokens")), "n_tokens")
+    """The bucket, batch and place of every document, by the tokenizer's ids; texts stay where they are."""
+    return pack(token_counts(docs.select("doc_id", "lang", "source", "n_chars", "text")), "n_tokens")
 
 
 STAGES = [("quality", good_quality), ("toxicity", not_toxic), ("line_dedup", without_repeated_lines), ("near_dedup", without_near_copies), ("packing", packed)]

@@ -244,6 +244,23 @@ class IdCoder:
         return b"".join(self.chunks(self.bpe.chunks(text)))
 
 
+def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """docs without text_col, and n_tokens: how many ids with_codes() gives the whole text; null: 0."""
+    path = path or vocabulary_path()
+    bounded_batches(docs.sparkSession)
+    kept = [c for c in docs.columns if c != text_col]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = remembered(f"bpe {path}", lambda: WordBpe(path))
+        coder = remembered(f"counts {path}", lambda: Coder(lambda chunk: sum(len(bpe.merge(w)) for w in bpe.words(chunk))))
+        for batch in batches:
+            counts = [sum(coder(bpe.chunks(text.as_py()))) for text in batch.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(counts, pa.int64())], names=[*kept, NAMES[0]])
+
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n_tokens long"])
+    return docs.select(*kept, text_col).mapInArrow(count, schema)
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encode_decode
+from .bpe import encode_decode, token_counts
 from .common import read
 from .exact_dedup import exact_dedup
 from .labels import HELD_OUT, fold
 from .line_dedup import line_dedup
 from .media import illustrated, media_features, media_store, resolved_references, sequences
-from .packing import pack, word_count
+from .packing import pack
 from .quality import fit_quality, with_quality
 from .sharding import shuffle_into_shards
 from .simhash import simhash_dedup
@@ -37,8 +37,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("n_tokens"))
-    return pack(docs, "n_tokens")
+    return pack(token_counts(read(spark, sf_dir, "documents").select("doc_id", "text")), "n_tokens")
 
 
 def scored(docs: DataFrame, threshold: float) -> DataFrame:

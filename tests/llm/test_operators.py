@@ -256,6 +256,24 @@ def test_codes_of_odd_tables(docs, coder):
     assert bpe.encode_decode(empty(docs).select("doc_id", "text")).count() == 0
 
 
+def test_packing_counts_the_library_s_ids(spark, coder, tmp_path):
+    import corpus_pipeline
+    from fairground.llm.queries import QUERIES
+
+    texts = [*TEXTS, *ODD, "QmFzZTY0" * 400]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: len(coder.library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    for out in (QUERIES["op3_packing"](spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        rows = out.collect()
+        assert {r["doc_id"]: r["n_tokens"] for r in rows} == want and len(rows) == len(texts)
+        batches = defaultdict(list)
+        for r in rows:
+            batches[r["bucket"], r["batch"]].append(want[r["doc_id"]])
+        assert all(len(b) == 1 or sum(b) <= packing.BUDGET for b in batches.values())
+
+
 def test_packed_words_round_trip():
     import io
 
