@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from fairground.llm.bpe import token_counts
 from fairground.llm.common import materialize, read
 from fairground.llm.line_dedup import line_dedup
+from fairground.llm.near import fingerprint_dedup
 from fairground.llm.packing import pack
 from fairground.llm.quality import fit_quality, with_quality
 from fairground.llm.queries import GOOD, TOXIC
-from fairground.llm.simhash import simhash_dedup
 from fairground.llm.toxicity import fit_toxicity, with_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,10 +41,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id; of rows that repeat it, one."""
-    docs = docs.select(*COLUMNS)
-    kept = simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group: the one with the smallest id; of rows equal in all columns, one."""
+    return fingerprint_dedup(docs.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,17 @@ def test_empty_documents_pass_through(spark):
         assert docs.count() == 0
 
 
+def test_near_copies_are_told_by_text_whatever_the_ids(spark):
+    prose = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(4)]
+    rows = [(None, prose[0]), (None, prose[1]), (None, prose[1]), (5, prose[2]), (5, prose[2]), (5, prose[3]), (3, prose[3]), (None, prose[3]), (3, prose[3].upper())]
+    want = sorted([("None", prose[0]), ("None", prose[1]), ("5", prose[2])])
+    for parts in (1, 7):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+        out = sorted((str(r["doc_id"]), r["text"]) for r in cp.without_near_copies(spark, docs, SF).collect())
+        assert [r for r in out if r[0] != "3"] == want
+        assert [r[1].lower() for r in out if r[0] == "3"] == [prose[3]] and len(out) == 4
+
+
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLE) <= set(QUERIES) and cp.ORACLE_SQL is None
