@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline as cp
 from fairground.llm import line_dedup, simhash
 from fairground.llm.queries import ORACLE, QUERIES
@@ -52,6 +54,55 @@ def test_near_copies_are_told_by_text_whatever_the_ids(spark):
         assert [r[1].lower() for r in out if r[0] == "3"] == [prose[3]] and len(out) == 4
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_copies_of_similarity_over_four_fifths_go_and_others_stay(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, planted = {}, {}
+    for k in range(120):
+        base = fresh(rng.choice((60, 300, 900)))
+        copy, edits = list(base), rng.randint(1, max(2, len(base) // 45))
+        for _ in range(edits):
+            copy[rng.randrange(len(copy))] = fresh(1)[0]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(copy)
+        planted[2 * k + 1] = similarity(texts[2 * k], texts[2 * k + 1])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"] for r in cp.without_similar(spark, cp.without_near_copies(spark, docs, SF), SF).collect()}
+    assert set(planted) - out == {i for i, s in planted.items() if s >= 0.8} and set(texts) - set(planted) <= out
+    assert sum(0.8 <= s < 0.98 for s in planted.values()) > 40 and sum(s < 0.8 for s in planted.values()) > 10
+
+
+def test_a_bucket_of_several_groups_loses_no_pair(spark):
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:k] + [f"a{g}b{i}" for i in range(30)] + base[k + 30 :] + ([f"c{g}d{n}"] if n else [])) for g, k in enumerate(range(0, 170, 17)) for n in range(4)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {min(i for i, h in enumerate(group) if h == g) for g in set(group)}
+    assert {r["doc_id"] for r in cp.without_similar(spark, docs, SF).collect()} == least and len(least) == 10
+
+
+def test_fingerprints_alone_drop_nothing_that_differs(spark, monkeypatch):
+    from fairground.llm import near
+
+    monkeypatch.setattr(near, "links", lambda prints: prints.select(near.F.least("fp", near.F.lit(-(1 << 62))).alias("a"), near.F.greatest("fp", near.F.lit(-(1 << 62))).alias("b")))
+    rows = [(i, f"wholly other words in text number {i} here", "en", "s", 1) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert cp.without_near_copies(spark, docs, SF).count() == 5
+
+
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLE) <= set(QUERIES) and cp.ORACLE_SQL is None
