@@ -81,6 +81,12 @@ def digest_sections(candidates: DataFrame, shown: int = SHOWN) -> DataFrame:
     return done if done is not None else candidates.withColumns({"nth": F.lit(0), "more": F.lit(False)}).limit(0)
 
 
-def next_in_queue(rows: DataFrame, handled: str, order: list[Column]) -> DataFrame:
-    """rows that wait, and the one after each in the queue."""
-    return rows.where(F.col(handled).isNull()).withColumn("next_id", F.lead("id").over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+def next_in_queue(rows: DataFrame, handled: str, day: str, order: list[Column]) -> DataFrame:
+    """rows that wait, and the one after each in the queue by (day, order); a queue has null days first.
+
+    Each day is sorted alone. The last of a day is followed by the first of the next day that has any, so
+    only one row a day meets in one task, however long the queue is."""
+    within = Window.partitionBy(day).orderBy(*order)
+    waiting = rows.where(F.col(handled).isNull()).withColumns({"_next": F.lead("id").over(within), "_nth": F.row_number().over(within)})
+    firsts = waiting.where("_nth = 1").select(F.col(day).alias("_day"), F.lead("id").over(Window.orderBy(day)).alias("_later"))
+    return waiting.join(firsts, F.col(day).eqNullSafe(F.col("_day")), "left").withColumn("next_id", F.coalesce("_next", "_later")).drop("_next", "_nth", "_day", "_later")

@@ -359,7 +359,7 @@ def guarded_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{EV}, q AS (SELECT id, local_date, starts_at_utc, CASE WHEN n % 6 = 0 THEN 'done' END AS handled FROM ev WHERE n % 30 < 3) SELECT id, lead(id) OVER (ORDER BY local_date, starts_at_utc DESC, id) AS next_id FROM q WHERE handled IS NULL")
 def staged_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = served(spark, sf_dir).where("n % 30 < 3").select("id", "local_date", "starts_at_utc", F.when(F.col("n") % 6 == 0, "done").alias("handled"))
-    return queues.next_in_queue(rows, "handled", [F.col("local_date"), F.desc("starts_at_utc"), F.col("id")]).select("id", "next_id")
+    return queues.next_in_queue(rows, "handled", "local_date", [F.desc("starts_at_utc"), F.col("id")]).select("id", "next_id")
 
 
 PNG = "unhex('89504E470D0A1A0A0000000D49484452' || lpad(to_hex(CAST(p_partkey % 3000 AS BIGINT)), 8, '0') || lpad(to_hex(CAST(p_size * 40 AS BIGINT)), 8, '0'))"

@@ -47,5 +47,20 @@ def test_halves_share_nothing(spark):
     assert halves[0] & halves[1] == set() and halves[0] | halves[1] == everything and all(halves)
 
 
+def test_a_long_queue_is_not_sorted_in_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from fairground.operators.queues import next_in_queue
+
+    rows = [(f"e{i:03}", f"2000-01-{1 + i % 3:02}" if i % 4 else None, i * 37 % 50, "done" if i % 5 == 0 else None) for i in range(200)]
+    queue = sorted((r for r in rows if r[3] is None), key=lambda r: (r[1] or "", -r[2], r[0]))
+    want = {r[0]: after[0] if after else None for r, after in zip(queue, [*queue[1:], None], strict=True)}
+    table = spark.createDataFrame(rows, "id string, day string, start long, handled string").repartition(4)
+    out = next_in_queue(table, "handled", "day", [F.desc("start"), F.col("id")]).withColumn("task", F.spark_partition_id()).collect()
+    assert {r["id"]: r["next_id"] for r in out} == want and len(out) == len(want)
+    plan = next_in_queue(table, "handled", "day", [F.desc("start"), F.col("id")])._jdf.queryExecution().executedPlan().toString()
+    assert "Window [lead(id#" in plan and "_nth" in plan.split("SinglePartition")[1]  # one row a day reaches the single task
+
+
 def test_flagship_runs(spark):
     assert "verdict" in entry.entry(spark).columns
