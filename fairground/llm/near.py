@@ -1,9 +1,11 @@
-"""Near copies by five-word shingles: candidates from fingerprints or MinHash bands, each verified by exact similarity."""
+"""SimHash near-dedup by similarity: wide fingerprints of five-word shingles, multi-index hashing, exact verification."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,137 +15,192 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..shipping import by_value
-from .common import bounded_batches, materialize
-from .simhash import fingerprint, links
-
-#: A band of ROWS minima agrees with the chance similarity ** ROWS: at 0.8 one of BANDS does in 9,996 of 10,000 pairs.
-SHINGLE, SEED, SIMILARITY, BANDS, ROWS = 5, 42, 0.8, 20, 5
-#: Shingles whose minima are taken at once, so that a very long text needs no array of its own length.
-AT_ONCE = 1 << 12
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+from .common import bounded_batches, free_name, materialize
+
+SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
+#: A segment's ball: its value with up to FLIPS of its UNSURE least certain bits turned over.
+UNSURE, FLIPS = 4, 2
+BALL = [c for k in range(FLIPS + 1) for c in combinations(range(UNSURE), k)]
+#: The chance that two sets of similarity 0.8 meet nowhere, and standard deviations that a distance may exceed its mean by.
+MISSED, SPREAD = 0.025, 4.5
+#: Shingles whose bits are counted at once, and words whose hashes a task remembers.
+AT_ONCE, REMEMBERED = 1 << 12, 1 << 18
+#: Row b: the eight bits of the byte b, highest first.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
+_SALT, _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 by_value(__name__)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Ascending distinct 64-bit hashes of a text's shingles, of words as fingerprint() cuts them. A text of
-    fewer words than a shingle has is one shingle; one without words (or null) has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.array(sorted({digest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(max(1, len(words) - SHINGLE + 1))}), dtype=np.uint64)
+def layout(documents: int) -> tuple[int, int]:
+    """Bits of a segment, and segments, for so many documents.
 
+    The width follows the logarithm of the table, so chance matches of a document stay few at any size. The
+    chance that one segment's ball meets at similarity 0.8, where 15 % of the bits differ, falls by 0.87 with
+    each bit (0.166 at 24 bits, by simulation of normal margins); the segments keep all of them at MISSED."""
+    width = min(32, max(24, documents.bit_length() + 3))
+    meets = 0.166 * 0.87 ** (width - 24)
+    return width, math.ceil(math.log(MISSED) / math.log(1 - meets))
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A 64-bit key of each band's minima; a text without shingles has no bands."""
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+
+def most_apart(bits: int, similarity: float = SIMILARITY) -> int:
+    """Bits that may differ: the mean for sets of that similarity, of one size, and SPREAD deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
+
+
+class ShingleSets:
+    """Ascending distinct 64-bit hashes of the shingles of one text after another.
+
+    A-Z become lower case, words are runs of anything but space, tab, newline, VT, FF and CR. A text of fewer
+    words than a shingle has is one shingle; one without words (or null) has none. A word is hashed once while
+    it is remembered; a shingle's hash chains those of its words."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if not words:
+            return np.zeros(0, np.uint64)
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w, SEED)
+        hashes = np.array([known[w] for w in words], dtype=np.uint64)
+        size = min(SHINGLE, len(words))
+        chain = np.full(len(words) - size + 1, size, np.uint64)
+        for j in range(size):
+            chain = (chain ^ hashes[j : len(hashes) - size + 1 + j]) * _ODD[j]
+            chain ^= chain >> np.uint64(31)
+        return np.unique(chain * _ODD[SHINGLE])
+
+
+def margins(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """For each bit of the fingerprint how many more shingles have it set than clear."""
+    words, columns = -(-bits // 64), np.arange(-(-bits // 64) * 8) * 256
+    ones = np.zeros(words * 64)
     for at in range(0, len(hashes), AT_ONCE):
-        np.minimum(least, ((hashes[at : at + AT_ONCE, None] ^ _MIX[0]) * _MIX[1]).min(axis=0), out=least)
-    return [xxhash.xxh64_intdigest(band.tobytes(), SEED) - (1 << 63) for band in least.reshape(BANDS, ROWS)]
+        mixed = (hashes[at : at + AT_ONCE, None] ^ _SALT[:words]) * _ODD[:words]
+        mixed ^= mixed >> np.uint64(29)
+        octets = (mixed * _ODD[words]).byteswap().view(np.uint8).reshape(-1, words * 8)
+        ones += (np.bincount((octets + columns).ravel(), minlength=words * 2048).reshape(-1, 256).astype(np.float32) @ BITS).ravel()
+    return (2 * ones - len(hashes))[:bits].astype(np.int64)
+
+
+def segments_of(hashes: np.ndarray, width: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each segment of a set's fingerprint, and its UNSURE least certain bits as values."""
+    margin = margins(hashes, width * segments).reshape(segments, width)
+    places = np.int64(1) << np.arange(width, dtype=np.int64)
+    unsure = np.argsort(np.abs(margin), axis=1, kind="stable")[:, :UNSURE]
+    return (margin > 0) @ places, places[unsure].ravel()
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """docs with `row`: a name of the row's id, text and other columns. Rows that are equal in all share it."""
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a name of the row's id, text and other columns, and that column. Rows equal in all share it."""
+    row = free_name(docs, "row")
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    return docs.withColumn("row", F.concat(F.md5(F.to_json(F.struct(*others))), F.md5(F.coalesce("text", F.lit("")))))
+    whole = F.concat(F.md5(F.to_json(F.struct(*others))), F.md5(F.coalesce("text", F.lit(""))), F.when(F.col("text").isNull(), "0").otherwise("1"))
+    return docs.withColumn(row, whole), row
 
 
-def sketches(rows: DataFrame, bands: bool) -> DataFrame:
-    """row, doc_id, copy (a digest of the shingle set), n (its size), and bands or the fingerprint fp."""
+def sketches(rows: DataFrame, width: int, segments: int) -> DataFrame:
+    """row, doc_id, copy (a digest of the shingle set), n (its size), keys and flips of its segments (none without words)."""
     bounded_batches(rows.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = ShingleSets()
         for batch in batches:
-            copies, sizes, marks = [], [], []
+            copies, sizes, keys, flips = [], [], [], []
             for text in batch.column(2):
-                hashes = shingle_set(text.as_py())
-                copies.append(hashlib.md5(hashes.tobytes()).hexdigest())
+                hashes = sets(text.as_py())
+                key, flip = segments_of(hashes, width, segments) if len(hashes) else ([], [])
+                copies.append(hashlib.md5(hashes.tobytes()).digest())
                 sizes.append(len(hashes))
-                marks.append(band_keys(hashes) if bands else int(np.uint64(fingerprint(text.as_py())).astype(np.int64)))
-            marked = pa.array(marks, pa.list_(pa.int64()) if bands else pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(copies, pa.string()), pa.array(sizes, pa.int64()), marked], names=["row", "doc_id", "copy", "n", "mark"])
+                keys.append(key)
+                flips.append(flip)
+            arrays = [pa.array(copies, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(flips, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["row", "doc_id", "copy", "n", "keys", "flips"])
 
-    out = rows.select("row", "doc_id", "text").mapInArrow(run, f"row string, doc_id {kind}, copy string, n long, mark {'array<bigint>' if bands else 'long'}")
-    return out.withColumnRenamed("mark", "bands" if bands else "fp")
+    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row string, doc_id {kind}, copy binary, n long, keys array<bigint>, flips array<bigint>")
 
 
-def classes_of(marked: DataFrame, mark: str) -> DataFrame:
-    """One row for each shingle set: copy, n, mark and best, its row with the smallest id (null ids last)."""
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
-    return marked.groupBy("copy").agg(F.min("n").alias("n"), F.min(mark).alias(mark), best)
+def bucket(segment: Column, key: Column) -> Column:
+    """One number of a segment and a value of it."""
+    return F.shiftleft(segment.cast("long"), 32).bitwiseOR(key)
+
+
+def balls(classes: DataFrame) -> DataFrame:
+    """copy and bucket for every value in the ball of each of its segments."""
 
+    def probes(segment: Column) -> Column:
+        flip = [F.get("flips", segment * UNSURE + i) for i in range(UNSURE)]
+        return F.array(*[sum((flip[i] for i in c), F.lit(0).cast("long")) for c in BALL])
 
-def may_be(a: Column, b: Column, similarity: float) -> Column:
-    """Whether sets of these sizes can be so similar."""
-    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9 * F.greatest(a, b)
+    segment = classes.select("copy", "flips", F.posexplode("keys").alias("segment", "key"))
+    turned = segment.select("copy", "segment", "key", F.explode(probes(F.col("segment"))).alias("turned"))
+    return turned.select("copy", bucket(F.col("segment"), F.col("key").bitwiseXOR(F.col("turned"))).alias("bucket"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose shingle sets have that Jaccard similarity or more, by the whole sets."""
-    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("copy")).union(pairs.select("b")).distinct()
-    chosen = classes.join(asked, "copy", "left_semi").select("copy", F.col("best.row").alias("row"))
-    texts = rows.select("row", "text").join(chosen, "row").select("copy", "row", "text")
+def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes of that Jaccard similarity or more over their whole shingle sets.
+
+    The complete fingerprints are compared first; they leave few pairs but true ones, and only for these the
+    texts are read again."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    left, right = (classes.select(F.col("copy").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}")) for c in "ab")
+    apart = F.aggregate(F.zip_with("keys_a", "keys_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") * (1 - 1e-9)
+    close = materialize(pairs.join(left, "a").join(right, "b").where(sizes & (apart <= most_apart(bits, similarity))).select("a", "b"), "close")
+    asked = close.select(F.col("a").alias("copy")).union(close.select("b")).distinct()
+    texts = rows.select("row", "text").join(classes.join(asked, "copy", "left_semi").select("copy", F.col("best.row").alias("row")), "row").select("copy", "row", "text").dropDuplicates(["copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = ShingleSets()
         for batch in batches:
-            sets = [shingle_set(text.as_py()).view(np.int64) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["copy", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sets(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["copy", "hashes"])
 
-    sets = materialize(texts.dropDuplicates(["copy"]).select("copy", "text").mapInArrow(run, "copy string, hashes array<bigint>"), "sets")
-    left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
+    found = materialize(texts.select("copy", "text").mapInArrow(run, "copy binary, hashes array<bigint>"), "sets")
+    both = close.join(found.toDF("a", "left"), "a").join(found.toDF("b", "right"), "b")
     shared = F.size(F.array_intersect("left", "right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return both.where(shared / (F.size("left") + F.size("right") - shared) >= similarity).select("a", "b")
 
 
-def chosen_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs that kept names, each once."""
-    return docs.join(kept.select("row"), "row", "left_semi").dropDuplicates(["row"]).drop("row")
-
-
-def fingerprint_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs (doc_id, text and others) without copies that fingerprints find and exact similarity confirms.
-
-    Groups are those of simhash_dedup(). Of each the row with the smallest id stays, null ids after others,
-    and so does every row whose text is not so similar to it: ids play no part in what a copy is."""
-    rows = with_row(docs)
-    marked = materialize(sketches(rows, bands=False), "fingerprints")
-    classes = materialize(classes_of(marked, "fp"), "classes")
-    roots = components(links(classes.select("fp").distinct()))
-    placed = materialize(classes.join(roots, classes["fp"] == roots["node"], "left").select("copy", "n", "best", F.coalesce("root", "fp").alias("root")), "placed")
-    heads = placed.groupBy("root").agg(F.min(F.struct("best", "copy", "n")).alias("head"))
-    near = placed.join(heads, "root").where((F.col("copy") != F.col("head.copy")) & may_be(F.col("n"), F.col("head.n"), similarity))
-    gone = verified(near.select(F.col("head.copy").alias("a"), F.col("copy").alias("b")), classes, rows, similarity)
-    return chosen_rows(rows, placed.join(gone.select(F.col("b").alias("copy")), "copy", "left_anti").select(F.col("best.row").alias("row")))
-
-
-def minhash_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each group that pairs of this similarity or more link: the one with the smallest id.
-
-    Classes that share a band are candidates. First each is compared with the smallest of its bucket, which
-    joins the members of a large group by as many pairs as it has members. Only where a bucket still has
-    members of several components are the pairs across them compared too, so no candidate is left out."""
-    rows = with_row(docs)
-    marked = materialize(sketches(rows, bands=True), "sketches")
-    classes = materialize(classes_of(marked, "bands"), "classes")
-    member = classes.select("copy", "n", F.posexplode("bands").alias("band", "key"))
-    size = F.count("*").alias("members")
-    buckets = member.groupBy("band", "key").agg(size, F.min(F.struct("copy", "n")).alias("head")).where("members > 1")
-    member = materialize(member.join(buckets, ["band", "key"]), "buckets")
-    star = member.where((F.col("copy") != F.col("head.copy")) & may_be(F.col("n"), F.col("head.n"), similarity))
-    near = materialize(verified(star.select(F.col("head.copy").alias("a"), F.col("copy").alias("b")), classes, rows, similarity), "near")
+def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs (doc_id, text and others) with one row of each group of near copies: the one with the smallest id.
+
+    Two texts are near copies if their sets of five-word shingles have Jaccard similarity `similarity` or more;
+    groups are what such pairs connect. Texts of one shingle set are one class from the first shuffle on, texts
+    without words too. Null ids come after others; rows equal in all columns are one row; an empty table gives
+    none; other columns stay as they are, whatever their names.
+
+    Candidates: a segment's value is looked up under every value of its ball (multi-index hashing). A pair of
+    similarity 0.8 is missed with chance MISSED, and with less above it. Each class is compared with the first
+    of its bucket, so a group costs as many pairs as it has members; only where a bucket still holds several
+    groups are the pairs across them compared. Each candidate is verified over the complete fingerprint, then
+    over the whole shingle sets. `similarity` below 0.8 would need more segments than layout() gives."""
+    rows, row = with_row(docs)
+    named = rows.select(F.col(row).alias("row"), "doc_id", "text")
+    width, segments = layout(docs.count())
+    marked = materialize(sketches(named, width, segments), "sketches")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
+    classes = materialize(marked.groupBy("copy").agg(F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("flips").alias("flips"), best), "classes")
+
+    own = classes.select("copy", F.posexplode("keys").alias("segment", "key")).select("copy", bucket(F.col("segment"), F.col("key")).alias("bucket"))
+    heads = materialize(own.groupBy("bucket").agg(F.min("copy").alias("head"), F.count("*").alias("owners")), "heads")
+    star = balls(classes).join(heads.hint("merge"), "bucket").where(F.col("copy") != F.col("head")).select(F.col("head").alias("a"), F.col("copy").alias("b"))
+    near = materialize(verified(star, classes, named, width * segments, similarity), "near")
     roots = components(near)
-    placed = materialize(member.join(roots, member["copy"] == roots["node"], "left").select("band", "key", "members", "head", "copy", "n", F.coalesce("root", "copy").alias("root")), "placed")
-    mixed = placed.where("members > 2").groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
-    left = placed.join(mixed, ["band", "key"]).where(F.col("copy") != F.col("head.copy")).select("band", "key", "copy", "n", "root")
-    left = materialize(left, "mixed")
-    right = left.select("band", "key", F.col("copy").alias("b"), F.col("n").alias("other"), F.col("root").alias("theirs"))
-    across = left.join(right, ["band", "key"]).where((F.col("copy") < F.col("b")) & (F.col("root") != F.col("theirs")) & may_be(F.col("n"), F.col("other"), similarity))
-    more = verified(across.select(F.col("copy").alias("a"), "b"), classes, rows, similarity)
-    roots = components(near.union(more))
-    grouped = classes.join(roots, classes["copy"] == roots["node"], "left").select("best", F.coalesce("root", "copy").alias("root"))
-    return chosen_rows(rows, grouped.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row")))
+
+    shared = materialize(heads.where("owners > 1").select("bucket", "head"), "shared")
+    placed = classes.select("copy", "flips", "keys").join(roots, F.col("copy") == F.col("node"), "left").select("copy", "flips", "keys", F.coalesce("root", "copy").alias("root"))
+    owners = own.join(placed.select("copy", "root"), "copy").join(shared, "bucket").where(F.col("copy") != F.col("head"))
+    members = materialize(balls(placed).join(shared.hint("merge"), "bucket").join(placed.select("copy", "root"), "copy").select("bucket", "copy", "root"), "members")
+    kinds = members.select("bucket", "root").distinct()
+    across = kinds.join(kinds.withColumnRenamed("root", "theirs"), "bucket").where(F.col("root") != F.col("theirs"))
+    mixed = owners.select("bucket", F.col("copy").alias("a"), "root").join(across, ["bucket", "root"])
+    more = mixed.join(members.select("bucket", F.col("copy").alias("b"), F.col("root").alias("theirs")), ["bucket", "theirs"]).select("a", "b")
+    roots = components(near.union(verified(more, classes, named, width * segments, similarity)))
+    grouped = classes.join(roots, F.col("copy") == F.col("node"), "left").groupBy(F.coalesce("root", "copy")).agg(F.min("best").alias("best"))
+    return rows.join(grouped.select(F.col("best.row").alias(row)), row, "left_semi").dropDuplicates([row]).drop(row)

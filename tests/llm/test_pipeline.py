@@ -3,14 +3,38 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import corpus_pipeline as cp
-from fairground.llm import line_dedup, simhash
+from fairground.llm import line_dedup
 from fairground.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
 
+def recall_of(before, gone):
+    """The share that went of the documents that go when every pair is compared; no others went."""
+    holders, known, root = {}, {}, {}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, own in sorted((r["doc_id"], shingles(r["text"] or "") or {""}) for r in before.collect()):
+        root[i] = i
+        for j, n in Counter(j for s in own for j in holders.get(s, ())).items():
+            if n / (len(own) + len(known[j]) - n) >= 0.8:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+        for s in own:
+            holders.setdefault(s, []).append(i)
+        known[i] = own
+    want = {i for i in root if find(i) != i}
+    assert gone <= want
+    return len(gone) / max(1, len(want))
+
+
 def test_stages_pass_on_what_they_keep(spark):
     docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
     for name, stage in cp.STAGES:
@@ -30,8 +54,7 @@ def test_stages_pass_on_what_they_keep(spark):
         if name == "line_dedup":
             assert not gone and after.exceptAll(before).count() == line_dedup.line_dedup(before).where("removed_lines > 0").count()
         if name == "near_dedup":
-            groups = {r["component_id"] for r in simhash.simhash_dedup(before).collect()}
-            assert {r["doc_id"] for r in after.collect()} == groups
+            assert recall_of(before, gone) >= 0.9
     assert seen[-1][2].count() == seen[-1][1].count()
     assert cp.run(spark, SF).count() == seen[-1][2].count()
 
@@ -56,7 +79,7 @@ def test_near_copies_are_told_by_text_whatever_the_ids(spark):
 
 def shingles(text):
     words = text.lower().split()
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    return set() if not words else {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
 def similarity(a, b):
@@ -76,7 +99,7 @@ def test_copies_of_similarity_over_four_fifths_go_and_others_stay(spark):
         texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(copy)
         planted[2 * k + 1] = similarity(texts[2 * k], texts[2 * k + 1])
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
-    out = {r["doc_id"] for r in cp.without_similar(spark, cp.without_near_copies(spark, docs, SF), SF).collect()}
+    out = {r["doc_id"] for r in cp.without_near_copies(spark, docs, SF).collect()}
     assert set(planted) - out == {i for i, s in planted.items() if s >= 0.8} and set(texts) - set(planted) <= out
     assert sum(0.8 <= s < 0.98 for s in planted.values()) > 40 and sum(s < 0.8 for s in planted.values()) > 10
 
@@ -91,16 +114,7 @@ def test_a_bucket_of_several_groups_loses_no_pair(spark):
             if similarity(texts[i], texts[j]) >= 0.8:
                 group = [group[j] if g == group[i] else g for g in group]
     least = {min(i for i, h in enumerate(group) if h == g) for g in set(group)}
-    assert {r["doc_id"] for r in cp.without_similar(spark, docs, SF).collect()} == least and len(least) == 10
-
-
-def test_fingerprints_alone_drop_nothing_that_differs(spark, monkeypatch):
-    from fairground.llm import near
-
-    monkeypatch.setattr(near, "links", lambda prints: prints.select(near.F.least("fp", near.F.lit(-(1 << 62))).alias("a"), near.F.greatest("fp", near.F.lit(-(1 << 62))).alias("b")))
-    rows = [(i, f"wholly other words in text number {i} here", "en", "s", 1) for i in range(5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert cp.without_near_copies(spark, docs, SF).count() == 5
+    assert {r["doc_id"] for r in cp.without_near_copies(spark, docs, SF).collect()} == least and len(least) == 10
 
 
 def test_every_operator_has_one_query():
