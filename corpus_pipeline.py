@@ -1,4 +1,4 @@
-"""From raw documents to packed ones: quality, toxicity, repeated lines, near-duplicates by fingerprints and by shingles, packing.
+"""From raw documents to packed ones: quality, toxicity, repeated lines, near-duplicates by fingerprints, packing.
 
 The classifiers have no SQL, so neither has the pipeline; tests hold it against brute force."""
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fairground.llm.bpe import token_counts
 from fairground.llm.common import materialize, read
 from fairground.llm.line_dedup import line_dedup
-from fairground.llm.near import fingerprint_dedup, minhash_dedup
+from fairground.llm.near import near_dedup
 from fairground.llm.packing import pack
 from fairground.llm.quality import fit_quality, with_quality
 from fairground.llm.queries import GOOD, TOXIC
@@ -41,15 +41,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document but those that fingerprints group with one of a smaller id and whose similarity to it
-    is 0.8 or more; of rows equal in all columns, one. What fingerprints miss is left to the next stage."""
-    return fingerprint_dedup(docs.select(*COLUMNS))
-
-
-def without_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs of similarity 0.8 or more over five-word shingles link: the
-    one with the smallest id."""
-    return minhash_dedup(docs.select(*COLUMNS))
+    """One document of each group that pairs of similarity 0.8 or more over five-word shingles connect: the
+    one with the smallest id. Candidates come from fingerprints of these shingles."""
+    return near_dedup(docs.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +51,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(token_counts(docs.select("doc_id", "lang", "source", "n_chars", "text")), "n_tokens")
 
 
-STAGES = [("quality", good_quality), ("toxicity", not_toxic), ("line_dedup", without_repeated_lines), ("near_dedup", without_near_copies), ("shingle_dedup", without_similar), ("packing", packed)]
+STAGES = [("quality", good_quality), ("toxicity", not_toxic), ("line_dedup", without_repeated_lines), ("near_dedup", without_near_copies), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
