@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..storage import drop_materialized, materialize, shared_dir, table_path
 
-__all__ = ["bounded_batches", "drop_materialized", "free_name", "materialize", "partitions", "ranked", "read", "shared_dir", "table_path"]
+__all__ = ["bounded_batches", "drop_materialized", "free_name", "materialize", "partitions", "ranked", "read", "shared_dir", "table_path", "whole", "with_hot"]
 
 #: Bytes of an Arrow batch sent to a Python worker, so that long texts do not add up.
 ARROW_BATCH_BYTES = 32 << 20
+#: The share of all rows from which a group counts as hot is one in so many.
+HOT = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,16 +28,37 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, group: list[str], cell: str, order: list[Column], out: str) -> DataFrame:
-    """Gapless ranks from 0 within each group, in the order of (cell, order), without a task per group.
+def ranked(df: DataFrame, group: str, cell: str, order: list[str], out: str) -> DataFrame:
+    """df without cell, and out: gapless ranks from 0 within each group, in the order of (cell, order), without a task per group.
 
-    Each (group, cell) is sorted alone and shifted by the rows of the cells before it, so a group of any
-    size spreads over its cells. df is read twice and must give the same rows both times (a stored table).
-    The offsets are broadcast: groups times cells rows, both bounded by the caller."""
-    before = Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(*group, cell).agg(F.count("*").alias("_n")).select(*group, cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(*group, cell).orderBy(*order)
-    return df.join(F.broadcast(offsets), [*group, cell]).withColumn(out, F.col("_before") + F.row_number().over(within) - 1).drop("_before", cell)
+    df has no columns but those that its operator made. Each (group, cell) is sorted alone and shifted by the
+    rows of the cells before it, so a group of any size spreads over its cells. df is read twice and must give
+    the same rows both times (a stored table). The offsets are broadcast: groups times cells rows, both bounded
+    by the caller."""
+    before = Window.partitionBy(group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy(group, cell).agg(F.count("*").alias("n")).select(group, cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy(group, cell).orderBy(*order)
+    return df.join(F.broadcast(offsets), [group, cell]).withColumn(out, F.col("before") + F.row_number().over(within) - 1).drop("before", cell)
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that an operator's own columns beside it clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def with_hot(rows: DataFrame, keys: list[str], groups: DataFrame, size: str, values: list[str]) -> DataFrame:
+    """rows and the values of their group (null where groups has none), though one group holds any share of the rows.
+
+    groups: a stored table, one row for each of keys, with the number of its rows in `size`. A group that holds
+    more than a HOT-th of all these rows is hot; there are fewer than HOT of them, so they are broadcast. Their
+    rows need no join any more and are dealt by number instead of by key; all others meet their group by key."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) * HOT > total).select(*[F.col(k).alias(f"hot_{k}") for k in keys], F.struct(*values).alias("hot"))
+    cold = groups.where(F.col(size) * HOT <= total).select(*[F.col(k).alias(f"cold_{k}") for k in keys], F.lit(-1).cast("long").alias("cold_at"), F.struct(*values).alias("cold"))
+    same = lambda kind: [F.col(k) == F.col(f"{kind}_{k}") for k in keys]
+    met = rows.join(F.broadcast(hot), same("hot"), "left").withColumn("at", F.when(F.col("hot").isNull(), -1).otherwise(F.monotonically_increasing_id()))
+    found = met.join(cold, [F.col("at") == F.col("cold_at"), *same("cold")], "left")
+    return found.select(*rows.columns, *[F.coalesce("hot", "cold")[v].alias(v) for v in values])
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, with_hot
+
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, text_sha256.
@@ -18,20 +20,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The aggregate is keyed by (hash, text): Spark's hash table compares the keys byte by byte, so two
     texts with one hash stay apart. It combines before the shuffle, so a hot text sends one row a task.
-    Only (id, hash, sha256) goes back through a join, which Spark may split where one hash is hot. If two
-    texts shared the content hash and the sha256 too, the query would stop rather than mix them up."""
+    Only (id, hash, sha256) goes back through a join; texts that many rows share are broadcast there, fewer
+    than HOT of them. If two texts shared the content hash and the sha256 too, the query would stop rather
+    than mix them up."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_hash", content_hash(F.col("_text")))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("hash", content_hash(F.col("text")))
     pick = F.max if keep == "max" else F.min
-    texts = rows.groupBy("_hash", "_text").agg(pick("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = texts.select("_hash", F.sha2("_text", 256).alias("_sha"), "keep_id", "group_size")
+    texts = rows.groupBy("hash", "text").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = texts.select("hash", F.sha2("text", 256).alias("sha"), "keep_id", "group_size")
     collided = F.raise_error(F.lit("two texts share the content hash and the sha256"))
-    groups = groups.groupBy("_hash", "_sha").agg(F.when(F.count("*") == 1, F.max("keep_id")).otherwise(collided.cast("long")).alias("keep_id"), F.max("group_size").alias("group_size"))
-    members = rows.select("_id", "_hash", F.sha2("_text", 256).alias("_sha"))
-    return members.join(groups, ["_hash", "_sha"]).select(
-        F.col("_id").alias(id_col),
-        "keep_id",
-        "group_size",
-        F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("_sha").alias("text_sha256"),
-    )
+    groups = groups.groupBy("hash", "sha").agg(F.max("keep_id").alias("keep_id"), F.when(F.count("*") == 1, F.max("group_size")).otherwise(collided.cast("long")).alias("group_size"))
+    members = rows.select("id", "hash", F.sha2("text", 256).alias("sha"))
+    found = with_hot(members, ["hash", "sha"], materialize(groups, "texts"), "group_size", ["keep_id", "group_size"])
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))

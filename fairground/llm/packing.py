@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, partitions, ranked
+from .common import free_name, materialize, partitions, ranked, whole
 
 BUCKETS, BUDGET, CELLS = 16, 65536, 4096
 
@@ -77,11 +77,13 @@ def pack(df: DataFrame, length: str, buckets: int = BUCKETS, budget: int = BUDGE
     names = {c: free_name(df, c) for c in ("bucket", "padded_length", "batch", "slot")}
     cells = min(CELLS, 4 * partitions(spark))
     cols = [F.col(f"`{c}`") for c in df.columns]
-    rows = materialize(df.withColumns({"__length": F.coalesce(F.col(f"`{length}`").cast("long"), F.lit(0)), "__order": F.xxhash64(F.lit(seed), *cols), "__cell": F.pmod(F.xxhash64(F.lit(seed + 1), *cols), F.lit(cells)).cast("int")}), "packing")
-    bounds = optimal_bounds([tuple(r) for r in rows.groupBy("__length").count().collect()], buckets)
+    rows = df.select(whole(df).alias("row"), F.coalesce(F.col(f"`{length}`").cast("long"), F.lit(0)).alias("length"), F.xxhash64(F.lit(seed), *cols).alias("order"), F.pmod(F.xxhash64(F.lit(seed + 1), *cols), F.lit(cells)).cast("int").alias("cell"))
+    rows = materialize(rows, "packing")
+    bounds = optimal_bounds([tuple(r) for r in rows.groupBy("length").count().collect()], buckets)
     limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
-    placed = rows.withColumn(names["bucket"], F.size(F.filter(limits, lambda b: b < F.col("__length"))))
-    out = ranked(placed, [names["bucket"]], "__cell", [F.col("__order")], "__rank")
-    bound = F.get(limits, F.col(names["bucket"]))
+    placed = rows.withColumn("bucket", F.size(F.filter(limits, lambda b: b < F.col("length"))))
+    out = ranked(placed, "bucket", "cell", ["order"], "rank")
+    bound = F.get(limits, F.col("bucket"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(bound, F.lit(1)))).cast("long")
-    return out.withColumns({names["padded_length"]: bound, names["batch"]: F.floor(F.col("__rank") / room).cast("long"), names["slot"]: F.pmod(F.col("__rank"), room).cast("long")}).drop("__length", "__order", "__rank")
+    placed_at = {"bucket": F.col("bucket"), "padded_length": bound, "batch": F.floor(F.col("rank") / room).cast("long"), "slot": F.pmod(F.col("rank"), room).cast("long")}
+    return out.select("row.*", *[made.alias(names[c]) for c, made in placed_at.items()])

@@ -65,7 +65,9 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     each fingerprint looks its segments up in the table under their own value and under those one bit
     away. Of two values one bit apart, one has that bit clear, so only clear bits are tried: half the
     ball finds every pair. Each match is verified over all 64 bits. A fingerprint has no more links than
-    its ball has members, whatever the size of the corpus, so rows stay in proportion to the input."""
+    its ball has members, whatever the size of the corpus, so rows stay in proportion to the input. Probes
+    are many times the table they come from, which size estimates do not see: both sides are sorted and
+    merged, neither is broadcast."""
     assert distance // segments <= 1 and 64 % segments == 0
     width = 64 // segments
     mask = (1 << width) - 1
@@ -75,7 +77,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     ball = F.concat(F.array(F.lit(0).cast("long")), bits) if distance >= segments else F.array(F.lit(0).cast("long"))
     probes = table.select(F.col("fp").alias("a"), "seg", F.col("key").alias("own"), F.explode(ball).alias("flip"), "key").select("a", "seg", (F.col("key").bitwiseOR(F.col("flip"))).alias("key"), (F.col("flip") == 0).alias("same"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    found = probes.join(table.withColumnRenamed("fp", "b"), ["seg", "key"]).where((apart <= distance) & (~F.col("same") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")))
+    found = probes.join(table.withColumnRenamed("fp", "b").hint("merge"), ["seg", "key"]).where((apart <= distance) & (~F.col("same") | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
