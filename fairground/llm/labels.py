@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import by_value
-from .common import bounded_batches
+from .common import bounded_batches, free_name, materialize
 
 #: Rows whose remainder is this are held out: no classifier learns from them.
 HELD_OUT, FOLDS = 2, 4
@@ -24,26 +24,32 @@ def fold(id_col: str) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, balanced: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text, y, fold, weight of at most `most` labelled rows that are not held out.
-
-    Labels that repeat an id are averaged (1 from a half on); null ids and null labels are left out. Rows
-    are taken by a hash of the id, so the sample does not depend on the order or the partitions. balanced:
-    at most half from each label, with weights that restore their shares. The ids taken are broadcast:
-    `most` of them, whatever the size of the tables."""
-    marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y")).withColumn("fold", fold("_id")).where(F.col("fold") != HELD_OUT)
-    order = [F.xxhash64("_id"), F.col("_id")]
+    """id, text, y, fold, weight of at most `most` labelled rows of docs that are not held out.
+
+    Labels that repeat an id are averaged (1 from a half on); null ids and null labels are left out. An id
+    counts once: of several texts the least. Rows are taken by a hash of the id, so the sample does not
+    depend on the order or the partitions. balanced: at most half from each label, with weights that restore
+    the shares that the labels have in docs. The ids taken are broadcast: `most` of them, whatever the size
+    of the tables."""
+    marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y")).withColumn("fold", fold("id")).where(F.col("fold") != HELD_OUT)
+    marks = materialize(docs.select(F.col(id_col).alias("id")).distinct().join(marks, "id"), "labelled")
+    order = [F.xxhash64("id"), F.col("id")]
     if balanced:
         totals = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
         parts = [marks.where(F.col("y") == y).orderBy(*order).limit(most // 2).withColumn("weight", F.lit(max(1.0, n / (most // 2)))) for y, n in sorted(totals.items())]
         taken = parts[0].unionByName(parts[1]) if len(parts) == 2 else (parts or [marks.withColumn("weight", F.lit(1.0))])[0]
     else:
         taken = marks.orderBy(*order).limit(most).withColumn("weight", F.lit(1.0))
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(taken), "_id").select("text", "y", "fold", "weight")
+    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(taken), "id")
+    return found.groupBy("id", "y", "fold", "weight").agg(F.min("text").alias("text")).select("id", "text", "y", "fold", "weight")
 
 
 def with_score(docs: DataFrame, score: Callable[[list[str | None]], np.ndarray], out: str, text_col: str = "text") -> DataFrame:
-    """docs and the column `out`: score() of each whole text, in Arrow batches of bounded bytes."""
+    """docs and, last, the column `out`: score() of each whole text, in Arrow batches of bounded bytes.
+
+    Where docs has a column of that name, it stays and the new one takes a leading underscore."""
     bounded_batches(docs.sparkSession)
+    out = free_name(docs, out)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

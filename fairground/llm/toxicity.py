@@ -7,15 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..shipping import by_value
-from .common import bounded_batches
+from .common import bounded_batches, materialize
 from .labels import training_rows, with_score
 
-#: Labelled rows that a model is fitted on at most, n-gram lengths, bits of a feature's number.
-MOST_ROWS, SHORTEST, LONGEST, BITS = 3_000, 3, 5, 20
-SMOOTH, RIDGE, STEPS = 1.0, 1e-2, 40
+#: Labelled rows that a model is fitted on at most, and distinct n-grams of all of them (4 bytes each on the driver).
+MOST_ROWS, MOST_GRAMS = 3_000, 16_000_000
+#: n-gram lengths, bits of a feature's number.
+SHORTEST, LONGEST, BITS = 3, 5, 20
+SMOOTH, RIDGE, STEPS, IN_TEXTS = 1.0, 1e-2, 40, 2
 #: Characters hashed at once.
 AT_ONCE = 1 << 20
 by_value(__name__)
@@ -100,19 +103,20 @@ def minimize(value, start: np.ndarray, steps: int, memory: int = 8) -> np.ndarra
     return x
 
 
-def fit_rows(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, smooth: float = SMOOTH, ridge: float = RIDGE, steps: int = STEPS) -> ToxicityModel:
-    """rows: distinct feature numbers of each text; the list is emptied on the way."""
+def fit_rows(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, smooth: float = SMOOTH, ridge: float = RIDGE, steps: int = STEPS, in_texts: int = IN_TEXTS) -> ToxicityModel:
+    """rows: distinct feature numbers of each text; the list is emptied on the way. Features of fewer than
+    in_texts of these texts get no weight."""
     size = 1 << BITS
     share = float((weight * y).sum() / weight.sum()) if len(y) else 0.5
     if not rows or not 0 < share < 1:
         return ToxicityModel(np.zeros(size, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    in_texts = np.zeros(size, np.int32)
+    times = np.zeros(size, np.int32)
     for r in rows:
-        in_texts[r] += 1
-    used = np.flatnonzero(in_texts >= 2)
+        times[r] += 1
+    used = np.flatnonzero(times >= in_texts)
     number = np.full(size, -1, np.int32)
     number[used] = np.arange(len(used), dtype=np.int32)
-    # Only features of two texts or more stay, as 32-bit numbers: a few bytes for each of them and text.
+    # Only these features stay, as 32-bit numbers: a few bytes for each of them and text.
     for i, r in enumerate(rows):
         rows[i] = number[r][number[r] >= 0]
     ends = np.cumsum([len(r) for r in rows])
@@ -157,24 +161,38 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, smooth:
     return ToxicityModel(weights, float(found[-1]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_ROWS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_ROWS, most_grams: int = MOST_GRAMS, in_texts: int = IN_TEXTS) -> ToxicityModel:
     """Learn label 1 from at most `most` labelled rows, half of each label, none of them held out.
 
-    Executors turn whole texts into distinct feature numbers; the driver gets those of the `most` rows
-    only and fits the weights. Without labelled rows every score is 0.5."""
+    Executors turn whole texts into distinct feature numbers and store them. The driver gets those of the
+    rows taken and fits the weights: rows of each label in the order of a hash, as long as all of that label
+    have most_grams / 2 numbers or fewer, so its memory is bounded by bytes too. A row that would go beyond
+    is left out of the sample whole; one with more than that alone never counts. Without labelled rows every
+    score is 0.5."""
     bounded_batches(docs.sparkSession)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct = Distinct()
         for batch in batches:
             found = [np.concatenate([*distinct(t), np.zeros(0, np.uint32)]).astype("<u4").tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["grams", "y", "weight"])
-
-    rows = training_rows(docs, labels, label, most, balanced=True).select("text", "y", "weight").mapInArrow(number, "grams binary, y int, weight double").toArrow()
-    texts = [np.frombuffer(g.as_buffer(), "<u4") for g in rows.column("grams")]
-    y, weight = rows.column("y").to_numpy().astype(float), rows.column("weight").to_numpy()
-    del rows
-    return fit_rows(texts, y, weight)
+            sizes = [len(f) // 4 for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sizes, pa.int64()), *batch.columns[1:]], names=["grams", "size", "y", "weight", "order"])
+
+    rows = training_rows(docs, labels, label, most, balanced=True).select("text", "y", "weight", F.xxhash64("id").alias("order"))
+    rows = materialize(rows.mapInArrow(number, "grams binary, size long, y int, weight double, order long"), "grams")
+    taken = F.sum("size").over(Window.partitionBy("y").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sizes = rows.select("y", "order", "size").withColumn("sum", taken).where(F.col("sum") <= most_grams // 2)  # `most` narrow rows
+    last = {r["y"]: (r["order"], r["n"]) for r in sizes.groupBy("y").agg(F.max("order").alias("order"), F.count("*").alias("n")).collect()}
+    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    chosen = F.lit(False)
+    for y, (order, _) in last.items():
+        chosen = chosen | ((F.col("y") == y) & (F.col("order") <= order))
+    found = rows.where(chosen).select("grams", "y", "weight").toArrow()
+    texts = [np.frombuffer(g.as_buffer(), "<u4") for g in found.column("grams")]
+    y = found.column("y").to_numpy().astype(float)
+    weight = found.column("weight").to_numpy() * np.array([totals[k] / last[k][1] for k in y.astype(int)])
+    del found
+    return fit_rows(texts, y, weight, in_texts=in_texts)
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "score", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from fairground.llm import labels as labels_
 from fairground.llm import bpe, exact_dedup, line_dedup, media, packing, quality, sharding, simhash, tokenfile, toxicity
 
 LONG = "word " * 30_000
@@ -335,10 +336,88 @@ def test_sequences_keep_order_and_captions(spark):
     assert [i["size"] for i in found[1]] == [None, None, None, None, 7, None, None] and found[2] == []
 
 
+def brute_isotonic(y):
+    """The least-squares rising fit, by the max-min formula over all blocks."""
+    n = len(y)
+    return [max(min(np.mean(y[a : b + 1]) for b in range(k, n)) for a in range(k + 1)) for k in range(n)]
+
+
 def test_isotonic_levels_rise_and_are_least_squares():
-    x, y = np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1])
-    knots, levels = quality.pool_adjacent(x, y)
-    assert levels.tolist() == [0.0, 0.5, 1.0] and knots.tolist() == [1.0, 2.0, 4.0] or (np.diff(levels) > 0).all()
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(rng.integers(1, 40))
+        x, y = rng.permutation(n).astype(float), rng.integers(0, 2, n).astype(float)
+        knots, levels = quality.pool_adjacent(x, y)
+        fitted = levels[np.searchsorted(knots, np.sort(x), side="right") - 1]
+        assert np.allclose(fitted, brute_isotonic(y[np.argsort(x)])) and (np.diff(levels) > 0).all()
+
+
+def test_ridge_sums_are_the_normal_equations(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["Aa", "bb!", "c1", "dd,", "ee"]) for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, len(t) % 2) for i, t in enumerate(texts)], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels, features=32)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    rows = [(quality.statistics(t), len(t) % 2) for i, t in enumerate(texts) if fold(i) not in (2, quality.CALIBRATION_FOLD)]
+    stats, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    assert np.allclose(model.mean, stats.mean(0))
+    z = model.features(stats)
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * len(y) * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+    held = [(quality.statistics(t), len(t) % 2) for i, t in enumerate(texts) if fold(i) == quality.CALIBRATION_FOLD]
+    order = np.argsort(model.raw(np.array([h[0] for h in held])))
+    fitted = np.interp(model.raw(np.array([h[0] for h in held]))[order], model.knots, model.levels)
+    assert (np.diff(fitted) >= -1e-12).all() and len(model.knots) >= 1
+
+
+def test_naive_bayes_ratios_scale_the_features():
+    rng = np.random.default_rng(0)
+    rows = [np.unique(rng.integers(0, 50, 12)).astype(np.uint32) for _ in range(300)]
+    y = np.array([float((r < 5).sum() >= 2) for r in rows])
+    weight = np.where(y == 1, 1.0, 2.0)
+    x = np.zeros((300, 50))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    model = toxicity.fit_rows([r.copy() for r in rows], y, weight, in_texts=1)
+    hits, misses = weight * y @ x + toxicity.SMOOTH, weight * (1 - y) @ x + toxicity.SMOOTH
+    ratio = np.log(hits / hits.sum()) - np.log(misses / misses.sum())
+
+    def loss(w, b):
+        z = x @ (ratio * w) + b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() / weight.sum() + toxicity.RIDGE / 2 * w @ w
+
+    w = model.weights[:50] / ratio
+    best = loss(w, model.bias)
+    assert best < loss(np.zeros(50), np.log((weight * y).sum() / (weight * (1 - y)).sum()))
+    for k in range(50):  # no step along an axis makes it clearly better
+        for step in (-0.05, 0.05):
+            assert loss(w + step * (np.arange(50) == k), model.bias) > best - 1e-4
+    assert not toxicity.fit_rows([r.copy() for r in rows], y, weight, in_texts=400).weights.any()
+
+
+def test_training_rows_are_of_the_table_and_count_an_id_once(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(200)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1000)], "doc_id long, toxic int")
+    rows = labels_.training_rows(docs, labels, "toxic", 20, balanced=True).collect()
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    hits = sum(i % 3 == 0 for i in ids)
+    assert len({r["id"] for r in rows}) == len(rows) == 20 and {r["id"] for r in rows} <= set(ids)
+    assert all(r["text"] == min(f"text {k}" for k in range(r["id"], 200, 40)) for r in rows)
+    assert abs(sum(r["weight"] for r in rows if r["y"]) - hits) < 1e-9 and abs(sum(r["weight"] for r in rows) - len(ids)) < 1e-9
+
+
+def test_toxicity_sample_is_bounded_by_its_ngrams(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(60)] + [(60, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id long, toxic int")
+    seen, fit = [], toxicity.fit_rows
+    try:
+        toxicity.fit_rows = lambda rows, y, weight, **more: seen.append((len(rows), sum(map(len, rows)), weight.sum())) or fit(rows, y, weight, **more)
+        for most in (4_000, 10**9):
+            toxicity.fit_toxicity(docs, labels, most_grams=most)
+    finally:
+        toxicity.fit_rows = fit
+    assert 0 < seen[0][1] <= 4_000 < seen[1][1] and seen[0][0] < seen[1][0] and abs(seen[0][2] - seen[1][2]) < 1e-6
 
 
 def _labelled(spark, make, n=800):
