@@ -45,6 +45,14 @@ def drop_materialized(df: DataFrame) -> None:
         files.delete(path, True)
 
 
+def write_bytes(spark: SparkSession, name: str, data: bytes) -> None:
+    """Write a file through the file system that Spark knows by its name; what is there is replaced."""
+    files, path = _path(spark, name)
+    out = files.create(path, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 class Snapshots:
     """Versions of one table in a folder; a pointer file names the current one.
 
