@@ -8,7 +8,6 @@ import os
 import re
 import struct
 import sys
-import tempfile
 import types
 import unicodedata
 import uuid
@@ -23,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import by_value
-from .common import bounded_batches, materialize
+from .common import bounded_batches, free_name, materialize, shared_dir, write_bytes
 
 VOCABULARY = "word_bpe_49k.json"
 #: Frequent words compiled, the longest that is compiled or remembered, and chunks that a worker remembers.
-LEXICON_WORDS, LONGEST, REMEMBERED = 65_536, 64, 300_000
+LEXICON_WORDS, LONGEST, REMEMBERED = 65_536, 64, 120_000
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: Characters that the fast path takes: NFC leaves them as they are, and they lower to Latin letters.
 OTHER = re.compile(r"[^\t-\r -įı-ſ]")
@@ -245,19 +244,20 @@ class IdCoder:
 
 
 def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs without text_col, and n_tokens: how many ids with_codes() gives the whole text; null: 0."""
+    """docs without text_col, and n_tokens: how many ids with_codes() gives the whole text; null: 0.
+    Where docs has that name, the new column takes a leading underscore."""
     path = path or vocabulary_path()
     bounded_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c != text_col]
+    kept, name = [c for c in docs.columns if c != text_col], free_name(docs, NAMES[0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = remembered(f"bpe {path}", lambda: WordBpe(path))
         coder = remembered(f"counts {path}", lambda: Coder(lambda chunk: sum(len(bpe.merge(w)) for w in bpe.words(chunk))))
         for batch in batches:
             counts = [sum(coder(bpe.chunks(text.as_py()))) for text in batch.column(len(kept))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(counts, pa.int64())], names=[*kept, NAMES[0]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(counts, pa.int64())], names=[*kept, name])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "n_tokens long"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{name}` long"])
     return docs.select(*kept, text_col).mapInArrow(count, schema)
 
 
@@ -288,40 +288,46 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
     return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+#: n with only its eight leading bits: at most 128 values for each power of two.
+ROUNDED = "n - n % shiftleft(1L, greatest(0, length(bin(n)) - 8))"
+
+
 def frequent_words(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text_col: str = "text") -> list[str]:
-    """The commonest words of all texts, `most` at most: all that stand at least so often that no more do.
+    """The commonest words of all texts, `most` at most.
 
-    How many words have each count comes to the driver first (a row for each distinct count), and gives the
-    least count; then only the words that reach it come, however many partitions there are."""
-    counts = materialize(word_counts(docs, path, text_col), "words")
+    How many words have each count, ROUNDED, comes to the driver first, some thousand rows at any size, and
+    gives the least such count that no more than `most` words reach; then only these words come, however
+    many partitions there are. Words of one count are all taken or none."""
+    counts = materialize(word_counts(docs, path, text_col).withColumn("about", F.expr(ROUNDED)), "words")
     total, least = 0, None
-    for n, words in sorted(counts.groupBy("n").count().collect(), reverse=True):
+    for n, words in sorted(counts.groupBy("about").count().collect(), reverse=True):
         total += words
         if total > most:
             break
         least = n
-    return [] if least is None else sorted(r["word"] for r in counts.where(F.col("n") >= least).select("word").collect())
+    return [] if least is None else sorted(r["word"] for r in counts.where(F.col("about") >= least).select("word").collect())
 
 
 def ship_lexicon(spark: SparkSession, words: list[str], path: str) -> str:
-    """Compile words and give the file to every executor, later ones too; its name there."""
+    """Compile words into a file of the shared folder and give it to every executor, later ones too; its name there."""
     bpe = WordBpe(path)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    folder = os.path.realpath(tempfile.mkdtemp())
-    with open(os.path.join(folder, name), "wb") as file:
-        file.write(compile_lexicon({w: bpe.merge(w) for w in words}))
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    where = f"{shared_dir(spark)}/{name}"
+    write_bytes(spark, where, compile_lexicon({w: bpe.merge(w) for w in words}))
+    spark.sparkContext.addFile(where)
     return name
 
 
 def with_codes(docs: DataFrame, lexicon: str, path: str, keep_ids: bool = False, text_col: str = "text") -> DataFrame:
     """docs without text_col, and n_tokens, ids_sha256, decoded_sha256; keep_ids: ids and decoded too.
+    Where docs has one of these names, the new column takes a leading underscore.
 
     The ids are the tokenizers library's for the whole text without special tokens added: the lexicon's
     where it has a word, else exact merges. Special tokens that a text spells out are one id, as there.
     A null text is empty: no ids, and the digests of nothing. The ids are decoded chunk by chunk."""
     bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != text_col]
+    names = [free_name(docs, c) for c in NAMES[: 5 if keep_ids else 3]]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = remembered(f"bpe {path}", lambda: WordBpe(path))
@@ -345,9 +351,9 @@ def with_codes(docs: DataFrame, lexicon: str, path: str, keep_ids: bool = False,
                 for column, value in zip(columns, (*row, [int(i) for i in ids.split()] if keep_ids else None, decoded if keep_ids else None), strict=True):
                     column.append(value)
             arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *arrays[: 5 if keep_ids else 3]], names=[*kept, *NAMES[: 5 if keep_ids else 3]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *arrays[: 5 if keep_ids else 3]], names=[*kept, *names])
 
-    types_ = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", "ids array<int>", "decoded string"][: 5 if keep_ids else 3]
+    types_ = [f"`{c}` {kind}" for c, kind in zip(names, ("long", "string", "string", "array<int>", "string"), strict=False)]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *types_])
     return docs.select(*kept, text_col).mapInArrow(code, schema)
 
