@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import by_value
 from .bpe import IdCoder, WordBpe, remembered, vocabulary_path
@@ -23,7 +24,9 @@ from .common import bounded_batches, partitions, table_path
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ZEROS, ESCAPE, ALL_ZERO, FIRST = 120, 0, 1, 2
 #: Values of a block at most; a document starts a block.
-BLOCK, MAGIC, END_ID = 4096, b"S8BT", 1
+BLOCK, MAGIC, TAIL, END_ID = 4096, b"S8BT", "<IQQQ", 1
+#: Bytes of text behind a file, about.
+RANGE_BYTES = 256 << 20
 by_value(__name__)
 
 
@@ -145,33 +148,61 @@ def pack_documents(ids: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def write_file(file, ids: list[int | None], lengths: list[int], blocks: list[bytes], words: list[bytes]) -> None:
-    """Header, documents (has id, id, values), words of each block, words."""
-    heads = np.frombuffer(b"".join(blocks), "<u4")
-    file.write(MAGIC + struct.pack("<IQQQ", BLOCK, len(ids), len(heads), sum(lengths)))
-    file.write(np.array([i is not None for i in ids], np.uint8).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes() + np.array(lengths, "<u8").tobytes() + heads.tobytes())
-    for w in words:
-        file.write(w)
+class TokenFile:
+    """A file in writing: each document's words go out as they come, and only what finds them again is held.
+
+    Layout: MAGIC, the words of all documents; then ids (has id, id), numbers of values, words of each block;
+    and at the end block size, documents, blocks and values."""
+
+    def __init__(self, folder: str, number: int) -> None:
+        self.folder, self.number, self.name = folder, number, f"{number:06d}.s8b"
+        self.files, self.at = place(folder)
+        self.files.create_dir(self.at, recursive=True)
+        self.draft = f"{self.at}/{self.name}.{uuid.uuid4().hex}"
+        self.out = self.files.open_output_stream(self.draft)
+        self.out.write(MAGIC)
+        self.named, self.ids, self.lengths, self.blocks = bytearray(), array("q"), array("Q"), []
+
+    def add(self, key: int | None, length: int, blocks: bytes, words: bytes) -> None:
+        self.named.append(key is not None)
+        self.ids.append(key or 0)
+        self.lengths.append(length)
+        self.blocks.append(blocks)
+        self.out.write(words)
+
+    def close(self) -> tuple[int, str, int, int]:
+        """Finish the file under its own name, so a task that runs again leaves the same; its row of write_tokens()."""
+        heads, values = b"".join(self.blocks), sum(self.lengths)
+        self.out.write(bytes(self.named) + np.array(self.ids, "<i8").tobytes() + np.array(self.lengths, "<u8").tobytes() + heads)
+        self.out.write(struct.pack(TAIL, BLOCK, len(self.ids), len(heads) // 4, values))
+        self.out.close()
+        self.files.move(self.draft, f"{self.at}/{self.name}")
+        return self.number, f"{self.folder}/{self.name}", len(self.ids), values
 
 
 def read_file(file, at_once: int = 1 << 20) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
-    """Runs of documents: their ids, their lengths and all their values, about at_once values at a time."""
+    """Runs of documents of a file that can seek: their ids, their lengths and all their values, about at_once values at a time."""
     if file.read(4) != MAGIC:
         raise ValueError("not a token file")
-    block, docs, heads, _ = struct.unpack("<IQQQ", file.read(28))
+    size = struct.calcsize(TAIL)
+    end = file.seek(0, 2) - size
+    file.seek(end)
+    block, docs, heads, _ = struct.unpack(TAIL, file.read(size))
+    file.seek(end - 17 * docs - 4 * heads)
     named = np.frombuffer(file.read(docs), np.uint8)
     ids = np.frombuffer(file.read(8 * docs), "<i8")
     lengths = np.frombuffer(file.read(8 * docs), "<u8").astype(np.int64)
     used = np.frombuffer(file.read(4 * heads), "<u4").astype(np.int64)
+    file.seek(4)
     blocks = -(-lengths // block)
-    last, done = np.cumsum(blocks), 0
+    last, values, done = np.cumsum(blocks), np.cumsum(lengths), 0
     while done < docs:
-        to = max(done + 1, int(np.searchsorted(np.cumsum(lengths[done:]), at_once, side="right")) + done)
+        start = int(values[done - 1]) if done else 0
+        to = max(done + 1, int(np.searchsorted(values, start + at_once, side="right")))
         a, b = int(last[done - 1]) if done else 0, int(last[to - 1])
         words = np.frombuffer(file.read(8 * int(used[a:b].sum())), "<u8")
         counts = np.concatenate([np.append(np.full(k - 1, block), n - (k - 1) * block) for k, n in zip(blocks[done:to], lengths[done:to], strict=True) if k] or [np.zeros(0, int)]).astype(np.int64)
-        values = unpack(words, np.cumsum(used[a:b]) - used[a:b], counts)
-        yield [int(i) if n else None for i, n in zip(ids[done:to], named[done:to], strict=True)], lengths[done:to], values
+        yield [int(i) if n else None for i, n in zip(ids[done:to], named[done:to], strict=True)], lengths[done:to], unpack(words, np.cumsum(used[a:b]) - used[a:b], counts)
         done = to
 
 
@@ -183,12 +214,19 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = END_ID, ranges: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int, int]]:
     """Write the ids of all whole texts to files of folder, in ascending id; (range, file, documents, values) of each.
 
-    A null text has no ids but the end id. Null ids come first; rows that repeat an id stand together in
-    the order of their coded texts. Bounds of the ranges are quantiles of the id alone; a range is one file, written under a name of its own and then
-    moved, so a task that runs again writes the same file. The driver gets a row for each file."""
+    A null text has no ids but the end id. Ids are integers; null ids come first; rows that repeat an id stand
+    together in the order of (hash of the text, coded text). A range is one file: about RANGE_BYTES of text, or as
+    `ranges` says. Their bounds are quantiles of the id alone; an id that fills several ranges by itself is dealt
+    to them by the hash of its text. Each range is sorted by one task, which Spark spills, and its words go to
+    the file as they come. The driver gets a row for each file."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    path, ranges = path or vocabulary_path(), ranges or partitions(spark)
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"ids of token files are integers, {id_col} is not")
+    path = path or vocabulary_path()
+    if ranges is None:
+        total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+        ranges = max(1, partitions(spark), -(-total // RANGE_BYTES))
     shares = [i / ranges for i in range(1, ranges)]
     bounds = np.array((docs.agg(F.percentile_approx(id_col, shares, 10 * ranges + 1000)).first()[0] if shares else None) or [], dtype=np.int64)
 
@@ -202,36 +240,26 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
                 part = batch.slice(at, 256)
                 ids = [np.frombuffer(coder(t.as_py()) + tail, kind) for t in part.column(1)]
                 packed = pack_documents(ids)
-                keys = part.column(0).to_pylist()
-                where = [0 if k is None else int(np.searchsorted(bounds, k)) for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([p[1] for p in packed], pa.binary()), pa.array([p[0] for p in packed], pa.binary())], names=["range", "id", "n", "blocks", "words"])
+                keys, hashes = part.column(0).to_pylist(), part.column(2)
+                low = [0 if k is None else int(np.searchsorted(bounds, k)) for k in keys]
+                same = [1 if k is None else max(1, int(np.searchsorted(bounds, k, "right")) - at) for k, at in zip(keys, low, strict=True)]
+                where = [at + h.as_py() * n // (1 << 32) for at, n, h in zip(low, same, hashes, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(keys, pa.int64()), hashes, pa.array([len(x) for x in ids], pa.int64()), pa.array([p[1] for p in packed], pa.binary()), pa.array([p[0] for p in packed], pa.binary())], names=["range", "id", "hash", "n", "blocks", "words"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list]] = {}
-
-        def finish(number: int) -> pa.RecordBatch:
-            ids, lengths, blocks, words = held.pop(number)
-            name = f"{number:06d}.s8b"
-            files, at = place(folder)
-            files.create_dir(at, recursive=True)
-            draft = f"{at}/{name}.{uuid.uuid4().hex}"
-            with files.open_output_stream(draft) as file:
-                write_file(file, ids, lengths, blocks, words)
-            files.move(draft, f"{at}/{name}")
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(ids)], pa.int64()), pa.array([sum(lengths)], pa.int64())], names=["range", "file", "docs", "values"])
-
+        file = None
         for batch in batches:
-            for number, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if number not in held:
-                    yield from [finish(n) for n in [*held]]
-                    held[number] = [[], [], [], []]
-                for column, value in zip(held[number], rest, strict=True):
-                    column.append(value)
-        yield from [finish(n) for n in [*held]]
-
-    coded = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, "range int, id long, n long, blocks binary, words binary")
-    dealt = coded.repartition(ranges, "range").sortWithinPartitions("range", F.col("id").asc_nulls_first(), "n", "words")
-    files = dealt.mapInArrow(write, "range int, file string, docs long, values long").collect()
+            for number, key, n, blocks, words in zip(*(batch.column(c).to_pylist() for c in ("range", "id", "n", "blocks", "words")), strict=True):
+                if file is None:
+                    file = TokenFile(folder, number)
+                file.add(key, n, blocks, words)
+        if file is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in file.close()], schema=pa.schema([("range", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("values", pa.int64())]))
+
+    hashed = F.shiftrightunsigned(F.xxhash64(F.coalesce(text_col, F.lit(""))), 32)
+    coded = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), hashed.alias("hash")).mapInArrow(encode, "range int, id long, hash long, n long, blocks binary, words binary")
+    dealt = coded.repartitionById(ranges, F.col("range")).sortWithinPartitions(F.col("id").asc_nulls_first(), "hash", "n", "words")
+    files = dealt.mapInArrow(write, "range long, file string, docs long, values long").collect()
     return sorted(tuple(r) for r in files)
 
 
@@ -244,7 +272,7 @@ def read_tokens(spark: SparkSession, files: list[tuple[int, str, int, int]], id_
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 files_, at = place(uri)
-                with files_.open_input_stream(at) as file:
+                with files_.open_input_file(at) as file:
                     for ids, lengths, values in read_file(file):
                         ends = np.cumsum(lengths)
                         raw = memoryview(values.astype("<u4").tobytes())

@@ -275,20 +275,21 @@ def test_packing_counts_the_library_s_ids(spark, coder, tmp_path):
         assert all(len(b) == 1 or sum(b) <= packing.BUDGET for b in batches.values())
 
 
-def test_packed_words_round_trip():
-    import io
-
+def test_packed_words_round_trip(tmp_path):
     rng = np.random.default_rng(0)
     for k in range(60):
         docs = [np.array([int(rng.integers(0, 1 << 62)) >> int(rng.integers(0, 63)) if rng.random() > 0.02 else (1 << 64) - 1 for _ in range(rng.integers(0, (4, 300, 9000)[k % 3]))], dtype=np.uint64) for _ in range(4)]
         docs.append(np.zeros(500, np.uint64))
-        packed, file = tokenfile.pack_documents(docs), io.BytesIO()
-        tokenfile.write_file(file, [None, 1, 2, 3, 4], [len(d) for d in docs], [p[1] for p in packed], [p[0] for p in packed])
-        file.seek(0)
+        file = tokenfile.TokenFile(f"file://{tmp_path}", k)
+        for i, d, (words, blocks) in zip([None, 1, 2, 3, 4], docs, tokenfile.pack_documents(docs), strict=True):
+            file.add(i, len(d), blocks, words)
+        number, name, n, values = file.close()
+        assert (number, n, values) == (k, 5, sum(map(len, docs)))
         ids, back = [], []
-        for i, lengths, values in tokenfile.read_file(file, 1000):
-            ids += i
-            back += np.split(values, np.cumsum(lengths)[:-1])
+        with open(name.removeprefix("file://"), "rb") as written:
+            for i, lengths, values in tokenfile.read_file(written, 1000):
+                ids += i
+                back += np.split(values, np.cumsum(lengths)[:-1])
         assert ids == [None, 1, 2, 3, 4] and all(np.array_equal(a, b) for a, b in zip(docs, back, strict=True))
 
 
@@ -305,6 +306,20 @@ def test_token_files_match_the_library(docs, coder):
         left[r["doc_id"]].remove((r["n_tokens"], r["ids_crc32"]))
         start += r["n_tokens"]
     assert tokenfile.token_table(empty(docs)).count() == 0
+    with pytest.raises(TypeError):
+        tokenfile.token_table(docs.withColumn("doc_id", tokenfile.F.col("doc_id").cast("string")))
+
+
+def test_an_id_of_most_rows_fills_several_files(spark, coder):
+    rows = [(7, f"text {i % 50} of {i % 7}") for i in range(700)] + [(i, f"other {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = tokenfile.table_path(spark, "hot")
+    files = tokenfile.write_tokens(docs, folder, ranges=8)
+    assert sum(f[2] for f in files) == 800 and max(f[2] for f in files) < 400
+    out = tokenfile.read_tokens(spark, files).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == sorted(r[0] for r in rows) and out[-1]["start"] + out[-1]["n_tokens"] == sum(f[3] for f in files)
+    want = sorted(len(coder.library.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert sorted(r["n_tokens"] for r in out) == want
 
 
 def test_media_round_trip(docs):
