@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +59,7 @@ def with_hot(rows: DataFrame, keys: list[str], groups: DataFrame, size: str, val
     hot = groups.where(F.col(size) * HOT > total).select(*[F.col(k).alias(f"hot_{k}") for k in keys], F.struct(*values).alias("hot"))
     cold = groups.where(F.col(size) * HOT <= total).select(*[F.col(k).alias(f"cold_{k}") for k in keys], F.lit(-1).cast("long").alias("cold_at"), F.struct(*values).alias("cold"))
     same = lambda kind: [F.col(k) == F.col(f"{kind}_{k}") for k in keys]
-    met = rows.join(F.broadcast(hot), same("hot"), "left").withColumn("at", F.when(F.col("hot").isNull(), -1).otherwise(F.monotonically_increasing_id()))
+    met = rows.join(F.broadcast(hot), same("hot"), "left").withColumn("at", F.when(reduce(and_, [F.col(k).isNotNull() for k in keys], F.col("hot").isNull()), -1).otherwise(F.monotonically_increasing_id()))
     found = met.join(cold, [F.col("at") == F.col("cold_at"), *same("cold")], "left")
     return found.select(*rows.columns, *[F.coalesce("hot", "cold")[v].alias(v) for v in values])
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import by_value
-from .common import bounded_batches, materialize
+from .common import bounded_batches, free_name, materialize, with_hot
 
 #: Samples of an image row; payloads are padded to a multiple of it with PAD, which UTF-8 never has.
 WIDTH, PAD, SIGNATURE, LEVEL = 576, b"\xff", b"\x89PNG\r\n\x1a\n", 6
@@ -22,7 +22,9 @@ SCHEME = "sha256:"
 #: Digests that a task remembers; beyond them it starts anew, which stores a repeated text again and loses nothing.
 SEEN = 1 << 18
 VOID = {"img", "br", "hr", "meta", "link", "input", "source", "wbr"}
-HIDDEN = {"script", "style", "head", "template", "noscript"}
+#: Elements whose text is not the page's, and what a head may hold; anything else ends it.
+HIDDEN = {"script", "style", "title", "template", "noscript"}
+IN_HEAD = HIDDEN | {"base", "link", "meta"}
 BLOCKS = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "br", "hr", "header", "footer", "main", "nav", "aside"}
 SEQUENCE = "array<struct<position:int,kind:string,text:string,src:string,digest:string,caption:string>>"
 FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -130,15 +132,18 @@ def media_features(store: DataFrame) -> DataFrame:
 
 
 class Sequencer(HTMLParser):
-    """Text and media in the order of the page; a figure's caption goes with its media."""
+    """Text and media in the order of the page; a figure's caption goes with its media.
 
-    def __init__(self) -> None:
+    Tags that are never closed, or closed in another order, lose no text: a head ends where the body's text
+    or elements begin, a figure's end ends its caption too, the page's end ends all, and the caption of a
+    figure without media is text."""
+
+    def __init__(self, hidden: set[str]) -> None:
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.hidden = 0
+        self.hides, self.hidden, self.in_head = hidden, [], False
         self.figures: list[dict] = []
-        self.caption: list[str] | None = None
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -146,16 +151,51 @@ class Sequencer(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "src": None, "digest": None, "caption": None})
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in HIDDEN:
-            self.hidden += 1
-        if tag in BLOCKS and self.caption is None:
+    def caption(self) -> list[str] | None:
+        """The words of the innermost open caption."""
+        return next((f["open"] for f in reversed(self.figures) if f["open"] is not None), None)
+
+    def end_caption(self, figure: dict) -> None:
+        if figure["open"] is not None:
+            figure["caption"] += [" ".join("".join(figure["open"]).split())]
+            figure["open"] = None
+
+    def end_figure(self) -> None:
+        figure = self.figures[-1]
+        self.end_caption(figure)
+        self.figures.pop()
+        text = " ".join(c for c in figure["caption"] if c)
+        for item in figure["media"] if text else []:
+            item["caption"] = text
+        if text and not figure["media"]:
+            self.put(text)
+            self.part()
+
+    def put(self, text: str) -> None:
+        caption = self.caption()
+        (self.words if caption is None else caption).append(text)
+
+    def part(self) -> None:
+        """A block begins or ends here."""
+        if self.caption() is None:
             self.flush()
+        else:
+            self.put(" ")
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.in_head = tag == "head" or self.in_head and tag in IN_HEAD
+        if tag in self.hides:
+            self.hidden.append(tag)
+        if self.hidden:
+            return
+        if tag in BLOCKS:
+            self.part()
         if tag == "figure":
-            self.figures.append({"media": []})
+            self.figures.append({"media": [], "caption": [], "open": None})
         elif tag == "figcaption" and self.figures:
-            self.caption = []
-        elif tag in ("img", "video", "audio") and not self.hidden:
+            self.end_caption(self.figures[-1])
+            self.figures[-1]["open"] = []
+        elif tag in ("img", "video", "audio"):
             found = dict(attrs)
             src = (found.get("src") or "").strip()
             if src:
@@ -167,77 +207,99 @@ class Sequencer(HTMLParser):
                     self.figures[-1]["media"].append(item)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN and self.hidden:
-            self.hidden -= 1
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for item in self.figures[-1]["media"] if text else []:
-                item["caption"] = text
-            if text:
-                self.figures[-1]["text"] = text
+        self.in_head = self.in_head and tag != "head"
+        if self.hidden:
+            if tag in self.hidden:
+                del self.hidden[self.hidden.index(tag) :]
+            return
+        if tag == "figcaption" and self.figures:
+            self.end_caption(self.figures[-1])
         elif tag == "figure" and self.figures:
-            figure = self.figures.pop()
-            for item in figure["media"]:
-                item["caption"] = figure.get("text") or item["caption"]
-        if tag in BLOCKS and self.caption is None:
-            self.flush()
+            self.end_figure()
+        if tag in BLOCKS:
+            self.part()
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            (self.words if self.caption is None else self.caption).append(data)
+        if not self.hidden and not (self.in_head and not data.strip()):
+            self.in_head = False
+            self.put(data)
+
+    def finish(self) -> list[dict]:
+        self.close()
+        while self.figures:
+            self.end_figure()
+        self.flush()
+        return [{"position": i, **item} for i, item in enumerate(self.items)]
 
 
 def sequence(html: str | None) -> list[dict]:
-    """The page's items with their positions from 0; no page or an empty one has none."""
-    parser = Sequencer()
-    parser.feed(html or "")
-    parser.close()
-    parser.words += parser.caption or []
-    parser.flush()
-    return [{"position": i, **item} for i, item in enumerate(parser.items)]
+    """The page's items with their positions from 0; no page or an empty one has none.
+
+    Elements that hide their text but never end would hide the rest of the page: then they hide nothing.
+    (Scripts and styles that never end have no text after them to lose.)"""
+    hidden = set(HIDDEN)
+    for _ in HIDDEN:
+        parser = Sequencer(hidden)
+        try:
+            parser.feed(html or "")
+            items = parser.finish()
+        except AssertionError:  # the library knows no such declaration: it is text
+            html = (html or "").replace("<![", "&lt;![")
+            continue
+        left = hidden.intersection(parser.hidden) - {"script", "style"}
+        if not left:
+            return items
+        hidden -= left
+    return items
 
 
 def sequences(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with its html replaced by the column sequence (see SEQUENCE), one row for each row."""
+    """pages with its html replaced by the column sequence (see SEQUENCE), one row for each row. Where pages has
+    a column of that name, the new one takes a leading underscore."""
     bounded_batches(pages.sparkSession)
-    kept = [c for c in pages.columns if c != html_col]
+    kept, name = [c for c in pages.columns if c != html_col], free_name(pages, "sequence")
     kind = pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "src", "digest", "caption"))]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([sequence(h) for h in batch.column(len(kept)).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], found], names=[*kept, "sequence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], found], names=[*kept, name])
 
-    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), f"sequence {SEQUENCE}"])
+    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), f"`{name}` {SEQUENCE}"])
     return pages.select(*kept, html_col).mapInArrow(parse, schema)
 
 
-def resolved_references(pages: DataFrame, media: DataFrame) -> DataFrame:
-    """A row for each media item of each sequence: the other columns of pages, position, src, digest,
-    caption, and media's columns (null where no payload has the digest). media: one row for each digest.
-
-    Only references and what media holds beside its payload move, so a digest in a third of all
-    references is many narrow rows, which Spark may split."""
-    kept = [c for c in pages.columns if c != "sequence"]
-    items = pages.select(*kept, F.explode(F.filter("sequence", lambda x: x["kind"] == "media")).alias("item"))
-    return items.select(*kept, "item.position", "item.src", "item.digest", "item.caption").join(media, "digest", "left")
+def outlined(pages: DataFrame) -> DataFrame:
+    """pages, with the number of characters of each text of its sequences instead of the text."""
+    item = lambda x: F.struct(x["position"].alias("position"), x["kind"].alias("kind"), F.length(x["text"]).cast("string").alias("text"), x["src"].alias("src"), x["digest"].alias("digest"), x["caption"].alias("caption"))
+    return pages.withColumn("sequence", F.transform("sequence", item))
 
 
 def resolve(pages: DataFrame, media: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """id_col and sequence, where each item also has `columns` of media: positions and captions stay in place.
-
-    Rows that repeat an id and its sequence are one row. A sequence is gathered by its own page only."""
-    keyed = pages.select(F.col(id_col), F.xxhash64("sequence").alias("_key"), "sequence").distinct()
-    items = keyed.select(id_col, "_key", F.explode_outer("sequence").alias("item"))
-    found = items.withColumn("digest", F.col("item.digest")).join(media.select("digest", *columns), "digest", "left")
+    """id_col and sequence of each row of pages, where each item also has `columns` of media (null where no payload
+    has its digest): positions and captions stay in place. media: one row for each digest.
+
+    pages are stored once, and a row is known by its place there, so rows that are equal stay apart. Only
+    media items go to the join; references that many rows share are broadcast, fewer than HOT of them. A
+    sequence is gathered by its own page only; an empty or null one is empty."""
+    stored = materialize(pages.select(F.col(id_col).alias("id"), "sequence"), "pages").select("id", "sequence", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("line"))
+    items = stored.select("id", "file", "line", F.explode_outer("sequence").alias("item")).withColumn("digest", F.col("item.digest"))
+    shown = items.where(F.col("digest").isNotNull())
+    asked = materialize(shown.groupBy("digest").agg(F.count("*").alias("asked")).join(media.select("digest", *columns), "digest"), "references")
+    found = with_hot(shown, ["digest"], asked, "asked", columns)
+    others = items.where(F.col("digest").isNull()).select("*", *[F.lit(None).cast(media.schema[c].dataType).alias(c) for c in columns])
     item = F.struct(*[F.col(f"item.{c}") for c in ("position", "kind", "text", "src", "digest", "caption")], *columns)
-    return found.groupBy(id_col, "_key").agg(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), item))).alias("sequence")).drop("_key")
+    gathered = found.unionByName(others).groupBy("file", "line").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), item))).alias("sequence"))
+    return gathered.select(F.col("id").alias(id_col), "sequence")
 
 
 def illustrated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and html: a page that shows a document's text as a picture, referred to by its digest."""
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("without an id"))
-    html = F.concat(F.lit("<article><h1>Document "), name, F.lit(f'</h1><figure><img src="{SCHEME}'), digest, F.lit('"><figcaption>Text of document '), name, F.lit("</figcaption></figure></article>"))
-    return docs.select(id_col, html.alias("html"))
+    """id_col and html: a page of a document's whole text, a paragraph for each line, with a picture of the text
+    after the first line, referred to by its digest and captioned."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    name = escaped(F.coalesce(F.col(id_col).cast("string"), F.lit("without an id")))
+    page = docs.select(F.col(id_col).alias("id"), name.alias("name"), F.sha2(text, 256).alias("digest"), escaped(text).alias("body")).withColumn("first", F.substring_index("body", "\n", 1))
+    rest = F.replace(F.substring("body", F.length("first") + 1, F.length("body")), F.lit("\n"), F.lit("</p><p>"))
+    html = F.concat(F.lit("<article><h1>Document "), "name", F.lit("</h1><p>"), "first", F.lit(f'</p><figure><img src="{SCHEME}'), "digest", F.lit('"><figcaption>Text of document '), "name", F.lit("</figcaption></figure><p>"), rest, F.lit("</p></article>"))
+    return page.select(F.col("id").alias(id_col), html.alias("html"))

@@ -331,13 +331,19 @@ def test_media_round_trip(docs):
     with pytest.raises(ValueError):
         media.from_png(media.to_png(b"a" * 576)[:-6] + b"broken")
     plain = docs.select("doc_id", "text")
-    shown = media.resolved_references(media.sequences(media.illustrated(plain)), media.media_features(media.media_store(plain))).collect()
+    columns = ["n_bytes", "payload_sha256", "tail_crc32"]
+    features = media.media_features(media.media_store(plain))
+    shown = media.resolve(media.sequences(media.illustrated(plain)), features, "doc_id", columns).collect()
     assert len(shown) == docs.count()
     texts = {hashlib.sha256(media.payload_of(t)).hexdigest(): t or "" for t in [*TEXTS, "only"]}
     for r in shown:
-        text = texts[r["payload_sha256"]]
-        assert r["n_bytes"] == len(text.encode()) and r["tail_crc32"] == zlib.crc32(media.payload_of(text)[-32:])
-        assert r["caption"].startswith("Text of document") and r["position"] == 1
+        at = [i for i in r["sequence"] if i["kind"] == "media"]
+        assert len(at) == 1 and [i["position"] for i in r["sequence"]] == list(range(len(r["sequence"])))
+        text = texts[at[0]["payload_sha256"]]
+        assert at[0]["n_bytes"] == len(text.encode()) and at[0]["tail_crc32"] == zlib.crc32(media.payload_of(text)[-32:])
+        assert at[0]["caption"].startswith("Text of document") and at[0]["position"] == 1 + bool(text.split("\n")[0].strip())
+        assert [" ".join(x.split()) for x in text.split("\n") if x.strip()] == [i["text"] for i in r["sequence"][1:] if i["kind"] == "text"]
+        assert all(i["n_bytes"] is None for i in r["sequence"] if i["kind"] == "text")
     assert media.media_features(media.media_store(empty(plain))).count() == 0
 
 
@@ -357,6 +363,26 @@ def brute_isotonic(y):
     return [max(min(np.mean(y[a : b + 1]) for b in range(k, n)) for a in range(k + 1)) for k in range(n)]
 
 
+def test_malformed_pages_lose_no_text():
+    shape = lambda html: [(i["text"] or i["src"], i["caption"]) for i in media.sequence(html)]
+    assert shape("<html><head><title>t</title><body><p>hello <img src=q>") == [("hello", None), ("q", None)]
+    assert shape("<figure><img src=a><figcaption>x</figure></figcaption>after") == [("a", "x"), ("after", None)]
+    assert shape("<figure><img src=a><figcaption>c</figure><p>after") == [("a", "c"), ("after", None)]
+    assert shape("<figure><figcaption>only</figcaption></figure>rest") == [("only", None), ("rest", None)]
+    assert shape("<title>never closed<p>text</p>") == [("never closed", None), ("text", None)]
+    assert shape("<noscript>a<p>b") == [("a", None), ("b", None)] and shape("<script>never closed") == []
+    assert shape("<![foo bar]]>text") == [("<![foo bar]]>text", None)]
+    assert shape("<figure><img src=a><figcaption>c<figure><img src=b><figcaption>d</figure>e</figure>f") == [("a", "c e"), ("b", "d"), ("f", None)]
+    rng = random.Random(5)
+    parts = [f"<{c}{t}{e}>" for t in ("figure", "figcaption", "head", "body", "p", "title", "noscript", "template", "br") for c in ("", "/") for e in ("", "/")] + ["<img src=m>", "<![x", "<!--", "-->", "&am ", "<!d>"]
+    for _ in range(3000):
+        words = [f"w{i}" for i in range(6)]
+        html = "".join(rng.choice(parts) + w for w in words for _ in range(1)) + rng.choice(parts)
+        found = " ".join(f"{i['text'] or ''} {i['caption'] or ''}" for i in media.sequence(html))
+        if not any(x in html for x in ("title", "noscript", "template", "<!", "-->")):
+            assert all(w in found for w in words), html
+
+
 def test_isotonic_levels_rise_and_are_least_squares():
     rng = np.random.default_rng(3)
     for _ in range(30):
