@@ -21,8 +21,10 @@ SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
 #: A segment's ball: its value with up to FLIPS of its UNSURE least certain bits turned over.
 UNSURE, FLIPS = 4, 2
 BALL = [c for k in range(FLIPS + 1) for c in combinations(range(UNSURE), k)]
-#: The chance that two sets of similarity 0.8 meet nowhere, and standard deviations that a distance may exceed its mean by.
-MISSED, SPREAD = 0.025, 4.5
+#: Bits of a complete fingerprint; segments are its first ones.
+WIDE = 2048
+#: The chance that two sets of similarity 0.8 meet nowhere, and standard deviations that their distance may exceed its mean by.
+MISSED, SPREAD = 0.025, 3.0
 #: Shingles whose bits are counted at once, and words whose hashes a task remembers.
 AT_ONCE, REMEMBERED = 1 << 12, 1 << 18
 #: Row b: the eight bits of the byte b, highest first.
@@ -42,10 +44,15 @@ def layout(documents: int) -> tuple[int, int]:
     return width, math.ceil(math.log(MISSED) / math.log(1 - meets))
 
 
-def most_apart(bits: int, similarity: float = SIMILARITY) -> int:
-    """Bits that may differ: the mean for sets of that similarity, of one size, and SPREAD deviations."""
+def close(a: str, b: str, similarity: float) -> Column:
+    """Whether the rows' sizes n_a, n_b and complete fingerprints fp_a, fp_b allow that similarity.
+
+    As many bits may differ as do in the mean for sets of that similarity and one size, and SPREAD deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
+    most = math.ceil(WIDE * share + SPREAD * math.sqrt(WIDE * share * (1 - share)))
+    apart = sum((F.bit_count(F.get(f"fp_{a}", F.lit(i)).bitwiseXOR(F.get(f"fp_{b}", F.lit(i)))) for i in range(WIDE // 64)), F.lit(0))
+    sizes = F.least(f"n_{a}", f"n_{b}") >= similarity * F.greatest(f"n_{a}", f"n_{b}") * (1 - 1e-9)
+    return sizes & (apart <= most)
 
 
 class ShingleSets:
@@ -76,24 +83,24 @@ class ShingleSets:
         return np.unique(chain * _ODD[SHINGLE])
 
 
-def margins(hashes: np.ndarray, bits: int) -> np.ndarray:
+def margins(hashes: np.ndarray) -> np.ndarray:
     """For each bit of the fingerprint how many more shingles have it set than clear."""
-    words, columns = -(-bits // 64), np.arange(-(-bits // 64) * 8) * 256
-    ones = np.zeros(words * 64)
+    words = WIDE // 64
+    ones, columns = np.zeros(WIDE), np.arange(words * 8) * 256
     for at in range(0, len(hashes), AT_ONCE):
         mixed = (hashes[at : at + AT_ONCE, None] ^ _SALT[:words]) * _ODD[:words]
         mixed ^= mixed >> np.uint64(29)
         octets = (mixed * _ODD[words]).byteswap().view(np.uint8).reshape(-1, words * 8)
         ones += (np.bincount((octets + columns).ravel(), minlength=words * 2048).reshape(-1, 256).astype(np.float32) @ BITS).ravel()
-    return (2 * ones - len(hashes))[:bits].astype(np.int64)
+    return (2 * ones - len(hashes)).astype(np.int64)
 
 
-def segments_of(hashes: np.ndarray, width: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """The value of each segment of a set's fingerprint, and its UNSURE least certain bits as values."""
-    margin = margins(hashes, width * segments).reshape(segments, width)
+def segments_of(margin: np.ndarray, width: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each segment of a fingerprint, and its UNSURE least certain bits as values."""
+    parts = margin[: width * segments].reshape(segments, width)
     places = np.int64(1) << np.arange(width, dtype=np.int64)
-    unsure = np.argsort(np.abs(margin), axis=1, kind="stable")[:, :UNSURE]
-    return (margin > 0) @ places, places[unsure].ravel()
+    unsure = np.argsort(np.abs(parts), axis=1, kind="stable")[:, :UNSURE]
+    return (parts > 0) @ places, places[unsure].ravel()
 
 
 def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -105,25 +112,28 @@ def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def sketches(rows: DataFrame, width: int, segments: int) -> DataFrame:
-    """row, doc_id, copy (a digest of the shingle set), n (its size), keys and flips of its segments (none without words)."""
+    """row, doc_id, copy (a digest of the shingle set), n (its size), fp (its fingerprint), keys and flips of its segments (none without words)."""
     bounded_batches(rows.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = ShingleSets()
         for batch in batches:
-            copies, sizes, keys, flips = [], [], [], []
+            copies, sizes, prints, keys, flips = [], [], [], [], []
             for text in batch.column(2):
                 hashes = sets(text.as_py())
-                key, flip = segments_of(hashes, width, segments) if len(hashes) else ([], [])
+                margin = margins(hashes)
+                key, flip = segments_of(margin, width, segments) if len(hashes) else ([], [])
                 copies.append(hashlib.md5(hashes.tobytes()).digest())
                 sizes.append(len(hashes))
+                prints.append(np.packbits(margin > 0).view(np.int64))
                 keys.append(key)
                 flips.append(flip)
-            arrays = [pa.array(copies, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(flips, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["row", "doc_id", "copy", "n", "keys", "flips"])
+            arrays = [pa.array(copies, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, longs), pa.array(keys, longs), pa.array(flips, longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["row", "doc_id", "copy", "n", "fp", "keys", "flips"])
 
-    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row string, doc_id {kind}, copy binary, n long, keys array<bigint>, flips array<bigint>")
+    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row string, doc_id {kind}, copy binary, n long, fp array<bigint>, keys array<bigint>, flips array<bigint>")
 
 
 def bucket(segment: Column, key: Column) -> Column:
@@ -132,7 +142,7 @@ def bucket(segment: Column, key: Column) -> Column:
 
 
 def balls(classes: DataFrame) -> DataFrame:
-    """copy and bucket for every value in the ball of each of its segments."""
+    """copy, bucket and owns (it is the segment's own value) for every value in the ball of each segment."""
 
     def probes(segment: Column) -> Column:
         flip = [F.get("flips", segment * UNSURE + i) for i in range(UNSURE)]
@@ -140,20 +150,18 @@ def balls(classes: DataFrame) -> DataFrame:
 
     segment = classes.select("copy", "flips", F.posexplode("keys").alias("segment", "key"))
     turned = segment.select("copy", "segment", "key", F.explode(probes(F.col("segment"))).alias("turned"))
-    return turned.select("copy", bucket(F.col("segment"), F.col("key").bitwiseXOR(F.col("turned"))).alias("bucket"))
+    return turned.select("copy", bucket(F.col("segment"), F.col("key").bitwiseXOR(F.col("turned"))).alias("bucket"), (F.col("turned") == 0).alias("owns"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, bits: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes of that Jaccard similarity or more over their whole shingle sets.
 
     The complete fingerprints are compared first; they leave few pairs but true ones, and only for these the
     texts are read again."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    left, right = (classes.select(F.col("copy").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}")) for c in "ab")
-    apart = F.aggregate(F.zip_with("keys_a", "keys_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") * (1 - 1e-9)
-    close = materialize(pairs.join(left, "a").join(right, "b").where(sizes & (apart <= most_apart(bits, similarity))).select("a", "b"), "close")
-    asked = close.select(F.col("a").alias("copy")).union(close.select("b")).distinct()
+    left, right = (classes.select(F.col("copy").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}")) for c in "ab")
+    near = materialize(pairs.join(left, "a").join(right, "b").where(close("a", "b", similarity)).select("a", "b"), "close")
+    asked = near.select(F.col("a").alias("copy")).union(near.select("b")).distinct()
     texts = rows.select("row", "text").join(classes.join(asked, "copy", "left_semi").select("copy", F.col("best.row").alias("row")), "row").select("copy", "row", "text").dropDuplicates(["copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +170,7 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, bits: int, s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sets(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["copy", "hashes"])
 
     found = materialize(texts.select("copy", "text").mapInArrow(run, "copy binary, hashes array<bigint>"), "sets")
-    both = close.join(found.toDF("a", "left"), "a").join(found.toDF("b", "right"), "b")
+    both = near.join(found.toDF("a", "left"), "a").join(found.toDF("b", "right"), "b")
     shared = F.size(F.array_intersect("left", "right"))
     return both.where(shared / (F.size("left") + F.size("right") - shared) >= similarity).select("a", "b")
 
@@ -177,30 +185,34 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Candidates: a segment's value is looked up under every value of its ball (multi-index hashing). A pair of
     similarity 0.8 is missed with chance MISSED, and with less above it. Each class is compared with the first
-    of its bucket, so a group costs as many pairs as it has members; only where a bucket still holds several
-    groups are the pairs across them compared. Each candidate is verified over the complete fingerprint, then
-    over the whole shingle sets. `similarity` below 0.8 would need more segments than layout() gives."""
+    of its bucket, so a group costs as many pairs as it has members. Only classes that are then in another
+    group than that first one are compared with the others of their bucket, and of these only such pairs go on
+    whose complete fingerprints are close. Each candidate is verified over the whole shingle sets.
+    `similarity` below 0.8 would need more segments than layout() gives."""
     rows, row = with_row(docs)
     named = rows.select(F.col(row).alias("row"), "doc_id", "text")
     width, segments = layout(docs.count())
     marked = materialize(sketches(named, width, segments), "sketches")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
-    classes = materialize(marked.groupBy("copy").agg(F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("flips").alias("flips"), best), "classes")
+    classes = materialize(marked.groupBy("copy").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys", "flips")], best), "classes")
 
     own = classes.select("copy", F.posexplode("keys").alias("segment", "key")).select("copy", bucket(F.col("segment"), F.col("key")).alias("bucket"))
     heads = materialize(own.groupBy("bucket").agg(F.min("copy").alias("head"), F.count("*").alias("owners")), "heads")
     star = balls(classes).join(heads.hint("merge"), "bucket").where(F.col("copy") != F.col("head")).select(F.col("head").alias("a"), F.col("copy").alias("b"))
-    near = materialize(verified(star, classes, named, width * segments, similarity), "near")
+    near = materialize(verified(star, classes, named, similarity), "near")
     roots = components(near)
 
-    shared = materialize(heads.where("owners > 1").select("bucket", "head"), "shared")
-    placed = classes.select("copy", "flips", "keys").join(roots, F.col("copy") == F.col("node"), "left").select("copy", "flips", "keys", F.coalesce("root", "copy").alias("root"))
-    owners = own.join(placed.select("copy", "root"), "copy").join(shared, "bucket").where(F.col("copy") != F.col("head"))
-    members = materialize(balls(placed).join(shared.hint("merge"), "bucket").join(placed.select("copy", "root"), "copy").select("bucket", "copy", "root"), "members")
-    kinds = members.select("bucket", "root").distinct()
-    across = kinds.join(kinds.withColumnRenamed("root", "theirs"), "bucket").where(F.col("root") != F.col("theirs"))
-    mixed = owners.select("bucket", F.col("copy").alias("a"), "root").join(across, ["bucket", "root"])
-    more = mixed.join(members.select("bucket", F.col("copy").alias("b"), F.col("root").alias("theirs")), ["bucket", "theirs"]).select("a", "b")
-    roots = components(near.union(verified(more, classes, named, width * segments, similarity)))
+    placed = materialize(classes.join(roots, F.col("copy") == F.col("node"), "left").select("copy", "n", "fp", F.coalesce("root", "copy").alias("root")), "placed")
+    shared = heads.where("owners > 1").join(placed.select(F.col("copy").alias("head"), F.col("root").alias("first")), "head").select("bucket", "first")
+    members = balls(classes).join(shared.hint("merge"), "bucket").join(placed, "copy")
+    members = materialize(members.select("bucket", "copy", "owns", "root", (F.col("root") != F.col("first")).alias("apart"), "n", "fp"), "members")
+    side = lambda of, c: of.select("bucket", *[F.col(k).alias(f"{k}_{c}") for k in ("copy", "owns", "root", "apart", "n", "fp")])
+    likely = (F.col("root_a") != F.col("root_b")) & close("a", "b", similarity)
+    owners = members.where("owns")
+    once = ~F.col("owns_b") | ~F.col("apart_b") | (F.col("copy_a") < F.col("copy_b"))
+    more = side(owners.where("apart"), "a").join(side(members, "b"), "bucket").where(once & likely)
+    more = more.unionByName(side(owners.where(~F.col("apart")), "a").join(side(members.where(~F.col("owns") & F.col("apart")), "b"), "bucket").where(likely))
+    more = more.select(F.col("copy_a").alias("a"), F.col("copy_b").alias("b"))
+    roots = components(near.union(verified(more, classes, named, similarity)))
     grouped = classes.join(roots, F.col("copy") == F.col("node"), "left").groupBy(F.coalesce("root", "copy")).agg(F.min("best").alias("best"))
     return rows.join(grouped.select(F.col("best.row").alias(row)), row, "left_semi").dropDuplicates([row]).drop(row)
