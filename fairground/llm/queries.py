@@ -91,7 +91,7 @@ WITH lines AS (
   FROM documents),
 full_lines AS (
   SELECT doc_id, nr, line, row_number() OVER (PARTITION BY doc_id ORDER BY nr) - 1 AS k
-  FROM lines WHERE trim(line, ' ') <> ''),
+  FROM lines WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
 windows AS (
   SELECT doc_id, k, nr AS a0, lead(nr) OVER d AS a1, lead(nr, 2) OVER d AS a2,
          line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d AS body

@@ -52,7 +52,7 @@ def brute_lines(rows, lines=3):
     seen, cut = set(), {}
     for key, text in rows:
         parts = (text or "").split("\n")
-        full = [i for i, p in enumerate(parts) if p.strip(" ")]
+        full = [i for i, p in enumerate(parts) if p.strip(" \t\x0b\x0c\r")]
         cut[key] = set()
         for k in range(len(full) - lines + 1):
             at = full[k : k + lines]
