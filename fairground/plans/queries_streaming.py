@@ -28,6 +28,6 @@ def stream_attempt_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim for each user and day, however often it is asked for."""
     asked = _stream(spark, sf_dir).where("event_type = 'purchase'").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("period_key"))
-    ledger = Snapshots(spark, table_path(spark, "ledger"))
+    ledger = Snapshots(spark, table_path(spark, "ledger"), ["user_id", "period_key"])
     incremental.claims_stream(asked, ledger, table_path(spark, "claims"), ["user_id", "period_key"]).awaitTermination()
     return ledger.read()

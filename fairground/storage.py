@@ -1,11 +1,14 @@
-"""Tables in shared storage: intermediate ones, and snapshots that are swapped by a pointer."""
+"""Tables in shared storage: intermediate ones, and versions of a table that numbered pointers name."""
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,42 +48,101 @@ def drop_materialized(df: DataFrame) -> None:
         files.delete(path, True)
 
 
-def write_bytes(spark: SparkSession, name: str, data: bytes) -> None:
-    """Write a file through the file system that Spark knows by its name; what is there is replaced."""
+def write_bytes(spark: SparkSession, name: str, data: bytes, replace: bool = True) -> None:
+    """Write a file through the file system that Spark knows by its name. What is there is replaced, or an error."""
     files, path = _path(spark, name)
-    out = files.create(path, True)
+    out = files.create(path, replace)
     out.write(bytearray(data))
     out.close()
 
 
 class Snapshots:
-    """Versions of one table in a folder; a pointer file names the current one.
+    """Versions of one table in a folder, by buckets of a key; numbered pointers say of which files each consists.
 
-    Parquet has no MERGE and must not be overwritten while it is read. So a change is computed as a new
-    whole table, written beside the old one, and made current by renaming a small pointer file. Readers see
-    either the old table or the new, and a run that fails leaves the old."""
+    Parquet has no MERGE and must not be overwritten while it is read. So a change writes files of its own,
+    for the buckets that it touches only, and then one new pointer, which takes the other buckets' files from
+    the one before. A pointer is never changed: the newest whole one is current, one that a crash left
+    unfinished does not count, and of two writers of one number the later fails. A version stays readable until
+    KEPT newer ones exist; then its pointer goes, and the files that no pointer names any more.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    by: columns whose hash picks a row's bucket (none: the table is one bucket)."""
 
-    def current(self) -> str | None:
-        files, pointer = _path(self.spark, f"{self.folder}/current")
-        if not files.exists(pointer):
+    BUCKETS, KEPT, END = 64, 2, "\n"
+
+    def __init__(self, spark: SparkSession, folder: str, by: list[str] | None = None, buckets: int = BUCKETS) -> None:
+        self.spark, self.folder, self.by, self.buckets = spark, folder.rstrip("/"), by or [], buckets if by else 1
+
+    def _pointers(self) -> list[str]:
+        """Names of all pointers, the newest first."""
+        files, folder = _path(self.spark, self.folder)
+        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        return sorted((n for n in names if n.startswith("version-")), reverse=True)
+
+    def _version(self, name: str) -> dict | None:
+        text = "".join(r[0] for r in self.spark.read.text(f"{self.folder}/{name}", wholetext=True).collect())
+        return json.loads(text) if text.endswith(self.END) else None
+
+    def _current(self) -> dict | None:
+        return next((v for v in map(self._version, self._pointers()) if v is not None), None)
+
+    def current(self) -> int | None:
+        """The number of the current version."""
+        version = self._current()
+        return None if version is None else version["number"]
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int") if self.by else F.lit(0)
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets that have rows here: `buckets` numbers at most."""
+        return sorted(r[0] for r in rows.select(self._bucket().alias("bucket")).distinct().collect())
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame | None:
+        """The current table, or these buckets of it; None before the first version."""
+        version = self._current()
+        if version is None:
             return None
-        return self.spark.read.text(f"{self.folder}/current").first()[0]
-
-    def read(self) -> DataFrame | None:
-        version = self.current()
-        return None if version is None else self.spark.read.parquet(f"{self.folder}/{version}")
-
-    def write(self, table: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        """Write a version and make it current."""
-        version = uuid.uuid4().hex
-        table.write.partitionBy(*(partition_by or [])).parquet(f"{self.folder}/{version}")
-        draft = f"{self.folder}/draft-{version}"
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(draft)
-        files, pointer = _path(self.spark, f"{self.folder}/current")
-        if files.exists(pointer):
-            files.rename(pointer, _path(self.spark, f"{self.folder}/before-{version}")[1])
-        files.rename(_path(self.spark, draft)[1], pointer)
-        return self.spark.read.parquet(f"{self.folder}/{version}")
+        schema = T.StructType.fromJson(version["schema"])
+        wanted = [p for b, paths in version["files"].items() if buckets is None or int(b) in buckets for p in paths]
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{p}" for p in wanted]) if wanted else self.spark.createDataFrame([], schema)
+
+    def write(self, table: DataFrame) -> DataFrame:
+        """Make table the current version."""
+        return self._put(table, {})
+
+    def replace(self, table: DataFrame, buckets: list[int]) -> DataFrame:
+        """Make a version in which table's rows stand instead of those of these buckets; it has no rows of others."""
+        version = self._current()
+        return self._put(table, {b: p for b, p in (version["files"] if version else {}).items() if int(b) not in buckets})
+
+    def append(self, table: DataFrame) -> DataFrame:
+        """Make a version that has table's rows besides."""
+        version = self._current()
+        return self._put(table, version["files"] if version else {})
+
+    def _put(self, table: DataFrame, others: dict[str, list[str]]) -> DataFrame:
+        pointers, data = self._pointers(), f"data-{uuid.uuid4().hex}"
+        number = 1 + (int(pointers[0].rpartition("-")[2]) if pointers else 0)
+        column = "bucket"
+        while column in table.columns:
+            column = f"_{column}"
+        table.withColumn(column, self._bucket()).write.partitionBy(column).parquet(f"{self.folder}/{data}")
+        files, folder = _path(self.spark, f"{self.folder}/{data}")
+        made = [f.getPath().getName() for f in files.listStatus(folder)]
+        paths = {b: list(p) for b, p in others.items()}
+        for name in (n for n in made if n.startswith(f"{column}=")):
+            paths.setdefault(name.rpartition("=")[2], []).append(f"{data}/{name}")
+        version = {"number": number, "schema": table.schema.jsonValue(), "files": paths}
+        write_bytes(self.spark, f"{self.folder}/version-{number:012d}", (json.dumps(version) + self.END).encode(), replace=False)
+        self._forget([n for n in pointers if self._version(n) is not None][self.KEPT :])
+        return self.read()
+
+    def _forget(self, old: list[str]) -> None:
+        """Delete these pointers, and the files that only they name."""
+        files, _ = _path(self.spark, self.folder)
+        gone = {p for n in old for paths in self._version(n)["files"].values() for p in paths}
+        for name in old:
+            files.delete(_path(self.spark, f"{self.folder}/{name}")[1], False)
+        held = {p for n in self._pointers() for paths in (self._version(n) or {"files": {}})["files"].values() for p in paths}
+        for p in gone - held:
+            files.delete(_path(self.spark, f"{self.folder}/{p}")[1], True)

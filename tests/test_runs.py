@@ -95,7 +95,7 @@ def test_reconcile_refuses_empty_batches(spark):
 
 
 def test_snapshots_and_streams(spark, tmp_path):
-    state = Snapshots(spark, f"file://{tmp_path}/state")
+    state = Snapshots(spark, f"file://{tmp_path}/state", ["source_slug"])
     assert state.read() is None
     rows = table(spark, [listing(1), listing(2)]).drop("cluster_id")
     rows.write.parquet(f"{tmp_path}/in/one")
@@ -108,6 +108,34 @@ def test_snapshots_and_streams(spark, tmp_path):
     assert after["s1:1"]["title"] == "Other" and str(after["s1:1"]["first_seen_at"])[:10] == "2026-01-01" and after["s2:2"]["active"]
 
 
+def test_a_crash_between_files_and_pointer_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    from fairground import storage
+
+    state = Snapshots(spark, f"file://{tmp_path}/state", ["k"], buckets=4)
+    table = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    state.write(table([(i, "old") for i in range(20)]))
+    touched = state.touched(table([(3, "")]))
+    beside = {r["k"] for r in state.read(touched).collect()} - {3}
+
+    def crash(*_, **__):
+        raise OSError("gone")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(storage, "write_bytes", crash)
+        with pytest.raises(OSError):
+            state.replace(table([(3, "new")]), touched)
+    with open(f"{tmp_path}/state/version-{2:012d}", "w") as half:  # a pointer that was not finished
+        half.write('{"number": 2, "sch')
+    assert state.current() == 1 and state.read().where("v = 'old'").count() == 20
+    state.replace(table([(3, "new"), *((k, "kept") for k in beside)]), touched)
+    assert {r["k"]: r["v"] for r in state.read().collect()} == {i: "new" if i == 3 else "kept" if i in beside else "old" for i in range(20)}
+    for k in range(5):
+        state.append(table([(100 + k, "more")]))
+    assert state.read().count() == 25 and len(state._pointers()) <= Snapshots.KEPT + 2
+    state.write(table([]))
+    assert state.read().count() == 0 and state.read().columns == ["k", "v"]
+
+
 def test_filters_round_trip():
     f = filters.Filters.parse("?m=tay,nowhere,unspecified&cat=music&cost=free&civic=1&from=2026-01-01&to=bad&q=%22a b%22%20%20Caf%C3%A9&since=2026-13-01")
     assert f.saved() == "m=tay%2Cunspecified&cat=music&cost=free&civic=1&from=2026-01-01&q=%22a+b%22+Caf%C3%A9" and f.since is None
