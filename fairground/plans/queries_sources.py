@@ -86,9 +86,9 @@ def adapter_cfmws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("external_id", "title", "local_start", "venue_name", "url")
 
 
-@query(f"{EV} SELECT id AS external_id, regexp_replace(title, '\\s+', ' ', 'g') AS title, local_date || 'T' || CASE WHEN time_precision = 'date-only' THEN '00:00' ELSE local_time END AS local_start, time_precision, address, category AS labels, 'https://c.example.org/default/Detail/' || id AS url FROM ev WHERE local_date BETWEEN '2000-01-01' AND '2000-12-31' AND category <> 'other'")
+@query(f"{EV} SELECT id AS external_id, regexp_replace(title, '\\s+', ' ', 'g') AS title, '2000' || substr(local_date, 5) || 'T' || CASE WHEN time_precision = 'date-only' THEN '00:00' ELSE local_time END AS local_start, time_precision, address, category AS labels, 'https://c.example.org/default/Detail/' || id AS url FROM ev WHERE category <> 'other'")
 def adapter_govstack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List pages: days without a year, times of 12 hours, a category between link and paragraph."""
+    """List pages: days without a year (all in the window's one year), times of 12 hours, a category between link and paragraph."""
     c = F.col
     hour = F.substring("local_time", 1, 2).cast("int")
     time = F.when(c("time_precision") == "date-only", "All day").otherwise(F.concat((F.pmod(hour + 11, F.lit(12)) + 1).cast("string"), F.substring("local_time", 3, 3), F.when(hour < 12, " AM").otherwise(" PM")))
@@ -97,8 +97,7 @@ def adapter_govstack(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<p>(1 Results Found)</p><div class="icrt-calendarListItem"><span class="date"> '), F.dayofmonth(F.to_date("local_date")).cast("string"), F.lit(' </span><span class="month">'), F.date_format(F.to_date("local_date"), "MMM"),
         F.lit('</span><a class="meta-title" href="/default/Detail/'), c("id"), F.lit('">'), c("title"), F.lit("</a> <em>"), label, F.lit("</em><p>"), time, F.lit(" <span>|</span> "), c("address"), F.lit('</p><div class="icrt-calendarListItemDesc"><p>'), c("description"), F.lit("</p></div></div>"),
     )
-    year = served(spark, sf_dir).where("local_date BETWEEN '2000-01-01' AND '2000-12-31'")
-    rows = parsed(year, "govstack", html, window=("2000-01-01", "2000-12-31"), origin="c.example.org")
+    rows = parsed(served(spark, sf_dir), "govstack", html, window=("2000-01-01", "2000-12-31"), origin="c.example.org")
     return rows.select("external_id", "title", "local_start", "time_precision", "address", F.array_join("categories", ",").alias("labels"), "url")
 
 

@@ -21,6 +21,7 @@ from ..operators.views import runaway_series
 from ..registry import GOVSTACK_EXCLUDED, ZONE
 from ..schemas import RAW
 from ..shipping import by_value
+from ..storage import materialize
 from .clocks import at_zone, clock, day, month, shift, wall, year_of, zulu_at_zone
 from .markup import Node, plain, shorten, tree
 
@@ -488,7 +489,8 @@ def raw_events(payloads: DataFrame, window: Window) -> tuple[DataFrame, DataFram
     """Raw events of payloads, and the payloads that failed with their errors.
 
     payloads: source_slug, platform, options (map), part (its place among the source's payloads), payload.
-    One payload that can't be read never stops the others, nor the rest of its source. Rows that must be
+    Payloads are parsed once, and what was read is stored. A row's position is its place in the payload behind
+    that of the payload (2^32 to each). One payload that can't be read never stops the others, nor the rest of its source. Rows that must be
     placed and can't be are dropped, and so are daily series that run away (tribe)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -498,9 +500,9 @@ def raw_events(payloads: DataFrame, window: Window) -> tuple[DataFrame, DataFram
                 options = dict(r.options or {})
                 try:
                     rows = list(ADAPTERS[r.platform](r.payload, options, window))
-                    out += [{"source_slug": r.source_slug, "platform": r.platform, "position": int(r.part) * 1_000_000 + i, "error": None, **row} for i, row in enumerate(rows)]
+                    out += [{"source_slug": r.source_slug, "platform": r.platform, "position": (int(r.part) << 32) + i, "error": None, **row} for i, row in enumerate(rows)]
                 except Exception as e:  # noqa: BLE001
-                    out.append({"source_slug": r.source_slug, "platform": r.platform, "position": int(r.part) * 1_000_000, "placed": False, "error": f"{type(e).__name__}: {e}"})
+                    out.append({"source_slug": r.source_slug, "platform": r.platform, "position": int(r.part) << 32, "placed": False, "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(out, columns=[*_FIELDS, "platform", "placed", "error"]).astype(object).where(lambda d: d.notna(), None)
 
     def parse(some: DataFrame) -> DataFrame:
@@ -508,17 +510,19 @@ def raw_events(payloads: DataFrame, window: Window) -> tuple[DataFrame, DataFram
 
     def placeable(rows: DataFrame) -> DataFrame:
         place = resolve_municipality(F.col("municipality_hint"), F.col("address"), F.col("venue_name"))
-        return rows.where(F.col("error").isNull() & (~F.col("placed") | place.isNotNull())).select(*_FIELDS)
+        return rows.where(F.col("error").isNull() & (~F.col("placed") | place.isNotNull()))
 
-    # Only one platform's series run away: all others are parsed once, and no join waits for them.
+    # Read once and stored: the rows, the failures and the daily series all come from what was read.
+    stored = materialize(parse(payloads), "parsed")
+    kept = placeable(stored)
+    # Only one platform's series run away; the others' rows wait for no join.
     regional = F.col("platform").eqNullSafe("tribe")
-    others, tribes = parse(payloads.where(~regional)), parse(payloads.where(regional))
-    kept = placeable(tribes).withColumn("_venue", F.coalesce("venue_name", F.lit("")))
+    tribes = kept.where(regional).withColumn("_venue", F.coalesce("venue_name", F.lit("")))
     series = ["source_slug", "title", "_venue"]
-    daily = runaway_series(kept, series, F.substring("local_start", 1, 10))
-    kept = kept.join(daily.select(*series), series, "left_anti")
-    failed = others.union(tribes).where(F.col("error").isNotNull()).select("source_slug", "platform", "error")
-    return placeable(others).union(kept.select(*_FIELDS)), failed
+    daily = runaway_series(tribes, series, F.substring("local_start", 1, 10))
+    tribes = tribes.join(daily.select(*series), series, "left_anti")
+    failed = stored.where(F.col("error").isNotNull()).select("source_slug", "platform", "error")
+    return kept.where(~regional).select(*_FIELDS).union(tribes.select(*_FIELDS)), failed
 
 
 def page_details(pages: DataFrame) -> DataFrame:
