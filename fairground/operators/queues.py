@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import contains_money
 from ..registry import PRIORITY  # noqa: F401  (kinds of sources, for callers)
+from ..shipping import by_value
 
 # Attempts at a page, and how much each queue may take in a run or a day.
 ATTEMPTS, DETAILS, COSTS, IMAGES, DIGESTS_RUN, DIGESTS_DAY, SHOWN = 3, 300, 200, 60, 100, 700, 10
 LEAST_TEXT, LONGEST_DETAIL = 60, 4000
+by_value(__name__)
 
 
 def enrichment(listings: DataFrame, sources: list[str], today: str, budget: int = DETAILS) -> DataFrame:
@@ -62,23 +65,32 @@ def due_digests(calendars: DataFrame, users: DataFrame, sends: DataFrame, date:
 
 
 def digest_sections(candidates: DataFrame, shown: int = SHOWN) -> DataFrame:
-    """What each reader's digest shows. candidates: user_id, section (pins are 0, views follow in order),
+    """What each reader's digest shows. candidates: user_id, section (pins are 0, views follow from 1 in order),
     event_id, starts_at, for every event that a section matches.
 
     An event stands in the first section that shows it. A section skips what earlier ones showed, and shows
-    its first `shown` by start (pins: all). Sections go one after another: each takes what is left after an
-    anti-join with what is shown so far; there are few for any reader. `more`: a section had further ones."""
-    sections = [r[0] for r in candidates.select("section").distinct().orderBy("section").collect()]
-    done = None
-    for s in sections:
-        rows = candidates.where(F.col("section") == s)
-        if done is not None:
-            rows = rows.join(done.select("user_id", "event_id"), ["user_id", "event_id"], "left_anti")
-        window = Window.partitionBy("user_id")
-        rows = rows.withColumns({"nth": F.row_number().over(window.orderBy("starts_at", "event_id")), "_all": F.count("*").over(window)})
-        rows = rows.where(F.lit(s == 0) | (F.col("nth") <= shown)).withColumn("more", F.lit(s != 0) & (F.col("_all") > shown)).drop("_all")
-        done = rows if done is None else done.unionByName(rows)
-    return done if done is not None else candidates.withColumns({"nth": F.lit(0), "more": F.lit(False)}).limit(0)
+    its first `shown` by start (pins: all). `more`: a section had further ones. Pins leave the views by a
+    join. Earlier views take at most `shown` events each from a section, so its first shown * section rows and
+    their number decide: no more meet in a reader's group, however many a view matches."""
+    window = Window.partitionBy("user_id", "section")
+    pinned = candidates.where("section = 0").select("user_id", "event_id").distinct().withColumn("_pinned", F.lit(True))
+    rows = candidates.select("user_id", "section", "event_id", "starts_at").join(pinned, ["user_id", "event_id"], "left").where((F.col("section") == 0) | F.col("_pinned").isNull()).drop("_pinned")
+    rows = rows.withColumns({"nth": F.row_number().over(window.orderBy("starts_at", "event_id")), "_all": F.count("*").over(window)})
+    first = rows.where((F.col("section") > 0) & (F.col("nth") <= shown * F.col("section")))
+    kinds = {c: candidates.schema[c].dataType.simpleString() for c in ("user_id", "section", "event_id", "starts_at")}
+
+    def pick(reader: pd.DataFrame) -> pd.DataFrame:
+        seen, out = set(), []
+        for _, part in reader.sort_values(["section", "nth"]).groupby("section"):
+            left = part[~part["event_id"].isin(seen)]
+            here = left.head(shown).assign(more=part["_all"].iloc[0] - (len(part) - len(left)) > shown)
+            seen.update(here["event_id"])
+            out.append(here.assign(nth=range(1, len(here) + 1)))
+        return pd.concat(out).drop(columns="_all")
+
+    views = first.groupBy("user_id").applyInPandas(pick, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", nth int, more boolean")
+    pins = rows.where("section = 0").select(*kinds, "nth", F.lit(False).alias("more"))
+    return pins.unionByName(views.select(*kinds, "nth", "more"))
 
 
 def next_in_queue(rows: DataFrame, handled: str, day: str, order: list[Column]) -> DataFrame:

@@ -87,13 +87,13 @@ FNV = "lpad(to_hex(list_reduce(list_prepend({start}::HUGEINT, list_transform(str
 HASH = lambda text: f"lower({FNV.format(start=0x811C9DC5, by=0x01000193, text=text)} || {FNV.format(start=0x01000193, by=0x85EBCA6B, text=text)})"
 
 
-@query(f"SELECT d AS doc_id, h AS hash, CASE WHEN h = '' THEN '' ELSE lpad(substr(regexp_replace(h, '^0+', ''), 1, 7), 7, '0') END AS short_code FROM (SELECT doc_id AS d, {HASH('t')} AS h FROM (SELECT doc_id, substr(text, 1, 200) AS t FROM documents WHERE text <> ''))")
+@query(f"SELECT d AS doc_id, h AS hash, CASE WHEN h = '' THEN '' ELSE lpad(substr(regexp_replace(h, '^0+', ''), 1, 7), 7, '0') END AS short_code FROM (SELECT doc_id AS d, {HASH('t')} AS h FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
 def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hash of a title-sized head of each text: identities are short strings."""
+    """The hash of each whole text; a null one counts as empty."""
     from .standins import table
 
-    head = F.substring("text", 1, 200)
-    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", hashes.text_hash(head).alias("hash"), hashes.short_code(head).alias("short_code"))
+    whole = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", hashes.text_hash(whole).alias("hash"), hashes.short_code(whole).alias("short_code"))
 
 
 JSON = "'[' || concat_ws(',', to_json(title), coalesce(to_json(description), 'null'), to_json(local_start), coalesce(to_json(local_end), 'null'), all_day, to_json(time_precision), coalesce(to_json(venue_name), 'null'), coalesce(to_json(address), 'null'), coalesce(to_json(cost_text), 'null'), coalesce(is_free::VARCHAR, 'null'), to_json([label]), coalesce(to_json(organizer), 'null'), coalesce(to_json(image_url), 'null'), to_json(url)) || ']'"

@@ -145,9 +145,10 @@ def place_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(ahead).orderBy("starts_at", "id").limit(120).select("id", F.lit("upcoming").alias("part")).union(rows.where(past).orderBy(F.desc("starts_at"), "id").limit(12).select("id", F.lit("past").alias("part")))
 
 
-@query(f"{EV} SELECT id, local_date FROM ev WHERE active AND local_date >= '1999-03-16' AND local_date <= '2001-03-15' ORDER BY local_date, id LIMIT 20000")
+@query(f"{EV} SELECT id, local_date FROM ev WHERE active AND {HIDDEN} AND local_date >= '1999-03-16' ORDER BY starts_at_utc DESC, id LIMIT 20000")
 def sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return served(spark, sf_dir).where("active AND local_date >= '1999-03-16' AND local_date <= '2001-03-15'").orderBy("local_date", "id").limit(20000).select("id", "local_date")
+    """Pages for search engines: events since the cutoff, the latest first; a cap of 20,000 is the feature."""
+    return served(spark, sf_dir).where("active AND category <> 'civic-meeting' AND local_date >= '1999-03-16'").orderBy(F.desc("starts_at"), "id").limit(20000).select("id", "local_date")
 
 
 @query(f"{EV}, n AS (SELECT *, row_number() OVER (PARTITION BY local_date ORDER BY user_id % 17 = 3 DESC, starts_at_utc, id) AS nth, count(*) OVER (PARTITION BY local_date) AS c FROM ev WHERE active) SELECT id, local_date, nth::INTEGER AS nth, greatest(c - 3, 0) AS more FROM n WHERE nth <= 3")
@@ -163,10 +164,11 @@ def day_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return served(spark, sf_dir).where("active").groupBy("local_date").agg(F.array_join(ids, ",").alias("ids"))
 
 
-@query(f"{EV}, m AS (SELECT DISTINCT substr(local_date, 1, 7) AS month FROM ev WHERE active AND user_id % 5 = 0) SELECT month, lead(month) OVER (ORDER BY month) AS next_month FROM m")
+@query(f"{EV}, m AS (SELECT DISTINCT substr(local_date, 1, 7) AS month FROM ev WHERE active) SELECT month, lead(month) OVER (ORDER BY month) AS next_month FROM m")
 def next_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = served(spark, sf_dir).where("active AND user_id % 5 = 0").select(F.substring("local_date", 1, 7).alias("month")).distinct()
-    return months.withColumn("next_month", F.lead("month").over(Window.partitionBy(F.lit(1)).orderBy("month")))
+    """The month after each that has events; one row a month meets in one task, whatever the number of events."""
+    months = served(spark, sf_dir).where("active").select(F.substring("local_date", 1, 7).alias("month")).distinct()
+    return months.withColumn("next_month", F.lead("month").over(Window.orderBy("month")))
 
 
 @query("""WITH d AS (SELECT DISTINCT user_id % 40 AS series, CAST(ts AS DATE) AS d FROM events WHERE user_id % 40 < 38 OR extract(day FROM ts) <> 9),
@@ -262,11 +264,11 @@ def enrichment_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queues.enrichment(_listing_rows(spark, sf_dir), ["src0", "src3"], TODAY).select("id")
 
 
-@query(f"""{EV}, {LIST}, d AS (SELECT id, TRUE AS seen, n % 4 <> 1 AS ok, 'A page that says far more about it than the list does.' AS page, '$' || CAST(n % 9 AS VARCHAR) AS price FROM ev WHERE n % 2 = 0)
+@query(f"""{EV}, {LIST}, d AS (SELECT id, TRUE AS seen, n % 4 <> 1 AS ok, 'A page that says far more about it than the list does.' AS page, '$' || CAST(n % 9 AS VARCHAR) AS price FROM ev)
 SELECT ls.id, CASE WHEN coalesce(ok, FALSE) AND length(page) > length(coalesce(ls.description, '')) THEN page ELSE ls.description END AS description, CASE WHEN ok THEN coalesce(ev.cost_text, price) ELSE ev.cost_text END AS cost_text,
   CASE WHEN ok THEN content_hash ELSE detail_hash END AS detail_hash, CASE WHEN ok THEN 0 WHEN seen THEN detail_attempts + 1 ELSE detail_attempts END AS detail_attempts FROM ls JOIN ev USING (id) LEFT JOIN d USING (id)""")
 def enriched_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = served(spark, sf_dir).where("n % 2 = 0")
+    events = served(spark, sf_dir)
     pages = events.select("id", (F.col("n") % 4 != 1).alias("ok"), F.lit("A page that says far more about it than the list does.").alias("description"), F.concat(F.lit("$"), (F.col("n") % 9).cast("string")).alias("cost_text"), F.lit(None).cast("string").alias("image_url"))
     return queues.enriched(_listing_rows(spark, sf_dir), pages).select("id", "description", "cost_text", "detail_hash", "detail_attempts")
 
@@ -315,23 +317,23 @@ def digest_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queues.digest_sections(rows).select("user_id", "section", "event_id", "nth", "more")
 
 
-@query(f"{EV} SELECT user_id, id AS event_id, CASE WHEN NOT active THEN 'withdrawn' WHEN {LAST} >= '{TODAY}' THEN 'upcoming' ELSE 'past' END AS part, CASE WHEN active THEN title ELSE 'Saved: ' || title END AS title FROM ev WHERE n % 12 = 0")
+@query(f"{EV} SELECT user_id, id AS event_id, CASE WHEN NOT active THEN 'withdrawn' WHEN {LAST} >= '{TODAY}' THEN 'upcoming' ELSE 'past' END AS part, CASE WHEN active THEN title ELSE 'Saved: ' || title END AS title FROM ev")
 def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pinned events as they are now, or as they were saved if they were withdrawn."""
     events = served(spark, sf_dir)
-    saved = events.where("n % 12 = 0").select("user_id", F.col("id").alias("event_id"), F.concat(F.lit("Saved: "), F.col("title")).alias("saved_title"), F.col("local_date").alias("saved_date"))
+    saved = events.select("user_id", F.col("id").alias("event_id"), F.concat(F.lit("Saved: "), F.col("title")).alias("saved_title"), F.col("local_date").alias("saved_date"))
     live = events.where("active").select(F.col("id").alias("event_id"), F.col("title").alias("live_title"), times.last_date(F.col("local_date"), F.col("ends_at"), F.col("timezone")).alias("last"))
     part = F.when(F.col("live_title").isNull(), "withdrawn").when(F.col("last") >= TODAY, "upcoming").otherwise("past")
     return saved.join(live, "event_id", "left").select("user_id", "event_id", part.alias("part"), F.coalesce("live_title", "saved_title").alias("title"))
 
 
-@query(f"{EV}, s AS (SELECT n, id, CASE n % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'approved' WHEN 2 THEN 'skipped' ELSE 'failed' END AS state, CASE n % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'unapprove' WHEN 2 THEN 'unskip' WHEN 3 THEN 'retry' END AS move, CASE WHEN n % 7 = 0 THEN 'draft' END AS stale FROM ev WHERE n % 3 = 0),"
+@query(f"{EV}, s AS (SELECT n, id, CASE n % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'approved' WHEN 2 THEN 'skipped' ELSE 'failed' END AS state, CASE n % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'unapprove' WHEN 2 THEN 'unskip' WHEN 3 THEN 'retry' END AS move, CASE WHEN n % 7 = 0 THEN 'draft' END AS stale FROM ev),"
        " t AS (SELECT *, CASE WHEN coalesce(stale, state) <> state THEN NULL WHEN move = 'approve' AND state = 'draft' THEN 'approved' WHEN move = 'unapprove' AND state = 'approved' THEN 'draft' WHEN move = 'unskip' AND state = 'skipped' THEN 'draft' WHEN move = 'retry' AND state = 'failed' THEN 'approved' END AS next FROM s)"
        " SELECT id, coalesce(next, state) AS state, next IS NOT NULL AS moved FROM t")
 def social_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafts moved only from the state that was shown."""
     n = F.col("n")
-    rows = served(spark, sf_dir).where("n % 3 = 0").select("n", "id", F.element_at(F.array(*[F.lit(s) for s in ("draft", "approved", "skipped", "failed")]), (n % 4 + 1).cast("int")).alias("state"))
+    rows = served(spark, sf_dir).select("n", "id", F.element_at(F.array(*[F.lit(s) for s in ("draft", "approved", "skipped", "failed")]), (n % 4 + 1).cast("int")).alias("state"))
     asked = rows.where("n % 5 < 4").select("id", F.element_at(F.array(*[F.lit(s) for s in ("approve", "unapprove", "unskip", "retry")]), (n % 5 + 1).cast("int")).alias("move"), F.when(n % 7 == 0, "draft").otherwise(F.col("state")).alias("seen"))
     moves = {"approve": (["draft"], "approved"), "unapprove": (["approved"], "draft"), "unskip": (["skipped"], "draft"), "retry": (["failed"], "approved")}
     return move_states(rows, asked, "id", moves).select("id", "state", "moved")
@@ -356,9 +358,9 @@ def guarded_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(old, new, ["id"], keep=["first_seen"], guard=F.col("old.first_seen") != "kept")
 
 
-@query(f"{EV}, q AS (SELECT id, local_date, starts_at_utc, CASE WHEN n % 6 = 0 THEN 'done' END AS handled FROM ev WHERE n % 30 < 3) SELECT id, lead(id) OVER (ORDER BY local_date, starts_at_utc DESC, id) AS next_id FROM q WHERE handled IS NULL")
+@query(f"{EV}, q AS (SELECT id, local_date, starts_at_utc, CASE WHEN n % 6 = 0 THEN 'done' END AS handled FROM ev) SELECT id, lead(id) OVER (ORDER BY local_date, starts_at_utc DESC, id) AS next_id FROM q WHERE handled IS NULL")
 def staged_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = served(spark, sf_dir).where("n % 30 < 3").select("id", "local_date", "starts_at_utc", F.when(F.col("n") % 6 == 0, "done").alias("handled"))
+    rows = served(spark, sf_dir).select("id", "local_date", "starts_at_utc", F.when(F.col("n") % 6 == 0, "done").alias("handled"))
     return queues.next_in_queue(rows, "handled", "local_date", [F.desc("starts_at_utc"), F.col("id")]).select("id", "next_id")
 
 
@@ -386,10 +388,17 @@ def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("page"), text.shareable_host(F.col("url")).alias("shareable"))
 
 
-@query("""SELECT doc_id, lower(strip_accents(substr(text, 1, 300))) AS folded, substr(regexp_replace(regexp_replace(lower(strip_accents(substr(text, 1, 120))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM documents WHERE NOT regexp_matches(substr(text, 1, 300), '[øłđßæœ‘’“”]', 'i')""")
+#: Letters that have no marks to lose; the checking SQL's own function would change them, so they are kept from it.
+_LETTERS = "øłđßæœ"
+_KEPT = "".join(chr(0xE000 + i) for i in range(len(_LETTERS)))
+_FOLD = lambda x: f"translate(lower(strip_accents(translate({x}, {O.q(_LETTERS + 'ØŁĐẞÆŒ')}, {O.q(_KEPT * 2)}))), {O.q(_KEPT)}, {O.q(_LETTERS)})"
+_STRAIGHT = lambda x: f"translate({x}, '‘’“”', {O.q(chr(39) * 2 + chr(34) * 2)})"
+
+
+@query(f"SELECT doc_id, {_STRAIGHT(_FOLD('text'))} AS folded, substr(regexp_replace(regexp_replace({_FOLD('text')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM documents")
 def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.substring("text", 1, 300).rlike("(?iu)[øłđßæœ‘’“”]"))
-    return docs.select("doc_id", text.fold(F.substring("text", 1, 300)).alias("folded"), text.slugify(F.substring("text", 1, 120)).alias("slug"))
+    """Every whole text folded for search, and as a slug; null texts stay null."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"), text.slugify(F.col("text")).alias("slug"))
 
 
 _TAGS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|h[1-6]|tr|section|article)>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g')"
