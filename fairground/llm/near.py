@@ -213,6 +213,10 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     more = side(owners.where("apart"), "a").join(side(members, "b"), "bucket").where(once & likely)
     more = more.unionByName(side(owners.where(~F.col("apart")), "a").join(side(members.where(~F.col("owns") & F.col("apart")), "b"), "bucket").where(likely))
     more = more.select(F.col("copy_a").alias("a"), F.col("copy_b").alias("b"))
-    roots = components(near.union(verified(more, classes, named, similarity)))
-    grouped = classes.join(roots, F.col("copy") == F.col("node"), "left").groupBy(F.coalesce("root", "copy")).agg(F.min("best").alias("best"))
+    more = verified(more, classes, named, similarity)
+    for c in "ab":
+        more = more.join(placed.select(F.col("copy").alias(c), F.col("root").alias(f"root_{c}")), c)
+    roots = components(more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    last = placed.join(roots.toDF("root", "last"), "root", "left").select("copy", F.coalesce("last", "root").alias("root"))
+    grouped = classes.join(last, "copy").groupBy("root").agg(F.min("best").alias("best"))
     return rows.join(grouped.select(F.col("best.row").alias(row)), row, "left_semi").dropDuplicates([row]).drop(row)
