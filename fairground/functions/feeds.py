@@ -92,3 +92,37 @@ def event_lines(events: DataFrame, domain: str, origin: str, stamp: str, folded:
 
 def calendar_head(name: str, hours: int = 6) -> list[str]:
     return ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//fairground//community events//EN", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", f"X-WR-CALNAME:{name}", "X-WR-TIMEZONE:America/Toronto", f"REFRESH-INTERVAL;VALUE=DURATION:PT{hours}H", f"X-PUBLISHED-TTL:PT{hours}H"]
+
+
+def calendar_rows(events: DataFrame, group: str, name: Column, domain: str, origin: str, stamp: str) -> DataFrame:
+    """The lines of a calendar for each value of `group`: group, part (0 head, 1 events, 2 end), starts_at, id, text.
+
+    Rows in that order are the file. No group is gathered in one place: whoever writes it sorts by these columns."""
+    heads = events.select(group, name.alias("_name")).groupBy(group).agg(F.min("_name").alias("_name"))
+    line = F.concat_ws("\r\n", *[F.replace(F.lit(x), F.lit("{name}"), escape_text(F.col("_name"))) for x in calendar_head("{name}")])
+    nothing = [F.lit(None).cast("timestamp").alias("starts_at"), F.lit(None).cast("string").alias("id")]
+    ends = heads.select(group, F.lit(0).alias("part"), *nothing, line.alias("text")).union(heads.select(group, F.lit(2), *nothing, F.lit("END:VCALENDAR")))
+    return ends.union(events.select(group, "id", "starts_at").join(event_lines(events, domain, origin, stamp), "id").select(group, F.lit(1), "starts_at", "id", "vevent"))
+
+
+def event_text(events: DataFrame, origin: str) -> Column:
+    """Three lines that a message says of an event: title, when and where, and its address."""
+    untimed = F.col("all_day") | (F.col("time_precision") == "date-only")
+    when = F.concat_ws(" · ", times.format_date(F.col("local_date")), F.when(~untimed, times.format_time(F.col("local_time"))), F.col("municipality_name"))
+    return F.concat(F.lit("- "), F.col("title"), F.when(F.col("status") == "cancelled", " (CANCELLED)").otherwise(""), F.lit("\n  "), when, F.lit(f"\n  {origin}/e/"), F.col("short_code"))
+
+
+def digest_messages(shown: DataFrame, cadence: str, start: str, end: str, site: str, origin: str) -> DataFrame:
+    """user_id, subject and text of each reader's digest.
+
+    shown: user_id, section, heading, nth, text (event_text), more (an address, or null) and unsubscribe: what
+    digest_sections() chose, so a reader's rows are few. Sections and events stand in their order."""
+    day = lambda d: times.format_date(F.lit(d))
+    subject = F.concat(F.lit(f"Today on {site}: "), day(start)) if cadence == "daily" else F.concat(F.lit(f"This week on {site}: "), day(start), F.lit(" to "), day(end))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), "\n\n")
+    parts = shown.groupBy("user_id", "unsubscribe", "section", "heading").agg(texts.alias("_events"), F.max("more").alias("_more"))
+    part = F.concat(F.upper("heading"), F.lit("\n\n"), F.col("_events"), F.coalesce(F.concat(F.lit("\n\n  See all: "), F.col("_more")), F.lit("")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", part.alias("part")))), lambda x: x["part"]), "\n\n\n")
+    opening = "Here is what is on for you today." if cadence == "daily" else "Here is what is on for you this week."
+    closing = F.concat(F.lit(f"\n\n--\nYou are getting this because you turned on a {cadence} digest at {site}.\nChange it, or turn it off: {origin}/account#digest\nUnsubscribe with one click: "), F.col("unsubscribe"), F.lit("\n"))
+    return parts.groupBy("user_id", "unsubscribe").agg(body.alias("_body")).select("user_id", subject.alias("subject"), F.concat(F.lit(f"{opening}\n\n"), F.col("_body"), closing).alias("text"))

@@ -54,3 +54,8 @@ def content_text(raw: dict[str, Column]) -> Column:
 
 def content_hash(raw: dict[str, Column]) -> Column:
     return text_hash(content_text(raw))
+
+
+def visitor_key(day: Column, address: Column) -> Column:
+    """A key of a visitor that changes every day, so it names nobody: 64 hex digits."""
+    return F.sha2(F.concat(day, F.lit(":"), F.coalesce(address, F.lit("unknown"))), 256)

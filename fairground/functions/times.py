@@ -105,10 +105,23 @@ def format_date(local: Column) -> Column:
 
 
 def format_time(clock: Column) -> Column:
-    """19:30 as 7:30 p.m.; whole hours without minutes."""
-    hour, minute = F.substring(clock, 1, 2).cast("int"), F.substring(clock, 4, 2)
-    twelve = F.pmod(hour + 11, F.lit(12)) + 1
-    return F.concat(twelve.cast("string"), F.when(minute == "00", "").otherwise(F.concat(F.lit(":"), minute)), F.when(hour < 12, " a.m.").otherwise(" p.m."))
+    """19:30 as 7:30 p.m."""
+    hour = F.substring(clock, 1, 2).cast("int")
+    return F.concat((F.pmod(hour + 11, F.lit(12)) + 1).cast("string"), F.substring(clock, 3, 3), F.when(hour < 12, " a.m.").otherwise(" p.m."))
+
+
+# Days that a run keeps in sync before and after its own, and days back that a list's posts may be from.
+LOOK_BACK, LOOK_AHEAD, PUBLISHED_WITHIN = 14, 180, 400
+
+
+def default_window(today: Column) -> tuple[Column, Column]:
+    """The first and last day of a run."""
+    return F.date_sub(today, LOOK_BACK), F.date_add(today, LOOK_AHEAD)
+
+
+def published_after(first: Column) -> Column:
+    """The day from which posts are asked for, given a window's first day."""
+    return F.date_sub(first, PUBLISHED_WITHIN)
 
 
 def site_clock(now: Column, zone: Column) -> dict[str, Column]:

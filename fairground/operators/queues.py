@@ -49,10 +49,11 @@ def costs(listings: DataFrame, decided: DataFrame, detailed: list[str], budget:
     return rows.join(decided.select("id", "content_hash"), ["id", "content_hash"], "left_anti").orderBy("local_date", "id").limit(budget)
 
 
-def images(events: DataFrame, measured: DataFrame, wanted: Column, budget: int = IMAGES) -> DataFrame:
-    """Pictures that were never measured, the commonest first. measured: url."""
+def images(events: DataFrame, measured: DataFrame, wanted: Column, budget: int | None = IMAGES) -> DataFrame:
+    """Pictures that were never measured, the commonest first (budget None: all, in no order). measured: url."""
     counts = events.where(F.col("active") & F.col("image_url").isNotNull() & wanted).groupBy(F.col("image_url").alias("url")).agg(F.count("*").alias("uses"))
-    return counts.join(measured.select("url"), "url", "left_anti").orderBy(F.desc("uses"), "url").limit(budget)
+    unread = counts.join(measured.select("url"), "url", "left_anti")
+    return unread if budget is None else unread.orderBy(F.desc("uses"), "url").limit(budget)
 
 
 def due_digests(calendars: DataFrame, users: DataFrame, sends: DataFrame, date: str, hour: int, weekday: int, spent: int = 0) -> DataFrame:

@@ -70,3 +70,47 @@ def structured_data(events: DataFrame, origin: str) -> DataFrame:
     place = F.struct(F.lit("Place").alias("@type"), F.coalesce("venue_name", "municipality_slug", F.lit("Unspecified")).alias("name"), F.coalesce("address", "municipality_slug").alias("address"))
     body = F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Event").alias("@type"), F.col("title").alias("name"), start.alias("startDate"), times.iso(F.col("ends_at")).alias("endDate"), state.alias("eventStatus"), place.alias("location"), F.when(F.col("cost") == "free", True).when(F.col("cost") == "paid", False).alias("isAccessibleForFree"), F.concat(F.lit(f"{origin}/event/"), F.col("id")).alias("url"))
     return events.select("id", F.to_json(body).alias("json_ld"))
+
+
+def event_page_json(page: DataFrame, order: list[str]) -> DataFrame:
+    """One row, json: {count, truncated, events} of a page that filters.page() gave, in the order of these columns.
+
+    A page has a cap, so its rows fit in one."""
+    rows = page.select("truncated", F.struct(*order, F.struct(*[c for c in page.columns if c != "truncated"]).alias("event")).alias("row"))
+    events = F.transform(F.array_sort(F.collect_list("row")), lambda x: x["event"])
+    whole = rows.agg(F.count("*").alias("count"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"), events.alias("events"))
+    return whole.select(F.to_json(F.struct("count", "truncated", "events"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+LISTED = 50
+
+
+def _item(position: Column, name: Column, address: Column, key: str) -> Column:
+    return F.struct(F.lit("ListItem").alias("@type"), position.alias("position"), name.alias("name"), address.alias(key))
+
+
+def breadcrumbs(site: str, origin: str, name: Column, address: Column) -> Column:
+    """The way from the site to a page, as search engines read it: positions from 1."""
+    steps = F.array(_item(F.lit(1), F.lit(site), F.lit(f"{origin}/"), "item"), _item(F.lit(2), name, address, "item"))
+    return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("BreadcrumbList").alias("@type"), steps.alias("itemListElement")))
+
+
+def item_lists(upcoming: DataFrame, group: str, heading: Column, origin: str, most: int = LISTED) -> DataFrame:
+    """group and json_ld: the first `most` of its events by start, as search engines read a list, and how many there are.
+
+    upcoming: group, id, title, short_code, starts_at. Only the first of each group are gathered."""
+    window = Window.partitionBy(group)
+    rows = upcoming.withColumns({"_nth": F.row_number().over(window.orderBy("starts_at", "id")), "_all": F.count("*").over(window)}).where(F.col("_nth") <= most)
+    item = _item(F.col("_nth"), F.col("title"), F.concat(F.lit(f"{origin}/e/"), F.col("short_code")), "url")
+    lists = rows.groupBy(group).agg(F.max("_all").alias("_all"), F.array_sort(F.collect_list(F.struct(F.col("_nth").alias("n"), item.alias("item")))).alias("_items"))
+    body = F.struct(F.lit("https://schema.org").alias("@context"), F.lit("ItemList").alias("@type"), heading.alias("name"), F.col("_all").alias("numberOfItems"), F.transform("_items", lambda x: x["item"]).alias("itemListElement"))
+    return lists.select(group, F.to_json(body).alias("json_ld"))
+
+
+def live_pins(pins: DataFrame, events: DataFrame, today: str | None = None) -> DataFrame:
+    """user_id and the columns of the active events that each reader pinned (pins: user_id, event_id): what a
+    private or shared feed holds. today: only those whose last day has not passed, as a shared page shows."""
+    rows = pins.select("user_id", F.col("event_id").alias("id")).distinct().join(events.where("active"), "id")
+    if today is not None:
+        rows = rows.where(times.last_date(F.col("local_date"), F.col("ends_at"), F.col("timezone")) >= today)
+    return rows.select("user_id", *events.columns)

@@ -339,6 +339,21 @@ def ics(payload: str, options: dict, window: Window) -> Rows:
         ) | {"url": (get("URL") or "")}
 
 
+def libcal(payload: str, options: dict, window: Window) -> Rows:
+    """Feeds of several calendars of a library: a JSON object of feeds by calendar id, or one feed alone. Only the
+    calendars that the options list count, in their order; an event of several is kept once."""
+    feeds = json.loads(payload) if payload.lstrip().startswith("{") else {"": payload}
+    wanted = [c.strip() for c in options.get("calendars", "").split(",") if c.strip()] if "" not in feeds else [""]
+    seen = set()
+    for calendar in wanted or list(feeds):
+        if calendar not in feeds:
+            raise ValueError(f"no feed of calendar {calendar}")
+        for row in ics(feeds[calendar], options, window):
+            if row["external_id"] not in seen:
+                seen.add(row["external_id"])
+                yield row
+
+
 def sitefinity(payload: str, options: dict, window: Window) -> Rows:
     """An OData page; the clock is that of the offset fields. Recurring events are an error, not a guess."""
     for e in json.loads(payload)["value"]:
@@ -479,7 +494,7 @@ def drupal_detail(html: str, origin: str) -> dict:
 
 ADAPTERS: dict[str, Callable[[str, dict, Window], Rows]] = {
     "govstack": govstack, "drupal-events": drupal, "eventon": eventon, "tribe": tribe, "spaces": spaces, "cityspark": cityspark, "eventbrite": eventbrite, "ticketmaster": ticketmaster,
-    "communico": communico, "libcal": ics, "ics": ics, "sitefinity": sitefinity, "growthzone": growthzone, "tixhub": tixhub, "mat-film-nights": film_nights, "cfmws": cfmws,
+    "communico": communico, "libcal": libcal, "ics": ics, "sitefinity": sitefinity, "growthzone": growthzone, "tixhub": tixhub, "mat-film-nights": film_nights, "cfmws": cfmws,
 }
 DETAILS: dict[str, Callable[[str, str], dict]] = {"govstack": govstack_detail, "drupal-events": drupal_detail}
 _FIELDS = [f.split()[0] for f in RAW.replace("\n", " ").split(", ")]
