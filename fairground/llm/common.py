@@ -57,7 +57,8 @@ def with_hot(rows: DataFrame, keys: list[str], groups: DataFrame, size: str, val
     rows need no join any more and are dealt by number instead of by key; all others meet their group by key."""
     total = groups.agg(F.sum(size)).first()[0] or 0
     hot = groups.where(F.col(size) * HOT > total).select(*[F.col(k).alias(f"hot_{k}") for k in keys], F.struct(*values).alias("hot"))
-    cold = groups.where(F.col(size) * HOT <= total).select(*[F.col(k).alias(f"cold_{k}") for k in keys], F.lit(-1).cast("long").alias("cold_at"), F.struct(*values).alias("cold"))
+    cold = groups.where(F.col(size) * HOT <= total).select(*[F.col(k).alias(f"cold_{k}") for k in keys], F.least(F.lit(-1).cast("long"), F.col(size)).alias("cold_at"), F.struct(*values).alias("cold"))
+    # A group's cold_at is -1 as no size is less; a literal there would be taken out of the join's keys.
     same = lambda kind: [F.col(k) == F.col(f"{kind}_{k}") for k in keys]
     met = rows.join(F.broadcast(hot), same("hot"), "left").withColumn("at", F.when(reduce(and_, [F.col(k).isNotNull() for k in keys], F.col("hot").isNull()), -1).otherwise(F.monotonically_increasing_id()))
     found = met.join(cold, [F.col("at") == F.col("cold_at"), *same("cold")], "left")

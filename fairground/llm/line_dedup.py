@@ -28,9 +28,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share are broadcast, fewer than HOT of them. Texts move once, by their document."""
     n_lines, removed_lines, removed_spans = (free_name(docs, c) for c in ("n_lines", "removed_lines", "removed_spans"))
     rows = docs.select(whole(docs).alias("row")).withColumn("body", F.coalesce(F.col("row")[text_col], F.lit("")))
-    rows = rows.select("row", F.col("row")[id_col].alias("id"), F.xxhash64("body").alias("key"), F.split("body", "\n", -1).alias("lines"))
+    rows = rows.select("row", F.col("row")[id_col].alias("id"), F.xxhash64("body").alias("key"))
+    parts = F.split(F.coalesce(F.col("row")[text_col], F.lit("")), "\n", -1)
     full = F.filter(F.transform("lines", lambda line, i: F.when(F.trim(line, F.lit(BLANK)) != "", i)), lambda i: i.isNotNull())
-    at = rows.select("id", "key", "lines", full.alias("at")).where(F.size("at") >= lines)
+    at = rows.select("id", "key", parts.alias("lines")).select("id", "key", "lines", full.alias("at")).where(F.size("at") >= lines)
 
     def window(k):
         body = F.concat_ws("\n", *[F.get("lines", F.get("at", k + j)) for j in range(lines)])
@@ -44,7 +45,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = later.select(F.col("id").alias("cut_id"), F.col("key").alias("cut_key"), F.explode("covered").alias("line")).groupBy("cut_id", "cut_key").agg(F.array_sort(F.collect_set("line")).alias("cut"))
 
     joined = rows.join(cuts, F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("key") == F.col("cut_key")), "left")
-    joined = joined.withColumn("cut", F.coalesce("cut", F.array().cast("array<int>")))
+    joined = joined.withColumns({"lines": parts, "cut": F.coalesce("cut", F.array().cast("array<int>"))})
     # Set differences hash their arguments, so a text of many lines and many cuts takes no more than linear time.
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("cut"))
     left = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
