@@ -112,7 +112,7 @@ def media_features(store: DataFrame) -> DataFrame:
     """FEATURES, one row for each digest of the store, all from the stored bytes as read back.
 
     Of several stored copies of an image the least row stays, whichever codec wrote them; copies merge before
-    the shuffle. The rows are narrow and stored too, so a join on a hot digest may still be split."""
+    the shuffle. The rows are narrow and not stored: whoever joins them stores what it joined."""
     bounded_batches(store.sparkSession)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def media_features(store: DataFrame) -> DataFrame:
 
     values = F.struct(*[c.split()[0] for c in FEATURES.split(", ")[1:]]).alias("values")
     found = store.select("digest", "media").mapInArrow(look, FEATURES).select("digest", values)
-    return materialize(found.groupBy("digest").agg(F.min("values").alias("values")).select("digest", "values.*"), "features")
+    return found.groupBy("digest").agg(F.min("values").alias("values")).select("digest", "values.*")
 
 
 class Sequencer(HTMLParser):
@@ -253,28 +253,27 @@ def sequence(html: str | None) -> list[dict]:
     return items
 
 
-def sequences(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def sequences(pages: DataFrame, html_col: str = "html", outline: bool = False) -> DataFrame:
     """pages with its html replaced by the column sequence (see SEQUENCE), one row for each row. Where pages has
-    a column of that name, the new one takes a leading underscore."""
+    a column of that name, the new one takes a leading underscore. outline: the number of characters of each
+    text instead of the text, for whoever needs places and media only."""
     bounded_batches(pages.sparkSession)
     kept, name = [c for c in pages.columns if c != html_col], free_name(pages, "sequence")
     kind = pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "src", "digest", "caption"))]))
 
+    def items(html: str | None) -> list[dict]:
+        found = sequence(html)
+        return [i | {"text": str(len(i["text"]))} if i["text"] else i for i in found] if outline else found
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([sequence(h) for h in batch.column(len(kept)).to_pylist()], kind)
+            found = pa.array([items(h.as_py()) for h in batch.column(len(kept))], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], found], names=[*kept, name])
 
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), f"`{name}` {SEQUENCE}"])
     return pages.select(*kept, html_col).mapInArrow(parse, schema)
 
 
-def outlined(pages: DataFrame) -> DataFrame:
-    """pages, with the number of characters of each text of its sequences instead of the text."""
-    item = lambda x: F.struct(x["position"].alias("position"), x["kind"].alias("kind"), F.length(x["text"]).cast("string").alias("text"), x["src"].alias("src"), x["digest"].alias("digest"), x["caption"].alias("caption"))
-    return pages.withColumn("sequence", F.transform("sequence", item))
-
-
 def resolve(pages: DataFrame, media: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """id_col and sequence of each row of pages, where each item also has `columns` of media (null where no payload
     has its digest): positions and captions stay in place. media: one row for each digest.

@@ -12,7 +12,7 @@ from .common import read
 from .exact_dedup import exact_dedup
 from .labels import HELD_OUT, fold
 from .line_dedup import line_dedup
-from .media import illustrated, media_features, media_store, outlined, resolve, sequences
+from .media import illustrated, media_features, media_store, resolve, sequences
 from .packing import pack
 from .quality import fit_quality, with_quality
 from .sharding import shuffle_into_shards
@@ -53,7 +53,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     digests = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    shown = resolve(outlined(sequences(illustrated(docs))), media_features(media_store(docs)), "doc_id", digests)
+    shown = resolve(sequences(illustrated(docs), outline=True), media_features(media_store(docs)), "doc_id", digests)
     media = F.get(F.filter("sequence", lambda x: x["kind"] == "media"), F.lit(0))
     chars = F.aggregate("sequence", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["text"].cast("long"), F.lit(0)))
     return shown.select("doc_id", *[media[c].alias(c) for c in [*digests, "position", "caption"]], F.size("sequence").alias("n_items"), chars.alias("text_chars"))
