@@ -27,7 +27,7 @@ from .common import bounded_batches, free_name, materialize, shared_dir, write_b
 VOCABULARY = "word_bpe_49k.json"
 #: Frequent words compiled, the longest that is compiled or remembered, and chunks that a worker remembers: by
 #: their numbers or coded ids, and by pairs of texts.
-LEXICON_WORDS, LONGEST, REMEMBERED, PAIRS = 65_536, 64, 300_000, 150_000
+LEXICON_WORDS, LONGEST, REMEMBERED, PAIRS = 65_536, 64, 200_000, 150_000
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: Characters that the fast path takes: NFC leaves them as they are, and they lower to Latin letters.
 OTHER = re.compile(r"[^\t-\r -įı-ſ]")

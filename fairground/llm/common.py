@@ -12,8 +12,9 @@ from ..storage import drop_materialized, materialize, shared_dir, table_path, wr
 
 __all__ = ["bounded_batches", "drop_materialized", "free_name", "materialize", "partitions", "ranked", "read", "shared_dir", "table_path", "whole", "with_hot", "write_bytes"]
 
-#: Bytes of an Arrow batch sent to a Python worker, so that long texts do not add up.
-ARROW_BATCH_BYTES = 32 << 20
+#: Bytes of an Arrow batch sent to a Python worker, so that long texts do not add up: a task holds some of these,
+#: outside the heap and as Python objects.
+ARROW_BATCH_BYTES = 8 << 20
 #: The share of all rows from which a group counts as hot is one in so many.
 HOT = 4096
 
