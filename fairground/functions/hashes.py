@@ -2,32 +2,68 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .patterns import let
+from ..shipping import by_value
 
 # Start and multiplier of the two 32-bit lanes.
 LANES = ((0x811C9DC5, 0x01000193), (0x01000193, 0x85EBCA6B))
 MASK = 0xFFFFFFFF
 
 
-def _times(x: Column, by: int) -> Column:
-    """x times by, modulo 2^32. The multiplier is taken between -2^31 and 2^31, so the product of an unsigned
-    32-bit x fits a long, and the lowest 32 bits are the same."""
-    return (x * F.lit(by if by < 1 << 31 else by - (1 << 32)).cast("long")).bitwiseAND(F.lit(MASK).cast("long"))
+#: Texts that are left longer than all others are hashed one by one from so few on.
+FEW = 8
+by_value(__name__)
+
+
+def hash_texts(texts: list[str | None]) -> list[str | None]:
+    """Sixteen hex digits of each text: both lanes over its UTF-16 units; null stays null.
+
+    A lane's step needs the one before, so texts advance together, one unit of each at a time: they are
+    ordered by length, and step i takes those that have an i-th unit."""
+    known = [i for i, t in enumerate(texts) if t is not None]
+    units = [np.frombuffer(texts[i].encode("utf-16-le", "surrogatepass"), "<u2") for i in known]
+    order = sorted(range(len(units)), key=lambda k: -len(units[k]))
+    lengths = [len(units[k]) for k in order]
+    flat = np.concatenate([*(units[k] for k in order), np.zeros(0, "<u2")]).astype(np.uint32)
+    starts = np.cumsum([0, *lengths[:-1]]) if lengths else np.zeros(0, int)
+    lanes = [np.full(len(order), start, np.uint32) for start, _ in LANES]
+    step, live = 0, len(order)
+    while True:
+        while live and lengths[live - 1] <= step:
+            live -= 1
+        if live < FEW:
+            break
+        unit = flat[starts[:live] + step]
+        for lane, (_, by) in zip(lanes, LANES, strict=True):
+            lane[:live] = (lane[:live] ^ unit) * np.uint32(by)
+        step += 1
+    for k in range(live):
+        rest = flat[starts[k] + step : starts[k] + lengths[k]].tolist()
+        for lane, (_, by) in zip(lanes, LANES, strict=True):
+            h = int(lane[k])
+            for u in rest:
+                h = (h ^ u) * by & MASK
+            lane[k] = h
+    out: list[str | None] = [None] * len(texts)
+    for k, a, b in zip(order, *(lane.tolist() for lane in lanes), strict=True):
+        out[known[k]] = f"{a:08x}{b:08x}"
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def _hashed(texts: pd.Series) -> pd.Series:
+    return pd.Series(hash_texts([None if t is None else t for t in texts.astype(object).where(texts.notna(), None)]), dtype=object)
 
 
 def text_hash(text: Column) -> Column:
-    """Sixteen hex digits: both lanes over the text's characters (those above U+FFFF by their surrogates)."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    plain = F.transform(letters, lambda c: F.ascii(c).cast("long"))
-    high = lambda p: F.lit(0xD800).cast("long") + F.shiftright(p - 0x10000, 10)
-    low = lambda p: F.lit(0xDC00).cast("long") + (p - 0x10000).bitwiseAND(F.lit(0x3FF))
-    paired = lambda points: F.flatten(F.transform(points, lambda p: F.when(p > 0xFFFF, F.array(high(p), low(p))).otherwise(F.array(p))))
-    lane = lambda units, start, by: F.lpad(F.lower(F.hex(F.aggregate(units, F.lit(start).cast("long"), lambda h, c: _times(h.bitwiseXOR(c), by)))), 8, "0")
-    units = let(plain, lambda points: F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), paired(points)).otherwise(points))
-    return let(units, lambda u: F.concat(*[lane(u, *x) for x in LANES]))
+    """Sixteen hex digits of a text, as hash_texts() gives them. A hash is a chain of steps, one for each
+    character: a batch of texts takes them in step with numpy, where column functions would take each alone."""
+    return _hashed(text)
 
 
 def short_code(identity: Column) -> Column:

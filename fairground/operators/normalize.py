@@ -20,8 +20,7 @@ def judged(raw: DataFrame) -> DataFrame:
     untimed = F.coalesce("all_day", F.lit(False)) | F.coalesce(F.col("time_precision") == "date-only", F.lit(False))
     public = rules.is_public(F.col("title"), F.col("categories"), untimed)
     first = Window.partitionBy("source_slug", "external_id", "_public").orderBy("position")
-    start = times.wall_to_utc(times.wall_string(F.col("local_start")), F.lit("UTC"))
-    end = times.wall_to_utc(times.wall_string(F.col("local_end")), F.lit("UTC"))
+    start, end = (times.naive(times.wall_string(F.col(c))) for c in ("local_start", "local_end"))
     return (
         raw.withColumn("_public", public)
         .withColumn("_nth", F.row_number().over(first))
