@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import let
+
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
@@ -14,13 +16,17 @@ def wall_string(text: Column) -> Column:
     return F.nullif(F.regexp_extract(shaped, "^([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2})(?::[0-9]{2})?$", 1), F.lit(""))
 
 
+def naive(wall: Column) -> Column:
+    """A wall clock as the instant that it would be in UTC, session zone UTC; days that do not exist give null."""
+    return F.try_to_timestamp(wall, F.lit("yyyy-MM-dd'T'HH:mm"))
+
+
 def wall_to_utc(wall: Column, zone: Column) -> Column:
-    """The instant of a wall clock, session zone UTC. In the hour that spring skips, the offset of two
-    passes is used, as where the rules were written; days that do not exist give null."""
-    naive = F.try_to_timestamp(wall, F.lit("yyyy-MM-dd'T'HH:mm"))
+    """The instant of a wall clock. In the hour that spring skips, the offset of two passes is used, as where the
+    rules were written; days that do not exist give null. The clock is read once, and each pass made once."""
     offset = lambda at: F.unix_micros(F.from_utc_timestamp(at, zone)) - F.unix_micros(at)
-    once = F.timestamp_micros(F.unix_micros(naive) - offset(naive))
-    return F.timestamp_micros(F.unix_micros(naive) - offset(once))
+    back = lambda n, at: F.timestamp_micros(F.unix_micros(n) - offset(at))
+    return let(naive(wall), lambda n: let(back(n, n), lambda once: back(n, once)))
 
 
 def iso(instant: Column) -> Column:
@@ -110,6 +116,12 @@ def format_time(clock: Column) -> Column:
     return F.concat((F.pmod(hour + 11, F.lit(12)) + 1).cast("string"), F.substring(clock, 3, 3), F.when(hour < 12, " a.m.").otherwise(" p.m."))
 
 
+def compact_time(clock: Column) -> Column:
+    """19:30 as 7:30pm, whole hours without minutes."""
+    hour, minute = F.substring(clock, 1, 2).cast("int"), F.substring(clock, 4, 2)
+    return F.concat((F.pmod(hour + 11, F.lit(12)) + 1).cast("string"), F.when(minute == "00", "").otherwise(F.concat(F.lit(":"), minute)), F.when(hour < 12, "am").otherwise("pm"))
+
+
 # Days that a run keeps in sync before and after its own, and days back that a list's posts may be from.
 LOOK_BACK, LOOK_AHEAD, PUBLISHED_WITHIN = 14, 180, 400
 

@@ -300,11 +300,11 @@ def form_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"{EV} SELECT id, {_DATE} AS day, {_CLOCK('local_time')} AS clock, strftime(t, '%Y-%m-%d') AS date, extract(hour FROM t)::INTEGER AS hour, dayofweek(t)::INTEGER AS weekday FROM (SELECT *, CAST(replace(starts_at_utc, 'Z', '') AS TIMESTAMP) AT TIME ZONE 'UTC' AT TIME ZONE 'America/Toronto' AS t FROM ev)")
+@query(f"{EV} SELECT id, {_DATE} AS day, {_CLOCK('local_time')} AS clock, CAST((CAST(substr(local_time, 1, 2) AS INTEGER) + 11) % 12 + 1 AS VARCHAR) || replace(substr(local_time, 3, 3), ':00', '') || CASE WHEN CAST(substr(local_time, 1, 2) AS INTEGER) < 12 THEN 'am' ELSE 'pm' END AS compact, strftime(t, '%Y-%m-%d') AS date, extract(hour FROM t)::INTEGER AS hour, dayofweek(t)::INTEGER AS weekday FROM (SELECT *, CAST(replace(starts_at_utc, 'Z', '') AS TIMESTAMP) AT TIME ZONE 'UTC' AT TIME ZONE 'America/Toronto' AS t FROM ev)")
 def shown_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days and times in words, and the site's own clock at each start."""
     at = times.site_clock(F.col("starts_at"), F.col("timezone"))
-    return served(spark, sf_dir).select("id", times.format_date(F.col("local_date")).alias("day"), times.format_time(F.col("local_time")).alias("clock"), *[c.alias(n) for n, c in at.items()])
+    return served(spark, sf_dir).select("id", times.format_date(F.col("local_date")).alias("day"), times.format_time(F.col("local_time")).alias("clock"), times.compact_time(F.col("local_time")).alias("compact"), *[c.alias(n) for n, c in at.items()])
 
 
 @query("SELECT id, fields FROM (SELECT 'e' || c_custkey AS id, CASE WHEN c_custkey % 6 = 5 THEN CASE WHEN c_custkey % 2 = 0 THEN '{\"title\":\"T\"}' END WHEN c_custkey % 6 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN '{\"title\":\"T\",\"active\":\"false\"}' ELSE '{\"active\":\"false\"}' END WHEN c_custkey % 6 = 2 THEN CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE NULL END WHEN c_custkey % 6 = 4 THEN '{\"title\":\"T\"}' END AS fields FROM customer) WHERE fields IS NOT NULL")

@@ -86,6 +86,18 @@ def adapter_cfmws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("external_id", "title", "local_start", "venue_name", "url")
 
 
+@query(f"{EV} SELECT id AS external_id, title, local_date FROM ev UNION ALL SELECT id || 'b', 'Also ' || title, local_date FROM ev WHERE n % 2 = 0")
+def adapter_libcal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several calendars of a library: only those that it lists, and an event of two of them once."""
+    c = F.col
+    entry = lambda uid, title: F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), uid, F.lit("\r\nDTSTART;VALUE=DATE:"), F.replace(c("local_date"), F.lit("-"), F.lit("")), F.lit("\r\nSUMMARY:"), title, F.lit("\r\nEND:VEVENT\r\n"))
+    feed = lambda *entries: F.concat(F.lit("BEGIN:VCALENDAR\r\n"), *entries, F.lit("END:VCALENDAR"))
+    own, more = entry(c("id"), c("title")), F.when(c("n") % 2 == 0, entry(F.concat("id", F.lit("b")), F.concat(F.lit("Also "), c("title")))).otherwise("")
+    feeds = F.to_json(F.create_map(F.lit("8312"), feed(own), F.lit("8313"), feed(own, more), F.lit("1"), feed(entry(F.concat("id", F.lit("x")), c("title")))))
+    rows = parsed(served(spark, sf_dir), "libcal", feeds, calendars="8312,8313")
+    return rows.select("external_id", "title", F.substring("local_start", 1, 10).alias("local_date"))
+
+
 @query(f"{EV} SELECT id AS external_id, regexp_replace(title, '\\s+', ' ', 'g') AS title, '2000' || substr(local_date, 5) || 'T' || CASE WHEN time_precision = 'date-only' THEN '00:00' ELSE local_time END AS local_start, time_precision, address, category AS labels, 'https://c.example.org/default/Detail/' || id AS url FROM ev WHERE category <> 'other'")
 def adapter_govstack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List pages: days without a year (all in the window's one year), times of 12 hours, a category between link and paragraph."""
@@ -101,7 +113,7 @@ def adapter_govstack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("external_id", "title", "local_start", "time_precision", "address", F.array_join("categories", ",").alias("labels"), "url")
 
 
-@query()
+@query(f"{O.BASE}, {O.EVENTS} SELECT source_a AS source_slug, 'insert' AS action, count(*) AS listings FROM ev WHERE NOT {O.has('trim(title)', O.NOT_EVENT)} GROUP BY source_a UNION ALL SELECT source_slug, 'remove', count(*) FROM listings GROUP BY source_slug")
 def ingest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole ingest of feeds against the listings that an earlier run left; tests check its parts."""
     feeds = served(spark, sf_dir)
@@ -112,7 +124,10 @@ def ingest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.decided.groupBy("source_slug", "action").agg(F.count("*").alias("listings"))
 
 
-@query()
+_VERDICTS = "count(*) AS pairs, count(*) FILTER (verdict = 'same') AS same, count(*) FILTER (verdict = 'distinct') AS distinct_, count(*) FILTER (verdict = 'ambiguous') AS ambiguous"
+
+
+@query(f"{O.BASE}, {O.FEATURES}, {O.PAIRS}, c AS (SELECT {_VERDICTS} FROM verdicts) SELECT 'first' AS run, pairs, 0 AS cached, same, distinct_ AS \"distinct\", ambiguous, (SELECT count(*) FROM listings) AS assigned, 0 AS closed FROM c UNION ALL SELECT 'second', pairs, same + distinct_, same, distinct_, ambiguous, 0, 0 FROM c")
 def dedup_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole second de-duplication after a first: verdicts are remembered and nothing changes; stats of both."""
     rows = materialize(listings(spark, sf_dir), "listings").withColumn("cluster_id", F.lit(None).cast("string"))
