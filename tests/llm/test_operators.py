@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from fairground.llm import labels as labels_
-from fairground.llm import bpe, exact_dedup, line_dedup, media, packing, quality, sharding, simhash, tokenfile, toxicity
+from fairground.llm import bpe, exact_dedup, line_dedup, media, near, packing, quality, sharding, simhash, tokenfile, toxicity
 
 LONG = "word " * 30_000
 TEXTS = [None, "", " \n\t", "one", "one two", "One two three", "one TWO  three", "a b c d e f g", "a b c d e f h", LONG, "é ü ñ x", "same", "same", "l1\nl2\nl3\nl4", "x\nl1\nl2\nl3\ny", "r\nr\nr\nr\nr", "p\n\nq\n\nr\nend", "p\nq\nr"]
@@ -504,3 +504,62 @@ def test_toxicity_tells_insults(spark):
     one = toxicity.with_toxicity(docs, toxicity.fit_toxicity(docs, labels.where("toxic = 0"))).collect()
     assert max(r["score"] for r in one) < 0.1
     assert {r["score"] for r in toxicity.with_toxicity(docs, toxicity.fit_toxicity(docs, labels.limit(0))).collect()} == {0.5}
+
+
+CLASHES = ["__length", "__block", "__cut", "__lines", "__rid", "__order", "__cell", "_before", "row", "rank", "id", "key", "block", "score", "n_tokens", "ids_sha256", "bucket", "slot", "shard", "n_lines", "sequence", "hot", "at"]
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Documents with a column of every name that an operator might want, which must come back as they were."""
+    texts = ["a b c d e f g", "l1\nl2\nl3\nl4", "x\nl1\nl2\nl3\ny", None, "", "same", "same", "word " * 3_000]
+    rows = [(i, t, *[f"{c}{i}" for c in CLASHES]) for i, t in enumerate(texts)] + [(5, "same", *[f"{c}5" for c in CLASHES])]
+    names = [f"`{c}` string" for c in CLASHES if c not in ("id",)] + ["`id` string"]
+    order = ["doc_id", "text", *[c for c in CLASHES if c != "id"], "id"]
+    made = [(r[0], r[1], *[dict(zip(CLASHES, r[2:], strict=True))[c] for c in order[2:]]) for r in rows]
+    return spark.createDataFrame(made, ", ".join(["doc_id long, text string", *names]))
+
+
+def kept_columns(out, docs, without=()):
+    names = [c for c in docs.columns if c not in without]
+    key = lambda r: tuple("" if v is None else str(v) for v in r)
+    mine = lambda df: sorted(tuple(r[c] for c in names) for r in df.collect()) if "text" not in names else sorted((tuple(r[c] for c in names if c != "text") for r in df.collect()), key=key)
+    assert mine(out) == mine(docs) and len({c.lower() for c in out.columns}) == len(out.columns)
+
+
+def test_columns_of_any_name_come_back(crowded, coder):
+    kept_columns(line_dedup.line_dedup(crowded), crowded)
+    kept_columns(sharding.shuffle_into_shards(crowded, shards=3), crowded)
+    kept_columns(packing.pack(bpe.token_counts(crowded), "_n_tokens"), crowded, ["text"])
+    model = quality.QualityModel(np.zeros(16), np.ones(16), np.zeros((16, 4)), np.zeros(4), np.zeros(21), np.array([0.0]), np.array([0.5]))
+    kept_columns(quality.with_quality(crowded, model), crowded)
+    kept_columns(toxicity.with_toxicity(crowded, toxicity.ToxicityModel(np.zeros(1 << toxicity.BITS, np.float32), 0.0)), crowded)
+    kept_columns(bpe.encode_decode(crowded, keep_ids=True), crowded, ["text"])
+    kept_columns(near.near_dedup(crowded).unionByName(crowded.where("doc_id IN (4, 6)")), crowded.dropDuplicates(["doc_id"]))
+    kept_columns(media.sequences(crowded.withColumn("html", media.F.lit("<p>x"))), crowded)
+    for out in (exact_dedup.exact_dedup(crowded), simhash.simhash_dedup(crowded), tokenfile.token_table(crowded), media.resolve(media.sequences(media.illustrated(crowded)), media.media_features(media.media_store(crowded)), "doc_id", ["n_bytes"])):
+        assert out.count() == crowded.count()
+
+
+def test_classifiers_take_empty_tables_repeated_rows_and_long_texts(spark):
+    long_ = "word\n" * 400_000
+    docs = spark.createDataFrame([(i % 30, f"text {i} good") for i in range(60)] + [(100, long_), (101, long_), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(102)], "doc_id long, quality int, toxic int")
+    for fit, score in ((quality.fit_quality, quality.with_quality), (toxicity.fit_toxicity, toxicity.with_toxicity)):
+        out = score(docs, fit(docs, labels)).collect()
+        assert len(out) == 63 and len({r["score"] for r in out if r["doc_id"] in (100, 101)}) == 1
+        assert score(docs.limit(0), fit(docs.limit(0), labels)).count() == 0
+    assert media.sequences(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_equal_rows_spread_over_blocks(spark):
+    docs = spark.createDataFrame([(7, "same")] * 3_000 + [(i, "other") for i in range(600)], "doc_id long, text string").repartition(5)
+    out = sharding.shuffle_into_shards(docs, shards=8, seed=3).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert len(out) == 3_600 and all(sorted(s) == list(range(450)) for s in slots.values())
+    hot = [sum(r["shard"] == s and r["doc_id"] == 7 for r in out) for s in range(8)]
+    assert all(abs(h - 375) < 6 * (450 * 5 / 36) ** 0.5 for h in hot)
+    again = sharding.shuffle_into_shards(docs.repartition(2), shards=8, seed=3).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, again))
