@@ -141,16 +141,16 @@ def bucket(segment: Column, key: Column) -> Column:
     return F.shiftleft(segment.cast("long"), 32).bitwiseOR(key)
 
 
-def balls(classes: DataFrame) -> DataFrame:
-    """copy, bucket and owns (it is the segment's own value) for every value in the ball of each segment."""
+def balls(classes: DataFrame, *more: str) -> DataFrame:
+    """copy, these columns, bucket and owns (it is the segment's own value) for every value in the ball of each segment."""
 
     def probes(segment: Column) -> Column:
         flip = [F.get("flips", segment * UNSURE + i) for i in range(UNSURE)]
         return F.array(*[sum((flip[i] for i in c), F.lit(0).cast("long")) for c in BALL])
 
-    segment = classes.select("copy", "flips", F.posexplode("keys").alias("segment", "key"))
-    turned = segment.select("copy", "segment", "key", F.explode(probes(F.col("segment"))).alias("turned"))
-    return turned.select("copy", bucket(F.col("segment"), F.col("key").bitwiseXOR(F.col("turned"))).alias("bucket"), (F.col("turned") == 0).alias("owns"))
+    segment = classes.select("copy", *more, "flips", F.posexplode("keys").alias("segment", "key"))
+    turned = segment.select("copy", *more, "segment", "key", F.explode(probes(F.col("segment"))).alias("turned"))
+    return turned.select("copy", *more, bucket(F.col("segment"), F.col("key").bitwiseXOR(F.col("turned"))).alias("bucket"), (F.col("turned") == 0).alias("owns"))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -197,15 +197,19 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classes = materialize(marked.groupBy("copy").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys", "flips")], best), "classes")
 
     own = classes.select("copy", F.posexplode("keys").alias("segment", "key")).select("copy", bucket(F.col("segment"), F.col("key")).alias("bucket"))
-    heads = materialize(own.groupBy("bucket").agg(F.min("copy").alias("head"), F.count("*").alias("owners")), "heads")
+    heads = materialize(own.groupBy("bucket").agg(F.min("copy").alias("head")), "heads")
     star = balls(classes).join(heads.hint("merge"), "bucket").where(F.col("copy") != F.col("head")).select(F.col("head").alias("a"), F.col("copy").alias("b"))
     near = materialize(verified(star, classes, named, similarity), "near")
     roots = components(near)
 
-    placed = materialize(classes.join(roots, F.col("copy") == F.col("node"), "left").select("copy", "n", "fp", F.coalesce("root", "copy").alias("root")), "placed")
-    shared = heads.where("owners > 1").join(placed.select(F.col("copy").alias("head"), F.col("root").alias("first")), "head").select("bucket", "first")
-    members = balls(classes).join(shared.hint("merge"), "bucket").join(placed, "copy")
-    members = materialize(members.select("bucket", "copy", "owns", "root", (F.col("root") != F.col("first")).alias("apart"), "n", "fp"), "members")
+    named_roots = F.coalesce("root", "copy").alias("root")
+    placed = materialize(classes.join(roots, F.col("copy") == F.col("node"), "left").select("copy", "n", "fp", "keys", "flips", named_roots), "placed")
+    # Of a bucket whose owners are one group, only its owners and those of other groups are still of interest.
+    owned = own.join(placed.select("copy", "root"), "copy").groupBy("bucket")
+    shared = owned.agg(F.min_by("root", "copy").alias("first"), (F.min("root") < F.max("root")).alias("mixed"), F.count("*").alias("owners")).where("owners > 1").drop("owners")
+    entries = balls(placed, "root").join(materialize(shared, "shared").hint("merge"), "bucket").where(F.col("mixed") | F.col("owns") | (F.col("root") != F.col("first")))
+    members = entries.select("bucket", "copy", "owns", "root", (F.col("root") != F.col("first")).alias("apart")).join(placed.select("copy", "n", "fp"), "copy")
+    members = materialize(members, "members")
     side = lambda of, c: of.select("bucket", *[F.col(k).alias(f"{k}_{c}") for k in ("copy", "owns", "root", "apart", "n", "fp")])
     likely = (F.col("root_a") != F.col("root_b")) & close("a", "b", similarity)
     owners = members.where("owns")
