@@ -25,9 +25,8 @@ from ..shipping import by_value
 from .common import bounded_batches, free_name, materialize, shared_dir, write_bytes
 
 VOCABULARY = "word_bpe_49k.json"
-#: Frequent words compiled, the longest that is compiled or remembered, and chunks that a worker remembers: by
-#: their numbers or coded ids, and by pairs of texts.
-LEXICON_WORDS, LONGEST, REMEMBERED, PAIRS = 65_536, 64, 300_000, 150_000
+#: Frequent words compiled, the longest that is compiled or remembered, and chunks that a worker remembers.
+LEXICON_WORDS, LONGEST, REMEMBERED = 65_536, 64, 300_000
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: Characters that the fast path takes: NFC leaves them as they are, and they lower to Latin letters.
 OTHER = re.compile(r"[^\t-\r -įı-ſ]")
@@ -340,7 +339,7 @@ def with_codes(docs: DataFrame, lexicon: str, path: str, keep_ids: bool = False,
                 ids = [i for w in bpe.words(chunk) for i in (table.get(w) or bpe.merge(w))]
                 return " ".join(map(str, ids)), bpe.decode(ids)
 
-            return Coder(of, PAIRS)
+            return Coder(of)
 
         coder = remembered(f"coder {lexicon}", make)
         for batch in batches:
