@@ -185,7 +185,8 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Candidates: a segment's value is looked up under every value of its ball (multi-index hashing). A pair of
     similarity 0.8 is missed with chance MISSED, and with less above it. Each class is compared with the first
-    of its bucket, so a group costs as many pairs as it has members. Only classes that are then in another
+    of its own buckets, then with that of others in whose balls it is, unless one group holds both already, so
+    a group costs as many pairs as it has members. Only classes that are then in another
     group than that first one are compared with the others of their bucket, and of these only such pairs go on
     whose complete fingerprints are close. Each candidate is verified over the whole shingle sets.
     `similarity` below 0.8 would need more segments than layout() gives."""
@@ -198,8 +199,13 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     own = classes.select("copy", F.posexplode("keys").alias("segment", "key")).select("copy", bucket(F.col("segment"), F.col("key")).alias("bucket"))
     heads = materialize(own.groupBy("bucket").agg(F.min("copy").alias("head")), "heads")
-    star = balls(classes).join(heads.hint("merge"), "bucket").where(F.col("copy") != F.col("head")).select(F.col("head").alias("a"), F.col("copy").alias("b"))
-    near = materialize(verified(star, classes, named, similarity), "near")
+    pair = [F.col("head").alias("a"), F.col("copy").alias("b")]
+    near = materialize(verified(own.join(heads, "bucket").where(F.col("copy") != F.col("head")).select(*pair), classes, named, similarity), "near")
+    begun = classes.join(components(near), F.col("copy") == F.col("node"), "left").select("copy", "keys", "flips", F.coalesce("root", "copy").alias("root"))
+    begun = materialize(begun, "begun")
+    first = heads.join(begun.select(F.col("copy").alias("head"), F.col("root").alias("first")), "head")
+    star = balls(begun, "root").join(first.hint("merge"), "bucket").where(F.col("root") != F.col("first")).select(*pair)
+    near = materialize(near.unionByName(verified(star, classes, named, similarity)), "near")
     roots = components(near)
 
     named_roots = F.coalesce("root", "copy").alias("root")
