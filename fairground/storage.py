@@ -48,6 +48,28 @@ def drop_materialized(df: DataFrame) -> None:
         files.delete(path, True)
 
 
+class Scratch:
+    """Intermediate tables of one operator, in a folder of their own; close() deletes those that its result does not read."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.folder, self.paths = spark, table_path(spark, label), {}
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """df, written and read back as by materialize()."""
+        path = f"{self.folder}/{label}-{len(self.paths)}"
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = found
+        return found
+
+    def close(self, *read: DataFrame) -> None:
+        for name, df in list(self.paths.items()):
+            if not any(df is r for r in read):
+                files, path = _path(self.spark, name)
+                files.delete(path, True)
+                del self.paths[name]
+
+
 def write_bytes(spark: SparkSession, name: str, data: bytes, replace: bool = True) -> None:
     """Write a file through the file system that Spark knows by its name. What is there is replaced, or an error."""
     files, path = _path(spark, name)
