@@ -8,9 +8,9 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import drop_materialized, materialize, shared_dir, table_path, write_bytes
+from ..storage import Scratch, drop_materialized, materialize, shared_dir, table_path, write_bytes
 
-__all__ = ["bounded_batches", "drop_materialized", "free_name", "materialize", "partitions", "ranked", "read", "shared_dir", "table_path", "whole", "with_hot", "write_bytes"]
+__all__ = ["Scratch", "bounded_batches", "drop_materialized", "free_name", "materialize", "partitions", "ranked", "read", "shared_dir", "table_path", "whole", "with_hot", "write_bytes"]
 
 #: Bytes of an Arrow batch sent to a Python worker, so that long texts do not add up: a task holds some of these,
 #: outside the heap and as Python objects.
