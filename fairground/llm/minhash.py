@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..operators.graph import components
 from ..shipping import by_value
-from .common import Scratch, bounded_batches, with_hot
+from .common import Scratch, bounded_batches, drop_materialized, with_hot
 from .near import ShingleSets
 
 #: Permutations, each giving a minimum and a maximum; values of a band; least similarity in percent.
@@ -23,6 +23,8 @@ VALUES = 2 * PERMUTATIONS
 BANDS = VALUES // ROWS
 #: Standard deviations by which an estimate may fall short of the similarity, and the highest chance to share no band.
 SPREAD, MISSED = 4.5, 0.005
+#: Times that every class is compared with one class of each of its buckets before the rest of a bucket is.
+TURNS = 3
 #: Shingles hashed at once; pairs of one class, or members of one bucket, that one task takes.
 AT_ONCE, CHUNK = 1 << 12, 1024
 _RANDOM = np.random.default_rng(42)
@@ -124,6 +126,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int, keep: Scratch)
     return both.where(shared * (100 + similarity) >= similarity * (F.size("left") + F.size("right"))).select("a", "b")
 
 
+def mixed_buckets(members: DataFrame, placed: DataFrame, turn: int, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """members with their group's root; and the buckets that hold several groups, with their size and a head: a class picked anew each turn."""
+    grouped = members.join(placed, "copy").select("bucket", "band", "copy", "root")
+    head = F.min_by(F.struct("copy", "root"), F.xxhash64("copy", F.lit(turn))).alias("head")
+    of = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), head, F.count("*").alias("size"))
+    return grouped, keep.table(of.where("low <> high").select("bucket", "head", "size"), "mixed")
+
+
+def merged(placed: DataFrame, links: DataFrame, keep: Scratch) -> DataFrame:
+    """placed (copy, root) after links (a, b) have joined groups."""
+    ends = [placed.select(F.col("copy").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    later = components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    found = keep.table(placed.join(later.toDF("root", "later"), "root", "left").select("copy", F.coalesce("later", "root").alias("root")), "placed")
+    drop_materialized(later)
+    return found
+
+
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """id_col, n_shingles, component_id (smallest id that links reach) and kept for each row.
 
@@ -134,7 +153,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated rows are returned as often as they come; an empty table gives an empty one; other columns do not
     matter, whatever their names.
 
-    Candidates share a band of ROWS values. Each class is first compared with the first class of each of its
+    Candidates share a band of ROWS values. TURNS times each class is compared with one class of each of its
     buckets; only in buckets that then still hold several groups are classes of different groups compared with
     each other, once a pair, in chunks. There, shingles that no other such class has bound what two sets can
     share: this and the sizes rule out pairs exactly, two-bit signatures with a chance of some 1 in 100,000 to
@@ -148,27 +167,30 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = keep.table(has_words.agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.min("key").alias("key"), F.min("id").alias("low"), F.count("*").alias("size")), "classes")
 
     own = classes.select("copy", F.posexplode("bands").alias("band", "bucket"))
-    buckets = keep.table(own.groupBy("bucket").agg(F.min("copy").alias("head"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = keep.table(with_hot(own, ["bucket"], buckets, "size", ["head"]).where("head IS NOT NULL"), "members")
+    buckets = keep.table(own.groupBy("bucket").agg(F.count("*").alias("size"), F.lit(True).alias("shared")).where("size > 1"), "buckets")
+    members = keep.table(with_hot(own, ["bucket"], buckets, "size", ["shared"]).where("shared").drop("shared"), "members")
     wanted = classes.join(members.select("copy").distinct(), "copy").select("copy", "key")
     sets = keep.table(whole_sets(docs, id_col, text_col, wanted), "sets")
 
-    pairs = keep.table(members.where("copy <> head").select(F.col("head").alias("a"), F.col("copy").alias("b")).distinct(), "stars")
-    sides = {c: classes.select(F.col("copy").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"}
-    heads = keep.table(pairs.groupBy("a").agg(F.count("*").alias("size")).join(sides["a"], "a"), "heads")
-    near = with_hot(pairs.join(sides["b"], "b"), ["a"], heads, "size", ["n_a", "bits_a"]).where(may_link(similarity)).select("a", "b")
-    roots = components(confirmed(near, sets, similarity, keep))
-    placed = keep.table(classes.join(roots, F.col("copy") == F.col("node"), "left").select("copy", F.coalesce("root", "copy").alias("root")), "placed")
-
-    grouped = members.join(placed, "copy")
-    mixed = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "copy").alias("first"), F.count("*").alias("size"))
-    mixed = keep.table(mixed.where("low <> high").select("bucket", "first", "size"), "mixed")
-    open_ = keep.table(with_hot(grouped.select("bucket", "band", "copy", "root"), ["bucket"], mixed.withColumn("members", F.col("size")), "size", ["first", "members"]).where("members IS NOT NULL"), "open")
-    asked = open_.select("copy").distinct()
-    alone = sets.join(asked, "copy").select("copy", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("sets"), F.first("copy").alias("copy"))
-    alone = alone.where("sets = 1").groupBy("copy").agg(F.count("*").alias("alone"))
-    shown = classes.join(asked, "copy").join(alone, "copy", "left").select("copy", "n", "bits", "bands", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
-    shown = keep.table(shown.where(F.col("common") * 100 >= similarity * F.col("n")), "shown")
+    placed = keep.table(classes.select("copy", F.col("copy").alias("root")), "placed")
+    for turn in range(TURNS):
+        grouped, mixed = mixed_buckets(members, placed, turn, keep)
+        star = with_hot(grouped, ["bucket"], mixed, "size", ["head"]).where(F.col("head.root") != F.col("root"))
+        pairs = keep.table(star.select(F.col("head.copy").alias("a"), F.col("copy").alias("b")).distinct(), "stars")
+        sides = {c: classes.select(F.col("copy").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"}
+        heads = keep.table(pairs.groupBy("a").agg(F.count("*").alias("size")).join(sides["a"], "a"), "heads")
+        near = with_hot(pairs.join(sides["b"], "b"), ["a"], heads, "size", ["n_a", "bits_a"]).where(may_link(similarity)).select("a", "b")
+        placed = merged(placed, confirmed(near, sets, similarity, keep), keep)
+
+    grouped, mixed = mixed_buckets(members, placed, 0, keep)
+    mixed = keep.table(mixed.select("bucket", F.col("head.root").alias("first"), F.col("size").alias("members"), "size"), "mixed")
+    open_ = keep.table(with_hot(grouped, ["bucket"], mixed, "size", ["first", "members"]).where("members IS NOT NULL"), "open")
+    shown = classes.join(open_.select("copy").distinct(), "copy").select("copy", "n", "bits", "bands")
+    for _ in range(2):  # without classes that cannot link, more shingles stand alone
+        asked = sets.join(shown.select("copy"), "copy").select("copy", F.explode("hashes").alias("hash"))
+        alone = asked.groupBy("hash").agg(F.count("*").alias("sets"), F.first("copy").alias("copy")).where("sets = 1").groupBy("copy").agg(F.count("*").alias("alone"))
+        shown = shown.select("copy", "n", "bits", "bands").join(alone, "copy", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+        shown = keep.table(shown.where(F.col("common") * 100 >= similarity * F.col("n")), "shown")
 
     tiles = F.ceil(F.col("members") / CHUNK).cast("int")
     rows = open_.join(shown, "copy").withColumn("tiles", tiles)
@@ -180,10 +202,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earlier = F.arrays_overlap(F.slice("bands_a", F.lit(1), F.col("band")), F.slice("bands_b", F.lit(1), F.col("band")))
     found = left.join(right, ["bucket", "tile"]).where(once & enough & may_link(similarity) & ~earlier)
     more = confirmed(found.select(F.col("copy_a").alias("a"), F.col("copy_b").alias("b")), sets, similarity, keep)
-    ends = [placed.select(F.col("copy").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-    later = components(more.join(ends[0], "a").join(ends[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
-
-    last = placed.join(later.toDF("root", "later"), "root", "left").select("copy", F.coalesce("later", "root").alias("root"))
+    last = merged(placed, more, keep)
     lowest = classes.join(last, "copy").groupBy("root").agg(F.min("low").alias("component_id"))
     named = keep.table(classes.select("copy", "size").join(last, "copy").join(lowest, "root").select("copy", "size", "component_id"), "named")
     keep.close(marked, named)
