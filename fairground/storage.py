@@ -51,14 +51,14 @@ def drop_materialized(df: DataFrame) -> None:
 class Scratch:
     """Intermediate tables of one operator, in a folder of their own; close() deletes those that its result does not read."""
 
-    def __init__(self, spark: SparkSession, label: str) -> None:
-        self.spark, self.folder, self.paths, self.made = spark, table_path(spark, label), {}, 0
+    def __init__(self, spark: SparkSession, label: str, compression: str = "snappy") -> None:
+        self.spark, self.folder, self.paths, self.made, self.compression = spark, table_path(spark, label), {}, 0, compression
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
         """df, written and read back as by materialize()."""
         path = f"{self.folder}/{label}-{self.made}"
         self.made += 1
-        df.write.parquet(path)
+        df.write.parquet(path, compression=self.compression)
         found = self.spark.read.schema(df.schema).parquet(path)
         self.paths[path] = found
         return found
