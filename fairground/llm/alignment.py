@@ -6,7 +6,7 @@ import hashlib
 import os
 import re
 import uuid
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +20,8 @@ from .bpe import byte_letters, remembered
 from .common import Scratch, bounded_batches, with_hot
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text whose segments share one dictionary.
-BLOCK = 16 << 20
+#: Bytes of text and codes that share one dictionary of segments; aligned segments that go on together.
+BLOCK, TOGETHER = 64 << 20, 1 << 16
 #: White space as both tokenizers' patterns see it, and those of them that a segment may begin with.
 SPACES, BEGINS = "\t-\r \x85\xa0  -     　", " \t\n\v\f\r"
 SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
@@ -63,21 +63,22 @@ class Tokenizers:
         starts = [i for i, s in enumerate(found) if not i or s[0] in BEGINS and found[i - 1][-1] + s[0] not in self.joined]
         return ["".join(found[i:j]) for i, j in zip(starts, [*starts[1:], len(found)], strict=True)]
 
-    def align(self, segments: list[str]) -> list[tuple]:
-        """ok, numbers of tokens, groups and links, groups as text, and distinct linked pairs (a << 32 | b) with their number, of each.
+    def align(self, segments: list[str]) -> list[tuple[str, list[int]]]:
+        """Numbers of tokens, groups and links and the groups as text, all parted by spaces, and the linked pairs
+        (a << 32 | b, as often as they are linked) of each segment; an empty text if its tokens' bytes are not its own.
 
         A segment begins with white space, which no piece joins to an x, so what follows the x in the encoding
-        of both is the segment's. It is not ok if its tokens' bytes are not its own."""
+        of both is the segment's."""
         out = []
         firsts = self.a.encode_batch(segments, add_special_tokens=False)
         seconds = self.b.encode(["x" + s for s in segments], num_threads=1)
         for segment, first, second in zip(segments, firsts, seconds, strict=True):
             a, b, whole = first.ids, second[len(self.before) :], segment.encode()
             if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-                out.append((False, 0, 0, 0, 0, "", [], []))
+                out.append(("", []))
                 continue
-            groups, pairs = [], Counter()
-            i = j = from_a = from_b = at_a = at_b = links = 0
+            groups, links = [], []
+            i = j = from_a = from_b = at_a = at_b = 0
             while i < len(a):  # both end together at last
                 if at_a <= at_b:
                     at_a += len(self.a_bytes[a[i]])
@@ -88,16 +89,9 @@ class Tokenizers:
                 if at_a == at_b:
                     left, right = a[from_a:i], b[from_b:j]
                     groups.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-                    links += len(left) * len(right)
-                    if len(left) == len(right) == 1:
-                        pairs[left[0] << 32 | right[0]] += 1
-                    else:
-                        shared = Counter(right)
-                        for x, n in Counter(left).items():
-                            for y, m in shared.items():
-                                pairs[x << 32 | y] += n * m
+                    links += [x << 32 | y for x in left for y in right]
                     from_a, from_b = i, j
-            out.append((True, len(a), len(b), len(groups), links, ";".join(groups), list(pairs), list(pairs.values())))
+            out.append((f"{len(a)} {len(b)} {len(groups)} {len(links)} {';'.join(groups)}", links))
         return out
 
 
@@ -124,7 +118,7 @@ def dictionaries(docs: DataFrame, id_col: str, text_col: str, a_path: str, b_pat
                 for s in found:
                     if s not in known:
                         known[s] = len(known)
-                codes.append(np.array([known[s] for s in found], np.int32).tobytes())
+                codes.append(zlib.compress(np.array([known[s] for s in found], np.int32).tobytes(), 1))
                 size += 4 * len(found) + sum(map(len, found))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), batch.column(0), pa.array(codes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names)
@@ -137,49 +131,110 @@ def dictionaries(docs: DataFrame, id_col: str, text_col: str, a_path: str, b_pat
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in fields]))
 
 
-def aligned_segments(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """segments (segment, each once) and what Tokenizers.align() says of each."""
+def aligned_entries(entries: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """What Tokenizers.align() says of each of entries (block, at, segment), many in a row: block, ats, texts, sizes, links.
+
+    Entries of one segment follow one another, so each distinct segment is tokenised and aligned once, and its
+    alignment goes to every block that has it without a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = remembered(f"aligner {a_path} {b_path}", lambda: Tokenizers(a_path, b_path))
-        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        for batch in batches:
-            found = both.align(batch.column(0).to_pylist())
-            columns = list(zip(*found, strict=True)) if found else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["segment", *FOUND])
-
-    return segments.mapInArrow(run, "segment string, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<bigint>, times array<bigint>")
-
-
-FOUND = ["ok", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"]
-
-
-def column_of(table: pa.Table, name: str) -> pa.Array:
-    return table.column(name).combine_chunks()
+        held, known = [], {}
+
+        def packed() -> pa.RecordBatch:
+            rows: dict[int, list] = {}
+            for block, at, found in held:
+                rows.setdefault(block, []).append((at, found))
+            columns: list[list] = [[], [], [], []]
+            for row in rows.values():
+                links = [f[1] for _, f in row]
+                parts = [np.array([at for at, _ in row], np.int32), "\n".join([f[0] for _, f in row]), np.array(list(map(len, links)), np.int32), np.array([x for f in links for x in f], np.int64)]
+                for column, part in zip(columns, parts, strict=True):
+                    column.append(zlib.compress(part.encode() if isinstance(part, str) else part.tobytes(), 1))
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=PACKED)
 
-
-def block_pairs(entries: pa.Table, docs: pa.Table) -> pa.Table:
-    """pair and n, how many of a block's documents hold it; documents with a segment that is not ok hold none."""
-    order = np.argsort(column_of(entries, "at").to_numpy(zero_copy_only=False)) if entries.num_rows else np.zeros(0, np.int64)
-    lists = column_of(entries, "pairs").take(pa.array(order)) if len(order) else pa.array([], pa.list_(pa.int64()))
-    ok = np.asarray(column_of(entries, "ok").take(pa.array(order))) if len(order) else np.zeros(0, bool)
-    names, local = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))]).astype(np.int64)
-    held, stamp = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
-    for codes in column_of(docs, "codes"):
-        mine = np.unique(np.frombuffer(codes.as_py(), np.int32))
-        if len(mine) and ok[mine].all():
-            sizes = ends[mine + 1] - ends[mine]
-            places = np.repeat(ends[mine] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            stamp[local[places]] = True
-            touched = np.flatnonzero(stamp) if len(places) > len(names) // 8 else np.unique(local[places])
-            held[touched] += 1
-            stamp[touched] = False
-    some = np.flatnonzero(held)
-    return pa.table({"pair": pa.array(names[some], pa.int64()), "n": pa.array(held[some], pa.int64())})
-
-
-SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+        for batch in batches:
+            segments = batch.column(2).to_pylist()
+            new = [s for s in dict.fromkeys(segments) if s not in known]
+            known = {s: known[s] for s in segments[:1] if s in known} | dict(zip(new, both.align(new), strict=True))
+            held += [(block, at, known[s]) for block, at, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), segments, strict=True)]
+            known = {segments[-1]: known[segments[-1]]} if segments else known
+            if len(held) >= TOGETHER:
+                yield packed()
+                held = []
+        if held:
+            yield packed()
+
+    sorted_ = entries.repartition("segment").sortWithinPartitions("segment")
+    return sorted_.mapInArrow(run, "block long, ats binary, texts binary, sizes binary, links binary")
+
+
+PACKED = ["block", "ats", "texts", "sizes", "links"]
+COUNTS, SUMS = ["n_a", "n_b", "n_groups", "n_links"], ["n_best", "count_sum"]
+
+
+def unpacked(rows: pa.Table) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """COUNTS, groups, places of links (one more than entries) and links of a block's entries in their order; counts of -1 if not ok."""
+    parts = {c: [zlib.decompress(x.as_py()) for x in rows.column(c)] for c in PACKED[1:]}
+    ats, sizes, links = (np.frombuffer(b"".join(parts[c]), k) for c, k in (("ats", np.int32), ("sizes", np.int32), ("links", np.int64)))
+    counts, groups = np.full((len(ats), len(COUNTS)), -1, np.int64), [""] * len(ats)
+    texts = [t for x in parts["texts"] for t in x.decode().split("\n")]
+    for at, text in zip(ats.tolist(), texts, strict=True):
+        if text:
+            *numbers, groups[at] = text.split(" ")
+            counts[at] = numbers
+    order = np.argsort(ats)
+    begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)
+    moved = np.repeat(begins[:-1][order] - ends[:-1], sizes[order]) + np.arange(len(links))
+    return counts, groups, ends, links[moved]
+
+
+def composed(found: pa.Table, rows: pa.Table, keep_groups: bool, names: list[str]) -> pa.Table:
+    """A block's documents put together: COUNTS, the digest of groups and held (which of the block's pairs, how often);
+    and a row for each of the block's pairs (k, pair) with the number n of its documents that hold it."""
+    counts, groups, ends, links = unpacked(found)
+    pairs, local = np.unique(links, return_inverse=True)
+    totals, holders = np.zeros((rows.num_rows, len(COUNTS)), np.int64), np.zeros(len(pairs), np.int64)
+    digests, shown, held = [], [], []
+    for row, codes in enumerate(rows.column("codes")):
+        mine = np.frombuffer(zlib.decompress(codes.as_py()), np.int32)
+        text, has = "", b""
+        if len(mine) and (counts[mine, 0] >= 0).all():
+            totals[row] = counts[mine].sum(axis=0)
+            text = ";".join([groups[c] for c in mine.tolist()])
+            own, times = np.unique(mine, return_counts=True)
+            sizes = ends[own + 1] - ends[own]
+            at = np.repeat(ends[own] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            which, back = np.unique(local[at], return_inverse=True)
+            holders[which] += 1
+            often = np.bincount(back, weights=np.repeat(times, sizes)).astype(np.int64)
+            has = zlib.compress(np.stack([which, often]).astype(np.int64).tobytes(), 1)
+        digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+        shown.append(text)
+        held.append(has)
+    n, m = rows.num_rows, len(pairs)
+    none = lambda k: pa.nulls(m, k)
+    both = {"block": pa.array([rows.column("of")[0].as_py() if n else found.column("block")[0].as_py()] * (n + m), pa.int64()), "id": pa.chunked_array([rows.column("id").combine_chunks(), none(rows.schema.field("id").type)])}
+    both |= {c: pa.chunked_array([pa.array(totals[:, k]), none(pa.int64())]) for k, c in enumerate(COUNTS)}
+    both |= {"groups_sha256": pa.array(digests + [None] * m, pa.string()), "held": pa.array(held + [None] * m, pa.binary())}
+    both |= {"groups": pa.array(shown + [None] * m, pa.string())} if keep_groups else {}
+    both |= {c: pa.chunked_array([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for c, x in (("k", np.arange(m)), ("pair", pairs), ("n", holders))}
+    return pa.table({c: both[c] for c in names})
+
+
+def summed(values: pa.Table, rows: pa.Table, names: list[str]) -> pa.Table:
+    """rows of a block's documents with SUMS: values (k, n, best) of the pairs they hold, as often as they hold them."""
+    each = np.zeros((2, values.num_rows), np.int64)
+    for k, c in enumerate(("best", "n")):
+        each[k, values.column("k").to_numpy()] = values.column(c).to_numpy()
+    sums = np.zeros((rows.num_rows, 2), np.int64)
+    for row, has in enumerate(rows.column("held")):
+        if has.as_py():
+            which, often = np.frombuffer(zlib.decompress(has.as_py()), np.int64).reshape(2, -1)
+            sums[row] = each[:, which] @ often
+    found = {c: pa.array(sums[:, k]) for k, c in enumerate(SUMS)}
+    return pa.table({c: found[c] if c in found else rows.column(c) for c in names})
 
 
 def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str | None = None, b_path: str | None = None, keep_groups: bool = False) -> DataFrame:
@@ -192,55 +247,39 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spell other bytes (a U+2581, say), have no tokens: zeros and ''. Repeated rows count and are returned as
     often as they come; an empty table gives an empty one; other columns do not matter, whatever their names.
 
-    A text becomes numbers into its block's dictionary of segments, so only a block's distinct segments meet the
-    alignments, which are computed once for each distinct segment of the corpus; a block's documents are then
-    composed with its dictionary, both bounded by BLOCK and one text. Nothing is broadcast but hot groups."""
+    A text becomes numbers into its block's dictionary of segments. Each distinct segment of the corpus is
+    aligned once, and the alignment goes to the blocks that have it; a block's documents are composed with its
+    dictionary, both bounded by BLOCK and one text. Then each block gets the corpus's counts of its own pairs.
+    Nothing is broadcast but the few pairs' first ids that are hot."""
     import public_tokenizers
 
     a_path, b_path = a_path or public_tokenizers.path(A_FILE), b_path or public_tokenizers.path(B_FILE)
-    keep = Scratch(docs.sparkSession, "alignment")
+    keep = Scratch(docs.sparkSession, "alignment", compression="zstd")
     coded = keep.table(dictionaries(docs, id_col, text_col, a_path, b_path), "coded")
     entries, texts = coded.where("at IS NOT NULL").select("block", "at", "segment"), coded.where("at IS NULL").select(F.col("block").alias("of"), "id", "codes")
-    aligned = keep.table(aligned_segments(entries.select("segment").distinct(), a_path, b_path), "aligned")
+    long = T.LongType()
+    fields = [T.StructField("block", long), T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, long) for c in COUNTS], T.StructField("groups_sha256", T.StringType()), T.StructField("held", T.BinaryType())]
+    fields += [T.StructField("groups", T.StringType())] * keep_groups + [T.StructField(c, long) for c in ("k", "pair", "n")]
+    names = [f.name for f in fields]
 
-    def count(found: pa.Table, rows: pa.Table) -> pa.Table:
-        return block_pairs(found, rows)
+    def compose(found: pa.Table, rows: pa.Table) -> pa.Table:
+        return composed(found, rows, keep_groups, names)
 
-    met = entries.join(aligned.select("segment", "ok", "pairs"), "segment").select("block", "at", "ok", "pairs")
-    counts = met.groupBy("block").cogroup(texts.select("of", "codes").groupBy("of")).applyInArrow(count, "pair long, n long")
-    counts = keep.table(counts.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)), "counts")
+    parts = keep.table(aligned_entries(entries, a_path, b_path).groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(compose, T.StructType(fields)), "composed")
+    keep.close(parts)
+    mine = parts.where("k IS NOT NULL").select("block", "k", "pair", "n")
+    counts = keep.table(mine.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)), "counts")
     tops = keep.table(counts.groupBy("a").agg(F.max("n").alias("top"), F.count("*").alias("size")), "tops")
-    judged = with_hot(counts, ["a"], tops, "size", ["top"]).select("pair", "n", (F.col("n") == F.col("top")).cast("long").alias("best"))
-    linked = aligned.where("ok").select("segment", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("segment", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    judged = keep.table(judged.join(linked.groupBy("pair").agg(F.count("*").alias("size")), "pair"), "judged")
-    valued = with_hot(linked, ["pair"], judged, "size", ["n", "best"]).groupBy("segment").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    valued = keep.table(aligned.drop("pairs", "times").join(valued, "segment", "left"), "valued")
+    judged = keep.table(with_hot(counts, ["a"], tops, "size", ["top"]).select("pair", "n", (F.col("n") == F.col("top")).cast("long").alias("best")), "judged")
+    keep.close(parts, judged)
+    values = mine.select("block", "k", "pair").join(judged, "pair").select("block", "k", "n", "best")
 
-    kind = docs.schema[id_col].dataType
-    fields = [T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in SUMS], T.StructField("groups_sha256", T.StringType())]
-    fields += [T.StructField("groups", T.StringType())] * keep_groups
+    shown = ["id", *COUNTS, *SUMS, "groups_sha256", *["groups"] * keep_groups]
+    kinds = {f.name: f.dataType for f in fields}
+    schema = T.StructType([T.StructField(c, kinds.get(c, long)) for c in shown])
 
-    def compose(found: pa.Table, rows: pa.Table) -> pa.Table:
-        n = found.num_rows
-        order = pa.array(np.argsort(column_of(found, "at").to_numpy(zero_copy_only=False))) if n else None
-        sorted_ = {c: column_of(found, c).take(order) for c in ("ok", "groups", *SUMS)} if n else {}
-        ok = np.asarray(sorted_["ok"]) if n else np.zeros(0, bool)
-        sums = np.stack([np.asarray(sorted_[c].fill_null(0)) for c in SUMS], axis=1) if n else np.zeros((0, len(SUMS)), np.int64)
-        shown = sorted_["groups"].to_pylist() if n else []
-        totals, digests, kept = np.zeros((rows.num_rows, len(SUMS)), np.int64), [], []
-        for at, codes in enumerate(column_of(rows, "codes")):
-            mine = np.frombuffer(codes.as_py(), np.int32)
-            text = ""
-            if len(mine) and ok[mine].all():
-                totals[at] = sums[mine].sum(axis=0)
-                text = ";".join([shown[c] for c in mine.tolist()])
-            digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-            if keep_groups:
-                kept.append(text)
-        columns = [column_of(rows, "id"), *[pa.array(totals[:, k]) for k in range(len(SUMS))], pa.array(digests, pa.string())]
-        return pa.Table.from_arrays([*columns, *[pa.array(kept, pa.string())] * keep_groups], names=[f.name for f in fields])
-
-    met = entries.join(valued, "segment").select("block", "at", "ok", "groups", *SUMS)
-    done = met.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(compose, T.StructType(fields))
-    keep.close(coded, valued)
-    return done.withColumnRenamed("id", id_col)
+    def finish(found: pa.Table, rows: pa.Table) -> pa.Table:
+        return summed(found, rows, shown)
+
+    rows = parts.where("k IS NULL").select(F.col("block").alias("of"), "id", *COUNTS, "groups_sha256", "held", *["groups"] * keep_groups)
+    return values.groupBy("block").cogroup(rows.groupBy("of")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)
