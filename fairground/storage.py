@@ -63,13 +63,16 @@ class Scratch:
         self.paths[path] = found
         return found
 
-    def close(self, *read: DataFrame) -> None:
+    def drop(self, *gone: DataFrame | None) -> None:
         for name, df in list(self.paths.items()):
-            if not any(df is r for r in read):
+            if any(df is g for g in gone):
                 files, path = _path(self.spark, name)
                 files.delete(path, True)
                 del self.paths[name]
 
+    def close(self, *read: DataFrame) -> None:
+        self.drop(*[df for df in self.paths.values() if not any(df is r for r in read)])
+
 
 def write_bytes(spark: SparkSession, name: str, data: bytes, replace: bool = True) -> None:
     """Write a file through the file system that Spark knows by its name. What is there is replaced, or an error."""
