@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..shipping import by_value
-from .common import bounded_batches, free_name, materialize
+from .common import Scratch, bounded_batches, free_name
 
 SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
 #: A segment's ball: its value with up to FLIPS of its UNSURE least certain bits turned over.
@@ -153,15 +153,15 @@ def balls(classes: DataFrame, *more: str) -> DataFrame:
     return turned.select("copy", *more, bucket(F.col("segment"), F.col("key").bitwiseXOR(F.col("turned"))).alias("bucket"), (F.col("turned") == 0).alias("owns"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes of that Jaccard similarity or more over their whole shingle sets.
-
-    The complete fingerprints are compared first; they leave few pairs but true ones, and only for these the
-    texts are read again."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+def likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of classes whose sizes and complete fingerprints allow that similarity."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = (classes.select(F.col("copy").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}")) for c in "ab")
-    near = materialize(pairs.join(left, "a").join(right, "b").where(close("a", "b", similarity)).select("a", "b"), "close")
-    asked = near.select(F.col("a").alias("copy")).union(near.select("b")).distinct()
+    return pairs.join(left, "a").join(right, "b").where(close("a", "b", similarity)).select("a", "b")
+
+
+def sets_of(asked: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """copy and hashes, the whole shingle set, of each class asked for (copy): its texts are read again."""
     texts = rows.select("row", "text").join(classes.join(asked, "copy", "left_semi").select("copy", F.col("best.row").alias("row")), "row").select("copy", "row", "text").dropDuplicates(["copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +169,20 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, similarity:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sets(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["copy", "hashes"])
 
-    found = materialize(texts.select("copy", "text").mapInArrow(run, "copy binary, hashes array<bigint>"), "sets")
-    both = near.join(found.toDF("a", "left"), "a").join(found.toDF("b", "right"), "b")
+    return texts.select("copy", "text").mapInArrow(run, "copy binary, hashes array<bigint>")
+
+
+def verified(near: DataFrame, classes: DataFrame, rows: DataFrame, similarity: float, keep: Scratch, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of near of that Jaccard similarity or more over their whole shingle sets (read again, unless given), stored."""
+    near = keep.table(near, "close")
+    made = None
+    if sets is None:
+        made = sets = keep.table(sets_of(near.select(F.col("a").alias("copy")).union(near.select("b")).distinct(), classes, rows), "sets")
+    both = near.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     shared = F.size(F.array_intersect("left", "right"))
-    return both.where(shared / (F.size("left") + F.size("right") - shared) >= similarity).select("a", "b")
+    found = keep.table(both.where(shared / (F.size("left") + F.size("right") - shared) >= similarity).select("a", "b"), "near")
+    keep.drop(near, made)
+    return found
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -186,47 +196,62 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Candidates: a segment's value is looked up under every value of its ball (multi-index hashing). A pair of
     similarity 0.8 is missed with chance MISSED, and with less above it. Each class is compared with the first
     of its own buckets, then with that of others in whose balls it is, unless one group holds both already, so
-    a group costs as many pairs as it has members. Only classes that are then in another
-    group than that first one are compared with the others of their bucket, and of these only such pairs go on
-    whose complete fingerprints are close. Each candidate is verified over the whole shingle sets.
-    `similarity` below 0.8 would need more segments than layout() gives."""
+    a group costs as many pairs as it has members. Only classes that are then in another group than that first
+    one are compared with the others of their bucket, once a pair, and of these only such pairs go on whose
+    complete fingerprints are close and whose shared shingles can be enough: what no other such class has does
+    not count. Each candidate is verified over the whole shingle sets. A `similarity` below SIMILARITY would
+    need more segments than layout() gives and raises ValueError."""
+    if not SIMILARITY <= similarity <= 1:
+        raise ValueError(f"a similarity from {SIMILARITY} to 1 is expected")
+    keep = Scratch(docs.sparkSession, "near")
     rows, row = with_row(docs)
     named = rows.select(F.col(row).alias("row"), "doc_id", "text")
     width, segments = layout(docs.count())
-    marked = materialize(sketches(named, width, segments), "sketches")
+    marked = keep.table(sketches(named, width, segments), "sketches")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
-    classes = materialize(marked.groupBy("copy").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys", "flips")], best), "classes")
+    classes = keep.table(marked.groupBy("copy").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys", "flips")], best), "classes")
+    keep.drop(marked)
 
     own = classes.select("copy", F.posexplode("keys").alias("segment", "key")).select("copy", bucket(F.col("segment"), F.col("key")).alias("bucket"))
-    heads = materialize(own.groupBy("bucket").agg(F.min("copy").alias("head")), "heads")
+    heads = keep.table(own.groupBy("bucket").agg(F.min("copy").alias("head")), "heads")
     pair = [F.col("head").alias("a"), F.col("copy").alias("b")]
-    near = materialize(verified(own.join(heads, "bucket").where(F.col("copy") != F.col("head")).select(*pair), classes, named, similarity), "near")
+    near = verified(likely(own.join(heads, "bucket").where(F.col("copy") != F.col("head")).select(*pair), classes, similarity), classes, named, similarity, keep)
     begun = classes.join(components(near), F.col("copy") == F.col("node"), "left").select("copy", "keys", "flips", F.coalesce("root", "copy").alias("root"))
-    begun = materialize(begun, "begun")
+    begun = keep.table(begun, "begun")
     first = heads.join(begun.select(F.col("copy").alias("head"), F.col("root").alias("first")), "head")
     star = balls(begun, "root").join(first.hint("merge"), "bucket").where(F.col("root") != F.col("first")).select(*pair)
-    near = materialize(near.unionByName(verified(star, classes, named, similarity)), "near")
+    near = keep.table(near.unionByName(verified(likely(star, classes, similarity), classes, named, similarity, keep)), "near")
     roots = components(near)
+    keep.drop(begun, heads)
 
     named_roots = F.coalesce("root", "copy").alias("root")
-    placed = materialize(classes.join(roots, F.col("copy") == F.col("node"), "left").select("copy", "n", "fp", "keys", "flips", named_roots), "placed")
+    placed = keep.table(classes.join(roots, F.col("copy") == F.col("node"), "left").select("copy", "n", "fp", "keys", "flips", named_roots), "placed")
     # Of a bucket whose owners are one group, only its owners and those of other groups are still of interest.
     owned = own.join(placed.select("copy", "root"), "copy").groupBy("bucket")
     shared = owned.agg(F.min_by("root", "copy").alias("first"), (F.min("root") < F.max("root")).alias("mixed"), F.count("*").alias("owners")).where("owners > 1").drop("owners")
-    entries = balls(placed, "root").join(materialize(shared, "shared").hint("merge"), "bucket").where(F.col("mixed") | F.col("owns") | (F.col("root") != F.col("first")))
-    members = entries.select("bucket", "copy", "owns", "root", (F.col("root") != F.col("first")).alias("apart")).join(placed.select("copy", "n", "fp"), "copy")
-    members = materialize(members, "members")
-    side = lambda of, c: of.select("bucket", *[F.col(k).alias(f"{k}_{c}") for k in ("copy", "owns", "root", "apart", "n", "fp")])
-    likely = (F.col("root_a") != F.col("root_b")) & close("a", "b", similarity)
+    shared = keep.table(shared, "shared")
+    entries = balls(placed, "root").join(shared.hint("merge"), "bucket").where(F.col("mixed") | F.col("owns") | (F.col("root") != F.col("first")))
+    members = keep.table(entries.select("bucket", "copy", "owns", "root", (F.col("root") != F.col("first")).alias("apart")), "members")
+    open_ = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    members = keep.table(members.join(open_, "bucket"), "open")
+    sets = keep.table(sets_of(members.select("copy").distinct(), classes, named), "sets")
+    alone = sets.select("copy", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("sets"), F.first("copy").alias("copy")).where("sets = 1").groupBy("copy").agg(F.count("*").alias("alone"))
+    # At least this share of a class's shingles must be some other's too, or it has no link.
+    common = placed.select("copy", "n", "fp").join(alone, "copy", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(F.col("common") >= similarity * F.col("n") * (1 - 1e-9))
+    members = keep.table(members.join(common, "copy"), "members")
+    side = lambda of, c: of.select("bucket", *[F.col(k).alias(f"{k}_{c}") for k in ("copy", "owns", "root", "apart", "n", "fp", "common")])
+    enough = F.least("common_a", "common_b") * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) * (1 - 1e-9)
+    fits = (F.col("root_a") != F.col("root_b")) & enough & close("a", "b", similarity)
     owners = members.where("owns")
     once = ~F.col("owns_b") | ~F.col("apart_b") | (F.col("copy_a") < F.col("copy_b"))
-    more = side(owners.where("apart"), "a").join(side(members, "b"), "bucket").where(once & likely)
-    more = more.unionByName(side(owners.where(~F.col("apart")), "a").join(side(members.where(~F.col("owns") & F.col("apart")), "b"), "bucket").where(likely))
-    more = more.select(F.col("copy_a").alias("a"), F.col("copy_b").alias("b"))
-    more = verified(more, classes, named, similarity)
+    more = side(owners.where("apart"), "a").join(side(members, "b"), "bucket").where(once & fits)
+    more = more.unionByName(side(owners.where(~F.col("apart")), "a").join(side(members.where(~F.col("owns") & F.col("apart")), "b"), "bucket").where(fits))
+    more = more.select(F.least("copy_a", "copy_b").alias("a"), F.greatest("copy_a", "copy_b").alias("b")).distinct()
+    more = verified(more, classes, named, similarity, keep, sets)
     for c in "ab":
         more = more.join(placed.select(F.col("copy").alias(c), F.col("root").alias(f"root_{c}")), c)
     roots = components(more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
     last = placed.join(roots.toDF("root", "last"), "root", "left").select("copy", F.coalesce("last", "root").alias("root"))
-    grouped = classes.join(last, "copy").groupBy("root").agg(F.min("best").alias("best"))
+    grouped = keep.table(classes.select("copy", "best").join(last, "copy").groupBy("root").agg(F.min("best").alias("best")), "grouped")
+    keep.close(grouped)
     return rows.join(grouped.select(F.col("best.row").alias(row)), row, "left_semi").dropDuplicates([row]).drop(row)

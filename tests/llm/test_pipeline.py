@@ -119,4 +119,4 @@ def test_a_bucket_of_several_groups_loses_no_pair(spark):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLE) <= set(QUERIES) and cp.ORACLE_SQL is None
+    assert numbers == list(range(1, 14)) and set(ORACLE) <= set(QUERIES) and cp.ORACLE_SQL is None
