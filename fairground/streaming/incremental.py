@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.feedback import capped, greedy_limit
 from ..operators.reconcile import apply, insert_absent, plan
-from ..storage import Snapshots
+from ..storage import Snapshots, drop_materialized, materialize
 
 
 def reconcile_stream(batches: DataFrame, state: Snapshots, checkpoint: str, now: Callable[[int], str], available_now: bool = True) -> StreamingQuery:
@@ -20,6 +21,7 @@ def reconcile_stream(batches: DataFrame, state: Snapshots, checkpoint: str, now:
     unchanged, so replays write the same table."""
 
     def merge(batch: DataFrame, number: int) -> None:
+        batch = materialize(batch, "batch")  # read once, used several times
         touched = state.touched(batch)
         stored = state.read(touched)
         empty = batch.limit(0)
@@ -30,6 +32,7 @@ def reconcile_stream(batches: DataFrame, state: Snapshots, checkpoint: str, now:
         others = stored.join(F.broadcast(here), "source_slug", "left_anti")
         after = apply(batch, mine, plan(batch, mine), now(number))
         state.replace(after.unionByName(others), touched)
+        drop_materialized(batch)
 
     writer = batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -56,12 +59,48 @@ def claims_stream(asked: DataFrame, ledger: Snapshots, checkpoint: str, key: lis
     ledger is bucketed by key: a batch reads the buckets of its keys, and what it wins is appended."""
 
     def claim(batch: DataFrame, _: int) -> None:
+        batch = materialize(batch, "batch")
         held = ledger.read(ledger.touched(batch))
         ledger.append(batch.dropDuplicates(key) if held is None else insert_absent(held, batch, key))
+        drop_materialized(batch)
 
     return asked.writeStream.foreachBatch(claim).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def limit_stream(sent: DataFrame, ledger: Snapshots, checkpoint: str, key: str, moment: str, tie: str, most: int, seconds: int = 3600) -> StreamingQuery:
+    """A ledger of all rows sent, with `accepted` as greedy_limit() decides over all batches.
+
+    Batches come in the order of their moments; of earlier ones only accepted rows of the last span matter. tie
+    names a row: one that is in the ledger already was decided, so a batch that is delivered again adds nothing."""
+
+    def decide(batch: DataFrame, _: int) -> None:
+        batch = materialize(batch.dropDuplicates([tie]), "batch")
+        held = ledger.read(ledger.touched(batch))
+        if held is None:
+            held = batch.limit(0).withColumn("accepted", F.lit(True))
+        new = batch.join(held.select(tie), tie, "left_anti").select(*batch.columns)
+        since = batch.agg(F.min(moment).alias("low")).withColumn("low", F.col("low") - F.make_dt_interval(secs=F.lit(seconds)))
+        stored = held.where("accepted").join(F.broadcast(since)).where(F.col(moment) > F.col("low")).select(key, moment)  # one row is broadcast
+        ledger.append(greedy_limit(new, key, moment, tie, most, seconds, stored))
+        drop_materialized(batch)
+
+    return sent.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def cap_stream(asked: DataFrame, state: Snapshots, checkpoint: str, owner: str, item: str, moment: str, most: int) -> StreamingQuery:
+    """A table of what owners have, at most `most` items each: capped() batch by batch; replays change nothing.
+
+    state is bucketed by owner: a batch reads its owners' buckets and appends what is new."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch = materialize(batch, "batch")
+        held = state.read(state.touched(batch))
+        state.append(capped(batch.limit(0) if held is None else held, batch, owner, item, moment, most))
+        drop_materialized(batch)
+
+    return asked.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def drain(stream: DataFrame, mode: str, spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over what is there and read what it wrote."""
     if mode == "append":

@@ -5,11 +5,10 @@ from __future__ import annotations
 import json
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fairground.operators import clusters, filters, pairs, reconcile
+from fairground.operators import filters, pairs, reconcile
 from fairground.operators.graph import components
 from fairground.plans.runs import deduplicate, ingest
 from fairground.sources.adapters import ADAPTERS, drupal_detail, govstack_detail, raw_events
@@ -59,14 +58,6 @@ def test_pairs_gate_and_score(spark):
     assert all(a < b and 0 <= r["score"] <= 1 for (a, b), r in scored.items())
 
 
-def test_guarded_fold_never_bridges_towns():
-    edges = pd.DataFrame([("a", "u", 0.95, False, "tay", None), ("b", "u", 0.9, False, "tiny", None), ("a", "b", 0.86, False, "tay", "tiny")], columns=["a", "b", "score", "same_place", "municipality_a", "municipality_b"])
-    out = clusters.fold(edges).set_index("id")["root"]
-    assert out["a"] == out["u"] != out["b"]
-    edges.loc[2, "same_place"] = True
-    assert clusters.fold(edges)["root"].nunique() == 1
-
-
 def test_runs_are_a_fixed_point(spark):
     rows = [listing(1, description="long", ends_at="2026-07-02 01:00:00"), listing(2, cost="free", venue_name="Hall", status="cancelled"), listing(3, municipality_slug="tiny"), listing(4, title="Pottery Class")]
     priorities = spark.createDataFrame([("s1", 10), ("s2", 50)], "source_slug string, priority int")
