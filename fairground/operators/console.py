@@ -11,6 +11,7 @@ from ..functions import hashes
 from ..functions.text import keep_lines
 from ..registry import MUNICIPALITIES
 from .filters import UNPLACED
+from .ranks import ranks_within
 from .reconcile import upsert
 
 # Events that a search shows, rows of an inbox, of them handled ones; the source and ids of rows by hand.
@@ -86,12 +87,12 @@ def cluster_listings(events: DataFrame, listings: DataFrame) -> DataFrame:
 
 def manual_listings(listings: DataFrame, events: DataFrame, today: str) -> DataFrame:
     """Listings by hand with their event's short code and how many listings it has; part and nth: those to come by
-    start, the others by start backwards. An editor's list; each part is sorted in one task."""
+    start, the others by start backwards. Ranks are global ones, so no task sorts a part."""
     own = listings.where(F.col("source_slug") == MANUAL)
     about = events.select(F.col("id").alias("cluster_id"), F.col("short_code").alias("event_code"), F.col("listing_count").alias("event_listings"))
     rows = own.join(about, "cluster_id", "left").withColumn("part", F.when(F.col("local_date") >= today, "upcoming").otherwise("past"))
-    start = F.unix_micros("starts_at") * F.when(F.col("part") == "upcoming", 1).otherwise(-1)
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(start, "id")))
+    rows = rows.withColumn("_start", F.unix_micros("starts_at") * F.when(F.col("part") == "upcoming", 1).otherwise(-1))
+    return ranks_within(rows, "part", ["_start", "id"], "nth").withColumn("nth", (F.col("nth") + 1).cast("int")).drop("_start")
 
 
 def manual_choices(listings: DataFrame, choices: DataFrame, description: Column | None = None) -> DataFrame:

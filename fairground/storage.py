@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,12 +92,21 @@ class Snapshots:
     unfinished does not count, and of two writers of one number the later fails. A version stays readable until
     KEPT newer ones exist; then its pointer goes, and the files that no pointer names any more.
 
+    Appended parts of a bucket have levels: FANOUT parts of one level become one part of the next, so a row is
+    written again once a level, and a pointer names fewer than FANOUT parts for each level of a bucket: a number
+    that grows with the logarithm of the batches. Data is always written before the pointer that names it, so a
+    crash at any step leaves the version before; what it wrote is swept once it is older than GRACE seconds.
+
+    Two writers of one number: the create call of the pointer decides where the file system makes it exclusive
+    (HDFS, local disks). Object stores do not: there, let one writer at a time change a table.
+
     by: columns whose hash picks a row's bucket (none: the table is one bucket)."""
 
-    BUCKETS, KEPT, END = 64, 2, "\n"
+    BUCKETS, KEPT, END, FANOUT, GRACE = 64, 2, "\n", 8, 86_400
 
     def __init__(self, spark: SparkSession, folder: str, by: list[str] | None = None, buckets: int = BUCKETS) -> None:
         self.spark, self.folder, self.by, self.buckets = spark, folder.rstrip("/"), by or [], buckets if by else 1
+        self.wrote: set[str] = set()  # folders of the change that is being made
 
     def _pointers(self) -> list[str]:
         """Names of all pointers, the newest first."""
@@ -105,7 +115,10 @@ class Snapshots:
         return sorted((n for n in names if n.startswith("version-")), reverse=True)
 
     def _version(self, name: str) -> dict | None:
-        text = "".join(r[0] for r in self.spark.read.text(f"{self.folder}/{name}", wholetext=True).collect())
+        files, path = _path(self.spark, f"{self.folder}/{name}")
+        stream = files.open(path)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
         return json.loads(text) if text.endswith(self.END) else None
 
     def _current(self) -> dict | None:
@@ -129,8 +142,7 @@ class Snapshots:
         if version is None:
             return None
         schema = T.StructType.fromJson(version["schema"])
-        wanted = [p for b, paths in version["files"].items() if buckets is None or int(b) in buckets for p in paths]
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{p}" for p in wanted]) if wanted else self.spark.createDataFrame([], schema)
+        return self._parts(schema, [p for b, parts in version["files"].items() if buckets is None or int(b) in buckets for p, _ in parts])
 
     def write(self, table: DataFrame) -> DataFrame:
         """Make table the current version."""
@@ -146,29 +158,57 @@ class Snapshots:
         version = self._current()
         return self._put(table, version["files"] if version else {})
 
-    def _put(self, table: DataFrame, others: dict[str, list[str]]) -> DataFrame:
-        pointers, data = self._pointers(), f"data-{uuid.uuid4().hex}"
-        number = 1 + (int(pointers[0].rpartition("-")[2]) if pointers else 0)
-        column = "bucket"
+    def _parts(self, schema: T.StructType, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], schema)
+
+    def _written(self, table: DataFrame) -> dict[str, str]:
+        """Write a table's rows by bucket; the path of each bucket that has some."""
+        data, column = f"data-{uuid.uuid4().hex}", "bucket"
+        self.wrote.add(data)
         while column in table.columns:
             column = f"_{column}"
         table.withColumn(column, self._bucket()).write.partitionBy(column).parquet(f"{self.folder}/{data}")
         files, folder = _path(self.spark, f"{self.folder}/{data}")
-        made = [f.getPath().getName() for f in files.listStatus(folder)]
-        paths = {b: list(p) for b, p in others.items()}
-        for name in (n for n in made if n.startswith(f"{column}=")):
-            paths.setdefault(name.rpartition("=")[2], []).append(f"{data}/{name}")
-        version = {"number": number, "schema": table.schema.jsonValue(), "files": paths}
+        names = [f.getPath().getName() for f in files.listStatus(folder)]
+        return {n.rpartition("=")[2]: f"{data}/{n}" for n in names if n.startswith(f"{column}=")}
+
+    def _levelled(self, schema: T.StructType, parts: dict[str, list]) -> dict[str, list]:
+        """parts (bucket: [path, level]) after FANOUT of a level have become one of the next, level by level."""
+        level = 0
+        while level <= max((at for of in parts.values() for _, at in of), default=-1):
+            full = {b: [p for p, at in of if at == level] for b, of in parts.items()}
+            full = {b: paths for b, paths in full.items() if len(paths) >= self.FANOUT}
+            if full:
+                merged = self._written(self._parts(schema, [p for paths in full.values() for p in paths]))
+                parts = {b: [[p, at] for p, at in of if b not in full or at != level] + ([[merged[b], level + 1]] if b in full and b in merged else []) for b, of in parts.items()}
+            level += 1
+        return parts
+
+    def _put(self, table: DataFrame, others: dict[str, list]) -> DataFrame:
+        pointers = self._pointers()
+        number = 1 + (int(pointers[0].rpartition("-")[2]) if pointers else 0)
+        parts, self.wrote = {b: [list(p) for p in of] for b, of in others.items()}, set()
+        for b, path in self._written(table).items():
+            parts.setdefault(b, []).append([path, 0])
+        parts = self._levelled(table.schema, parts)
+        version = {"number": number, "schema": table.schema.jsonValue(), "files": parts}
         write_bytes(self.spark, f"{self.folder}/version-{number:012d}", (json.dumps(version) + self.END).encode(), replace=False)
         self._forget([n for n in pointers if self._version(n) is not None][self.KEPT :])
         return self.read()
 
     def _forget(self, old: list[str]) -> None:
-        """Delete these pointers, and the files that only they name."""
-        files, _ = _path(self.spark, self.folder)
-        gone = {p for n in old for paths in self._version(n)["files"].values() for p in paths}
+        """Delete these pointers, then the data that no pointer names: at once what only they named, else after GRACE."""
+        files, folder = _path(self.spark, self.folder)
+        named = lambda names: {p for n in names for of in (self._version(n) or {"files": {}})["files"].values() for p, _ in of}
+        gone = named(old)
         for name in old:
             files.delete(_path(self.spark, f"{self.folder}/{name}")[1], False)
-        held = {p for n in self._pointers() for paths in (self._version(n) or {"files": {}})["files"].values() for p in paths}
+        held = named(self._pointers())
         for p in gone - held:
             files.delete(_path(self.spark, f"{self.folder}/{p}")[1], True)
+        used = {p.partition("/")[0] for p in held}
+        emptied, before = {p.partition("/")[0] for p in gone} | self.wrote, time.time() - self.GRACE
+        for status in files.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("data-") and name not in used and (name in emptied or status.getModificationTime() / 1000 < before):
+                files.delete(status.getPath(), True)
