@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import by_value
-from .common import bounded_batches, free_name, materialize, shared_dir, write_bytes
+from .common import bounded_batches, free_name, materialize, positional, shared_dir, write_bytes
 
 VOCABULARY = "word_bpe_49k.json"
 #: Frequent words compiled, the longest that is compiled or remembered, and chunks that a worker remembers.
@@ -190,12 +191,13 @@ class Lexicon:
         return self.ids[self.places[rank] : self.places[rank + 1]].tolist() if self.final[state] else None
 
 
-def remembered(key: str, make: Callable[[], object]) -> object:
-    """What make() gives, kept for later tasks of the same Python worker."""
+def remembered(key: str, make: Callable[[], object], version: str = "") -> object:
+    """What make() gives, kept for later tasks of the same Python worker: one version of a key, the last asked for."""
     kept = sys.modules.setdefault("_fairground_worker", types.ModuleType("_fairground_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if key not in kept or kept[key][0] != version:
+        kept.pop(key, None)
+        kept[key] = (version, make())
+    return kept[key][1]
 
 
 class Coder:
@@ -255,10 +257,10 @@ def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text
         coder = remembered(f"counts {path}", lambda: Coder(lambda chunk: sum(len(bpe.merge(w)) for w in bpe.words(chunk))))
         for batch in batches:
             counts = [sum(coder(bpe.chunks(text.as_py()))) for text in batch.column(len(kept))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(counts, pa.int64())], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(counts, pa.int64())], names=schema.names)
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{name}` long"])
-    return docs.select(*kept, text_col).mapInArrow(count, schema)
+    schema = T.StructType([T.StructField(f"c{i}", kind) for i, kind in enumerate([*(docs.schema[c].dataType for c in kept), T.LongType()])])
+    return positional(docs, [*kept, text_col]).mapInArrow(count, schema).toDF(*kept, name)
 
 
 def vocabulary_path() -> str:
@@ -285,7 +287,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
             kept = [w for w in words if len(w.encode("utf-8")) <= LONGEST]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([words[w] for w in kept], pa.int64())], names=["word", "n"])
 
-    return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return positional(docs, [text_col]).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 #: n with only its eight leading bits: at most 128 values for each power of two.
@@ -341,7 +343,7 @@ def with_codes(docs: DataFrame, lexicon: str, path: str, keep_ids: bool = False,
 
             return Coder(of)
 
-        coder = remembered(f"coder {lexicon}", make)
+        coder = remembered("coder", make, lexicon)
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
             for text in batch.column(len(kept)):
@@ -351,11 +353,11 @@ def with_codes(docs: DataFrame, lexicon: str, path: str, keep_ids: bool = False,
                 for column, value in zip(columns, (*row, [int(i) for i in ids.split()] if keep_ids else None, decoded if keep_ids else None), strict=True):
                     column.append(value)
             arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *arrays[: 5 if keep_ids else 3]], names=[*kept, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *arrays[: 5 if keep_ids else 3]], names=schema.names)
 
-    types_ = [f"`{c}` {kind}" for c, kind in zip(names, ("long", "string", "string", "array<int>", "string"), strict=False)]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *types_])
-    return docs.select(*kept, text_col).mapInArrow(code, schema)
+    made = [T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.IntegerType()), T.StringType()][: len(names)]
+    schema = T.StructType([T.StructField(f"c{i}", kind) for i, kind in enumerate([*(docs.schema[c].dataType for c in kept), *made])])
+    return positional(docs, [*kept, text_col]).mapInArrow(code, schema).toDF(*kept, *names)
 
 
 NAMES = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]

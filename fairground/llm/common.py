@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.spread import HOT, with_hot
 from ..storage import Scratch, drop_materialized, materialize, shared_dir, table_path, write_bytes
 
-__all__ = ["Scratch", "bounded_batches", "drop_materialized", "free_name", "materialize", "partitions", "ranked", "read", "shared_dir", "table_path", "whole", "with_hot", "write_bytes"]
+__all__ = ["HOT", "Scratch", "bounded_batches", "drop_materialized", "free_name", "materialize", "partitions", "positional", "ranked", "read", "shared_dir", "table_path", "whole", "with_hot", "write_bytes"]
 
 #: Bytes of an Arrow batch sent to a Python worker, so that long texts do not add up: a task holds some of these,
 #: outside the heap and as Python objects.
 ARROW_BATCH_BYTES = 8 << 20
-#: The share of all rows from which a group counts as hot is one in so many.
-HOT = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,20 +46,9 @@ def whole(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def with_hot(rows: DataFrame, keys: list[str], groups: DataFrame, size: str, values: list[str]) -> DataFrame:
-    """rows and the values of their group (null where groups has none), though one group holds any share of the rows.
-
-    groups: a stored table, one row for each of keys, with the number of its rows in `size`. A group that holds
-    more than a HOT-th of all these rows is hot; there are fewer than HOT of them, so they are broadcast. Their
-    rows need no join any more and are dealt by number instead of by key; all others meet their group by key."""
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    hot = groups.where(F.col(size) * HOT > total).select(*[F.col(k).alias(f"hot_{k}") for k in keys], F.struct(*values).alias("hot"))
-    cold = groups.where(F.col(size) * HOT <= total).select(*[F.col(k).alias(f"cold_{k}") for k in keys], F.least(F.lit(-1).cast("long"), F.col(size)).alias("cold_at"), F.struct(*values).alias("cold"))
-    # A group's cold_at is -1 as no size is less; a literal there would be taken out of the join's keys.
-    same = lambda kind: [F.col(k) == F.col(f"{kind}_{k}") for k in keys]
-    met = rows.join(F.broadcast(hot), same("hot"), "left").withColumn("at", F.when(reduce(and_, [F.col(k).isNotNull() for k in keys], F.col("hot").isNull()), -1).otherwise(F.monotonically_increasing_id()))
-    found = met.join(cold, [F.col("at") == F.col("cold_at"), *same("cold")], "left")
-    return found.select(*rows.columns, *[F.coalesce("hot", "cold")[v].alias(v) for v in values])
+def positional(df: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns as c0, c1, ...: functions over Arrow batches take no names with dots. toDF() gives the names back."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
 
 
 def free_name(df: DataFrame, name: str) -> str:

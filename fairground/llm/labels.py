@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import by_value
-from .common import bounded_batches, free_name, materialize
+from .common import bounded_batches, free_name, materialize, positional
 
 #: Rows whose remainder is this are held out: no classifier learns from them.
 HELD_OUT, FOLDS = 2, 4
@@ -61,6 +61,7 @@ def with_score(docs: DataFrame, score: Callable[[list[str | None]], np.ndarray],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array(np.asarray(score(batch.column(at).to_pylist()), dtype=np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=schema.names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    schema = T.StructType([T.StructField(f"c{i}", kind) for i, kind in enumerate([*(f.dataType for f in docs.schema.fields), T.DoubleType()])])
+    return positional(docs, docs.columns).mapInArrow(run, schema).toDF(*docs.columns, out)

@@ -12,9 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import by_value
-from .common import bounded_batches, free_name, materialize, with_hot
+from .common import bounded_batches, free_name, materialize, positional, with_hot
 
 #: Samples of an image row; payloads are padded to a multiple of it with PAD, which UTF-8 never has.
 WIDTH, PAD, SIGNATURE, LEVEL = 576, b"\xff", b"\x89PNG\r\n\x1a\n", 6
@@ -268,10 +269,10 @@ def sequences(pages: DataFrame, html_col: str = "html", outline: bool = False) -
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([items(h.as_py()) for h in batch.column(len(kept))], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], found], names=[*kept, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], found], names=schema.names)
 
-    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), f"`{name}` {SEQUENCE}"])
-    return pages.select(*kept, html_col).mapInArrow(parse, schema)
+    schema = T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate([*(pages.schema[c].dataType for c in kept), T.DataType.fromDDL(SEQUENCE)])])
+    return positional(pages, [*kept, html_col]).mapInArrow(parse, schema).toDF(*kept, name)
 
 
 def resolve(pages: DataFrame, media: DataFrame, id_col: str, columns: list[str]) -> DataFrame:

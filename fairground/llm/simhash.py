@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..shipping import by_value
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, with_hot
 
 SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 3, 2
 #: Row b: the eight bits of the byte b, lowest first.
@@ -89,9 +89,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprint 0 and are linked like any other. Null ids are never the smallest unless all are null.
     Repeated rows are returned as often as they come; other columns of docs do not matter."""
     marked = materialize(with_fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    classes = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("low")), "classes")
+    classes = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("size")), "classes")
     roots = components(links(classes.select("fp"), distance, segments))
-    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", "size")
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = placed.join(lowest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(placed.join(lowest, "root").select("fp", "component_id", "size"), "named")
+    return with_hot(marked, ["fp"], named, "size", ["component_id"]).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

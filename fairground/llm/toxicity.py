@@ -165,10 +165,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
     """Learn label 1 from at most `most` labelled rows, half of each label, none of them held out.
 
     Executors turn whole texts into distinct feature numbers and store them. The driver gets those of the
-    rows taken and fits the weights: rows of each label in the order of a hash, as long as all of that label
-    have most_grams / 2 numbers or fewer, so its memory is bounded by bytes too. A row that would go beyond
-    is left out of the sample whole; one with more than that alone never counts. Without labelled rows every
-    score is 0.5."""
+    rows taken and fits the weights, so its memory is bounded by bytes too: a row with more than most_grams / 2
+    numbers is never taken; of the others of a label, in the order of a hash, those are taken that together have
+    most_grams / 2 numbers or fewer, and the first that would go beyond ends the sample of its label. Without
+    labelled rows every score is 0.5."""
     bounded_batches(docs.sparkSession)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(sizes, pa.int64()), *batch.columns[1:]], names=["grams", "size", "y", "weight", "order"])
 
     rows = training_rows(docs, labels, label, most, balanced=True).select("text", "y", "weight", F.xxhash64("id").alias("order"))
-    rows = materialize(rows.mapInArrow(number, "grams binary, size long, y int, weight double, order long"), "grams")
+    rows = materialize(rows.mapInArrow(number, "grams binary, size long, y int, weight double, order long"), "grams").where(F.col("size") <= most_grams // 2)
     taken = F.sum("size").over(Window.partitionBy("y").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     sizes = rows.select("y", "order", "size").withColumn("sum", taken).where(F.col("sum") <= most_grams // 2)  # `most` narrow rows
     last = {r["y"]: (r["order"], r["n"]) for r in sizes.groupBy("y").agg(F.max("order").alias("order"), F.count("*").alias("n")).collect()}
