@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import keep_lines
 from ..registry import MUNICIPALITIES
 from ..schemas import CATEGORIES, COSTS, STATUSES
+from .feedback import greedy_limit
 
 # The most characters of a field, and the field that only a robot fills.
 LIMITS = {"name": 100, "email": 254, "title": 200, "url": 2000, "description": 5000, "comments": 5000}
@@ -58,10 +58,10 @@ def event_errors(forms: DataFrame) -> DataFrame:
     return forms.select("id", F.array_sort(F.filter(F.array(*[F.when(c, n) for n, c in checks.items()]), lambda n: n.isNotNull())).alias("errors"))
 
 
-def accept_suggestions(checked: DataFrame, recent: DataFrame, most: int = 5) -> DataFrame:
-    """Checked suggestions that are stored: ok, and their sender sent fewer than `most` in the hour. recent: id, sent."""
-    return checked.where("verdict = 'ok'").join(recent, "id", "left").where(F.coalesce("sent", F.lit(0)) < most).drop("sent")
+def accept_suggestions(checked: DataFrame, came: DataFrame, most: int = 5, seconds: int = 3600, stored: DataFrame | None = None) -> DataFrame:
+    """Checked suggestions that are stored: ok, and fewer than `most` of their sender's were stored in the span before.
 
-
-def tidy_description(name: str) -> Column:
-    return keep_lines(F.col(name))
+    came: id, sender, received_at; stored: sender, received_at of those of earlier batches. A suggestion that is
+    refused does not count against the next one."""
+    ok = checked.where("verdict = 'ok'").join(came, "id")
+    return greedy_limit(ok, "sender", "received_at", "id", most, seconds, stored).where("accepted").select(*checked.columns)

@@ -37,15 +37,18 @@ def listed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def judged(spark: SparkSession, sf_dir: str, every: int, verdict: str) -> DataFrame:
+    """A reading of every listing; but each `every`-th is of a text that the others no longer have."""
     n = F.col("n")
-    return served(spark, sf_dir).where(n % every == 0).select(F.col("id").alias("listing_id"), F.concat(F.lit("h"), (n % 7).cast("string")).alias("content_hash"), F.lit(verdict).alias("verdict"), F.concat(F.lit("$"), (n % 9).cast("string")).alias("quote"))
+    read = F.concat(F.when(n % every == 0, "h").otherwise("g"), (n % 7).cast("string"))
+    return served(spark, sf_dir).select(F.col("id").alias("listing_id"), read.alias("content_hash"), F.lit(verdict).alias("verdict"), F.concat(F.lit("$"), (n % 9).cast("string")).alias("quote"))
 
 
 @query(f"""{EV} SELECT id AS listing_id, 'h' || CAST(n % 7 AS VARCHAR) AS content_hash, CASE WHEN n % 6 = 0 THEN 'paid' ELSE 'unknown' END AS verdict, '$' || CAST(n % 9 AS VARCHAR) AS quote,
-  CASE WHEN n % 6 = 0 THEN 'judge' ELSE 'rule' END AS method, CASE WHEN n % 6 = 0 THEN '2026-02-01' ELSE '2026-01-01' END AS decided FROM ev WHERE n % 4 = 0 OR n % 6 = 0""")
+  CASE WHEN n % 6 = 0 THEN 'judge' ELSE 'rule' END AS method, CASE WHEN n % 6 = 0 THEN '2026-02-01' ELSE '2026-01-01' END AS decided FROM ev
+  UNION ALL SELECT id, 'g' || CAST(n % 7 AS VARCHAR), 'paid', '$' || CAST(n % 9 AS VARCHAR), 'judge', '2026-02-01' FROM ev WHERE n % 6 <> 0""")
 def cost_decision_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings of prices by listing and text: a later one takes the place of an earlier."""
-    old = judged(spark, sf_dir, 4, "unknown").withColumns({"method": F.lit("rule"), "decided_at": F.lit("2026-01-01").cast("timestamp")})
+    """Readings of prices by listing and text: a later one takes the place of an earlier, or stands beside one of another text."""
+    old = judged(spark, sf_dir, 1, "unknown").withColumns({"method": F.lit("rule"), "decided_at": F.lit("2026-01-01").cast("timestamp")})
     after = console.record_cost_decisions(old, judged(spark, sf_dir, 6, "paid"), "judge", "2026-02-01")
     return after.select("listing_id", "content_hash", "verdict", "quote", "method", F.date_format("decided_at", "yyyy-MM-dd").alias("decided"))
 
@@ -128,25 +131,25 @@ def manual_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHOSEN = "CASE WHEN n % 4 = 0 THEN NULL ELSE 'tay' END AS municipality_slug, CASE WHEN n % 3 = 0 THEN category ELSE 'arts' END AS category, CASE n % 2 WHEN 0 THEN 'free' ELSE 'unknown' END AS cost, CASE WHEN n % 10 = 5 THEN 'cancelled' ELSE 'scheduled' END AS status"
 
 
-@query(f"""{EV}, c AS (SELECT id, 'base' || CAST(n % 100 AS VARCHAR) AS h, {_CHOSEN} FROM ev WHERE n % 5 = 0), j AS (SELECT *, h || '|{{"municipalitySlug":' || coalesce(to_json(municipality_slug), 'null') || ',"category":' || to_json(category) || ',"cost":' || to_json(cost) || ',"status":' || to_json(status) || '}}' AS told FROM c)
+@query(f"""{EV}, c AS (SELECT id, 'base' || CAST(n % 100 AS VARCHAR) AS h, {_CHOSEN} FROM ev), j AS (SELECT *, h || '|{{"municipalitySlug":' || coalesce(to_json(municipality_slug), 'null') || ',"category":' || to_json(category) || ',"cost":' || to_json(cost) || ',"status":' || to_json(status) || '}}' AS told FROM c)
 SELECT id, municipality_slug, category, cost, status, {HASH('told')} AS content_hash FROM j""")
 def manual_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hand (every fifth order): what their form says wins, and the hash takes it in."""
+    """Every event as one by hand: what its form says wins, and the hash takes it in."""
     n = F.col("n")
-    rows = served(spark, sf_dir).where(n % 5 == 0).withColumn("content_hash", F.concat(F.lit("base"), (n % 100).cast("string")))
+    rows = served(spark, sf_dir).withColumn("content_hash", F.concat(F.lit("base"), (n % 100).cast("string")))
     choices = rows.select("id", F.when(n % 4 != 0, "tay").alias("municipality_slug"), F.when(n % 3 == 0, "auto").otherwise("arts").alias("category"), F.when(n % 2 == 0, "free").otherwise("unknown").alias("cost"), F.when(n % 10 == 5, "cancelled").otherwise("scheduled").alias("status"))
     return console.manual_choices(rows, choices).select("id", "municipality_slug", "category", "cost", "status", "content_hash")
 
 
-@query(f"""{EV}, {LISTED}, e AS (SELECT id, n, cluster FROM le WHERE n % 10 = 0), w AS (SELECT id || 'new' AS id, id || 'new' AS event_id, 'solo' AS action, 'Saved' AS title, TRUE AS active, '2026-02-01' AS seen FROM e WHERE n % 30 = 0
-  UNION ALL SELECT id, CASE WHEN n % 3 = 0 THEN cluster ELSE cluster END, CASE WHEN n % 3 = 0 THEN 'merged' ELSE 'solo' END, 'Saved', (SELECT active FROM ev WHERE ev.n = e.n), '2026-01-01' FROM e) SELECT * FROM w""")
+@query(f"""{EV}, {LISTED}, e AS (SELECT id, n, CASE WHEN n % 20 = 1 THEN NULL ELSE cluster END AS cluster FROM le), w AS (SELECT id || 'new' AS id, id || 'new' AS event_id, 'solo' AS action, 'Saved' AS title, TRUE AS active, '2026-02-01' AS seen FROM e WHERE n % 30 = 0
+  UNION ALL SELECT id, coalesce(cluster, id), CASE WHEN n % 3 = 0 AND cluster IS NOT NULL THEN 'merged' ELSE 'solo' END, 'Saved', (SELECT active FROM ev WHERE ev.n = e.n), '2026-01-01' FROM e) SELECT * FROM w""")
 def manual_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events entered and edited by hand: an edit keeps its event and whether it is shown; merged events wait."""
     rows, events = listed(spark, sf_dir)
     none = lambda kind: F.lit(None).cast(kind)
     first = F.lit("2026-01-01").cast("timestamp")
     listings = rows.withColumns({"first_seen_at": first, "last_seen_at": first, "removed_at": none("timestamp"), "detail_hash": none("string"), "detail_attempts": F.lit(0)})
-    form = rows.where("n % 10 = 0").withColumn("title", F.lit("Saved"))
+    form = rows.withColumn("title", F.lit("Saved"))
     saved = form.unionByName(form.where("n % 30 = 0").withColumn("id", F.concat("id", F.lit("new"))))
     after, waiting = console.save_manual(listings, events, saved, "2026-02-01")
     return waiting.join(after.select("id", "title", "active", F.date_format("first_seen_at", "yyyy-MM-dd").alias("seen")), "id")
@@ -203,10 +206,13 @@ def digest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.digest_messages(about, "daily", TODAY, TODAY, "Fair", "https://example.org")
 
 
-@query("SELECT slug, '{\"@context\":\"https://schema.org\",\"@type\":\"BreadcrumbList\",\"itemListElement\":[{\"@type\":\"ListItem\",\"position\":1,\"name\":\"Fair\",\"item\":\"https://example.org/\"},{\"@type\":\"ListItem\",\"position\":2,\"name\":' || to_json(name) || ',\"item\":\"https://example.org/place/' || slug || '\"}]}' AS json_ld FROM (" + PLACES.replace("places(slug, name) AS (", "SELECT * FROM (").rstrip(")") + ")) AS places(slug, name))")
+@query(f"WITH {PLACES}, p AS (SELECT slug, name, row_number() OVER (ORDER BY slug) - 1 AS n FROM places) SELECT c_custkey, slug, " + "'{\"@context\":\"https://schema.org\",\"@type\":\"BreadcrumbList\",\"itemListElement\":[{\"@type\":\"ListItem\",\"position\":1,\"name\":\"Fair\",\"item\":\"https://example.org/\"},{\"@type\":\"ListItem\",\"position\":2,\"name\":' || to_json(name) || ',\"item\":\"https://example.org/place/' || slug || '\"}]}' AS json_ld FROM customer JOIN p ON c_custkey % (SELECT count(*) FROM p) = n")
 def place_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The way to each place's page."""
-    return municipalities(spark).select("slug", views.breadcrumbs("Fair", "https://example.org", F.col("name"), F.concat(F.lit("https://example.org/place/"), F.col("slug"))).alias("json_ld"))
+    """The way to the page of each reader's (customer's) place."""
+    places = sorted((r["slug"], r["name"]) for r in municipalities(spark).collect())  # a fixed dimension
+    of = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in places]), (F.col("c_custkey") % len(places) + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", of(0).alias("slug"), of(1).alias("name"))
+    return rows.select("c_custkey", "slug", views.breadcrumbs("Fair", "https://example.org", F.col("name"), F.concat(F.lit("https://example.org/place/"), F.col("slug"))).alias("json_ld"))
 
 
 @query(f"""{EV}, r AS (SELECT municipality_slug, title, {CODE('id')} AS short_code, row_number() OVER w AS nth, count(*) OVER (PARTITION BY municipality_slug) AS c FROM ev WHERE active AND municipality_slug IS NOT NULL AND local_date >= '{TODAY}' WINDOW w AS (PARTITION BY municipality_slug ORDER BY starts_at_utc, id))
@@ -277,10 +283,16 @@ def poster_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAVED = [("m=tay,nowhere,barrie&cat=music&cost=free", "m=barrie%2Ctay&cat=music&cost=free"), ("cost=weird&civic=1&from=2026-01-01&to=bad", "civic=1&from=2026-01-01"), ("q=  a   b ", "q=a+b"), ("", "")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({O.q(a)}, {O.q(b)})" for a, b in _SAVED) + ") AS t(asked, kept)")
+@query("SELECT c_custkey, " + ", ".join(f"CASE c_custkey % 4 {' '.join(f'WHEN {n} THEN {O.q(v[k])}' for n, v in enumerate(_SAVED))} END AS {name}" for k, name in enumerate(("asked", "kept"))) + " FROM customer")
 def saved_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query strings as they are kept: known values only, in one order."""
-    return spark.createDataFrame([(asked, fl.Filters.parse(asked).saved()) for asked, _ in _SAVED], "asked string, kept string")
+    """Query strings that readers (customers) asked for as they are kept: known values only, in one order."""
+
+    @F.udf("string", useArrow=True)
+    def saved(asked: str) -> str:
+        return fl.Filters.parse(asked).saved()
+
+    asked = F.element_at(F.array(*[F.lit(a) for a, _ in _SAVED]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", asked.alias("asked"), saved(asked).alias("kept"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'https://example.org/a' WHEN 1 THEN 'http://x.ca' END AS address, CASE c_custkey % 3 WHEN 0 THEN 'Tay Township' WHEN 1 THEN 'Oro Medonte' ELSE '' END AS named,
@@ -317,12 +329,15 @@ def override_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ov.store(held, rows.select("id", action.alias("action")).where("action IS NOT NULL"))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 17 <> 1 AND c_custkey % 4 <> 3")
+@query("""WITH RECURSIVE s AS (SELECT c_custkey AS id, c_nationkey AS sender, c_custkey * 600 AS t FROM customer WHERE c_custkey % 17 <> 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY t) AS k FROM s),
+g AS (SELECT id, sender, k, [t] AS held, TRUE AS ok FROM o WHERE k = 1
+  UNION ALL SELECT o.id, o.sender, o.k, CASE WHEN len(list_filter(held, lambda x: x > t - 3600 * 20)) < 5 THEN list_append(list_filter(held, lambda x: x > t - 3600 * 20), t) ELSE held END, len(list_filter(held, lambda x: x > t - 3600 * 20)) < 5 FROM g JOIN o ON o.sender = g.sender AND o.k = g.k + 1)
+SELECT id FROM g WHERE ok""")
 def accepted_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suggestions that are stored: checked, and their sender sent fewer than five within the hour."""
+    """Suggestions that are stored: checked, and fewer than five of the sender's were stored in the twenty hours before.
+    Customers send one every ten minutes, those of a nation under one address."""
     k = F.col("c_custkey")
     sent = table(spark, sf_dir, "customer").select(k.alias("id"), F.lit("event").alias("kind"), F.when(k % 17 == 1, "x").alias("company"), *[F.lit("Fair").alias(c) for c in ("name", "title", "description", "comments")], *[F.lit(None).cast("string").alias(c) for c in ("email", "url", "date", "time")])
-    recent = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 4 == 3, 5).when(k % 4 == 2, 4).alias("sent"))
-    return forms.accept_suggestions(forms.suggestions(sent), recent).select("id")
-
-
+    came = table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_nationkey").cast("string").alias("sender"), F.timestamp_seconds(k * 600).alias("received_at"))
+    return forms.accept_suggestions(forms.suggestions(sent), came, seconds=3600 * 20).select("id")

@@ -171,12 +171,14 @@ def next_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return months.withColumn("next_month", F.lead("month").over(Window.orderBy("month")))
 
 
-@query("""WITH d AS (SELECT DISTINCT user_id % 40 AS series, CAST(ts AS DATE) AS d FROM events WHERE user_id % 40 < 38 OR extract(day FROM ts) <> 9),
+@query("""WITH d AS (SELECT DISTINCT user_id % 40 AS series, CAST(ts AS DATE) - CASE WHEN user_id % 40 >= 38 AND extract(day FROM ts) = 9 THEN 1 ELSE 0 END AS d FROM events),
 i AS (SELECT series, d - CAST(row_number() OVER (PARTITION BY series ORDER BY d) AS INTEGER) AS g FROM d), r AS (SELECT series, count(*) AS run FROM i GROUP BY series, g)
 SELECT series, max(run) AS longest FROM r GROUP BY series HAVING max(run) >= 25""")
 def runaway_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("user_id % 40 < 38 OR day(ts) <> 9").select((F.col("user_id") % 40).alias("series"), "ts")
-    return views.runaway_series(rows, ["series"], "ts", 25)
+    """Series with events on 25 days in a row; two of the forty pause on the ninth and hold its events the day before."""
+    moved = F.date_sub(F.to_date("ts"), F.when((F.col("user_id") % 40 >= 38) & (F.dayofmonth("ts") == 9), 1).otherwise(0))
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("series"), moved.alias("day"))
+    return views.runaway_series(rows, ["series"], "day", 25)
 
 
 @query("SELECT event_id, count(*) OVER w AS recent, count(*) OVER w < 3 AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 36000000000 PRECEDING AND 1 PRECEDING)")
@@ -440,16 +442,35 @@ def clock_and_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", clock.alias("clock"), times.preset(day, "weekend")[1].cast("string").alias("weekend_end"), times.relative_day(day, F.lit(TODAY).cast("date")).alias("relative"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({O.q(v[0])}, {O.q(v[1])}, {O.q(v[2])})" for v in VENUES) + ") AS t(venue_id, name, municipality_slug)")
+def _rows(columns: str, rows: list[tuple]) -> str:
+    """Numbered rows of a fixed table in SQL."""
+    quoted = lambda v: "NULL" if v is None else O.q(v) if isinstance(v, str) else str(v)
+    return f"d(n, {columns}) AS (VALUES " + ", ".join(f"({n}, {', '.join(map(quoted, r))})" for n, r in enumerate(rows)) + ")"
+
+
+NAMED = [(s, n) for s, names in GAZETTEER.items() for n in names]
+
+
+@query(f"WITH {_rows('venue_id, name, municipality_slug', VENUES)} SELECT venue_id, name, municipality_slug, count(c_custkey) AS readers FROM d LEFT JOIN customer ON c_custkey % {len(VENUES)} = n GROUP BY venue_id, name, municipality_slug")
 def venue_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return venues(spark)
+    """Venues with the readers (customers) that follow each."""
+    follows = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % len(VENUES)).alias("n")).agg(F.count("*").alias("readers"))
+    numbered = spark.createDataFrame([(v[0], n) for n, v in enumerate(VENUES)], "venue_id string, n long")
+    return venues(spark).join(numbered, "venue_id").join(follows, "n", "left").select("venue_id", "name", "municipality_slug", F.coalesce("readers", F.lit(0)).alias("readers"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({O.q(s)}, {O.q(n)})" for s, names in GAZETTEER.items() for n in names) + ") AS t(slug, name)")
+@query(f"WITH {_rows('slug, name', NAMED)} SELECT slug, name, count(c_custkey) AS readers FROM d LEFT JOIN customer ON c_custkey % {len(NAMED)} = n GROUP BY slug, name")
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s, n) for s, names in GAZETTEER.items() for n in names], "slug string, name string")
+    """Names of places with the readers (customers) who wrote each: every name is found again as its own place."""
+    names = F.array(*[F.lit(n) for _, n in NAMED])
+    wrote = table(spark, sf_dir, "customer").select(F.element_at(names, (F.col("c_custkey") % len(NAMED) + 1).cast("int")).alias("name")).groupBy("name").agg(F.count("*").alias("readers"))
+    return spark.createDataFrame(NAMED, "slug string, name string").join(wrote, "name", "left").select("slug", "name", F.coalesce("readers", F.lit(0)).alias("readers"))
 
 
-@query("SELECT * FROM (VALUES ('county', 1, 3), ('library', 7, 7), ('manual', 0, 1), ('media', 6, 7), ('municipal', 18, 18), ('organization', 5, 5), ('ticketing', 2, 2), ('tourism', 1, 1)) AS t(kind, enabled, total)".replace("('county', 1, 3)", "('county', 1, 1)"))
+@query("WITH k(kind, enabled, total, n) AS (VALUES ('county', 1, 1, 0), ('library', 7, 7, 1), ('manual', 0, 1, 2), ('media', 6, 7, 3), ('municipal', 18, 18, 4), ('organization', 5, 5, 5), ('ticketing', 2, 2, 6), ('tourism', 1, 1, 7)) SELECT kind, enabled, total, count(o_orderkey) AS listings FROM k LEFT JOIN orders ON o_custkey % 8 = n GROUP BY kind, enabled, total")
 def source_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources(spark).groupBy("kind").agg(F.count_if("enabled").cast("int").alias("enabled"), F.count("*").cast("int").alias("total"))
+    """Kinds of sources, how many are on, and the listings (orders) of each kind."""
+    kinds = sources(spark).groupBy("kind").agg(F.count_if("enabled").cast("int").alias("enabled"), F.count("*").cast("int").alias("total"))
+    held = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 8).alias("n")).agg(F.count("*").alias("listings"))
+    numbered = kinds.withColumn("n", F.row_number().over(Window.orderBy("kind")) - 1)  # eight rows
+    return numbered.join(held, "n", "left").select("kind", "enabled", "total", F.coalesce("listings", F.lit(0)).alias("listings"))

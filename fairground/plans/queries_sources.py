@@ -49,13 +49,13 @@ def adapter_tribe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("external_id", "title", "description", "local_start", "all_day", "venue_name", "address", "cost_text", F.array_join("categories", ",").alias("labels"), "organizer", "image_url", "url")
 
 
-@query(f"{EV} SELECT id AS external_id, title || CASE WHEN n % 4 = 0 THEN ' — Part two' ELSE '' END AS title, local_date || 'T' || local_time AS local_start, venue_name, CASE WHEN n % 5 = 0 THEN 'Free' WHEN n % 5 < 3 THEN '$' || CAST(n % 5 AS VARCHAR) END AS cost_text, CASE WHEN n % 5 = 0 THEN TRUE END AS is_free, category AS labels, url FROM ev WHERE n % 9 <> 0 AND n % 11 <> 0 AND venue_name IS NOT NULL")
+@query(f"{EV} SELECT id AS external_id, title || CASE WHEN n % 4 = 0 THEN ' — Part two' ELSE '' END AS title, local_date || 'T' || local_time AS local_start, venue_name, CASE WHEN n % 5 = 0 THEN 'Free' WHEN n % 5 < 3 THEN '$' || CAST(n % 5 AS VARCHAR) END AS cost_text, CASE WHEN n % 5 = 0 THEN TRUE END AS is_free, category AS labels, url FROM ev WHERE n % 9 <> 0 AND n % 11 <> 0")
 def adapter_communico(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A library's list: private and online rows go."""
     c, n = F.col, F.col("n")
     fee = F.when(n % 5 < 3, (n % 5).cast("string"))
     body = F.array(F.struct(c("id"), c("title"), F.when(n % 4 == 0, "Part two").alias("sub_title"), F.concat_ws("T", "local_date", "local_time").alias("event_start"), F.when(n % 9 == 0, "1").otherwise("0").alias("private_event"), F.when(n % 11 == 0, "ONLINE").otherwise("INPERSON").alias("event_type"), c("venue_name").alias("location"), fee.alias("registration_cost"), F.lit("0").alias("enable_billing"), F.array("category").alias("tagsArray"), c("url")))
-    rows = parsed(served(spark, sf_dir).where("venue_name IS NOT NULL"), "communico", F.to_json(body), origin="lib.example.org")
+    rows = parsed(served(spark, sf_dir), "communico", F.to_json(body), origin="lib.example.org")
     return rows.select("external_id", "title", "local_start", "venue_name", "cost_text", "is_free", F.array_join("categories", ",").alias("labels"), "url")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_console, queries_feedback, queries_feeds, queries_forms, queries_listings, queries_serving, queries_sources, queries_streaming
+from . import queries_console, queries_feedback, queries_feeds, queries_forms, queries_listings, queries_search, queries_serving, queries_sources, queries_streaming
 from .catalog import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "queries_console", "queries_feedback", "queries_feeds", "queries_forms", "queries_listings", "queries_serving", "queries_sources", "queries_streaming"]
+__all__ = ["ORACLE", "QUERIES", "queries_console", "queries_feedback", "queries_feeds", "queries_forms", "queries_listings", "queries_search", "queries_serving", "queries_sources", "queries_streaming"]
