@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.feedback import capped, greedy_limit
 from ..operators.reconcile import apply, insert_absent, plan
+from ..shipping import by_value
 from ..storage import Snapshots, drop_materialized, materialize
 
+by_value(__name__)
+
 
 def reconcile_stream(batches: DataFrame, state: Snapshots, checkpoint: str, now: Callable[[int], str], available_now: bool = True) -> StreamingQuery:
     """Keep a snapshot table up to date with a stream of listings; each micro-batch is one run of the sources in it.
@@ -108,3 +113,61 @@ def drain(stream: DataFrame, mode: str, spark: SparkSession, path: str, checkpoi
         return spark.read.parquet(path)
     stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
+
+
+class SessionKeeper(StatefulProcessor):
+    """The open session of each key: when it began, was last on record and last touched, and its touches.
+
+    A session is emitted when a touch ends it, or when the watermark passes the moment from which none can
+    belong to it any more. Touches of a batch are taken in the order of time."""
+
+    def __init__(self, idle: int, absolute: int, touch: int) -> None:
+        self.idle, self.absolute, self.touch = idle * 1_000_000, absolute * 1_000_000, touch * 1_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "began long, seen long, last long, touches long")
+
+    def _end(self, began: int, seen: int) -> int:
+        """The first moment at which the session is over."""
+        return min(began + self.absolute, seen + self.idle)
+
+    def _row(self, key, state, why: str) -> dict:
+        return {"key": key[0], "began": state[0], "last": state[2], "touches": state[3], "ended_by": why}
+
+    def _why(self, state, at: int) -> str:
+        return "age" if at >= state[0] + self.absolute else "idle"
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, out = tuple(self.open.get()) if self.open.exists() else None, []
+        for at in sorted(int(t) for part in rows for t in part["at"]):
+            if state is not None and at >= self._end(state[0], state[1]):
+                out.append(self._row(key, state, self._why(state, at)))
+                state = None
+            state = (at, at, at, 1) if state is None else (state[0], at if state[1] + self.touch < at else state[1], max(at, state[2]), state[3] + 1)
+        if state is not None:
+            self.open.update(state)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(self._end(state[0], state[1]) // 1000 + 1)
+        yield pd.DataFrame(out, columns=["key", "began", "last", "touches", "ended_by"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, out = tuple(self.open.get()) if self.open.exists() else None, []
+        if state is not None:
+            out.append(self._row(key, state, self._why(state, self._end(state[0], state[1]))))
+            self.open.clear()
+        yield pd.DataFrame(out, columns=["key", "began", "last", "touches", "ended_by"])
+
+    def close(self) -> None:
+        pass
+
+
+def limited_sessions(touches: DataFrame, key: str, moment: str, idle: int = 30 * 86400, absolute: int = 180 * 86400, touch: int = 3600, late: str = "1 hour") -> DataFrame:
+    """Sessions with an age limit, as operators.feedback.limited_sessions() has them, when they are over (append mode).
+
+    Needs the RocksDB state store. Touches that come later than `late` no longer count; within that, a batch's
+    touches are put in order, those of different batches stand as they came."""
+    rows = touches.where(F.col(key).isNotNull() & F.col(moment).isNotNull()).withWatermark(moment, late).select(F.col(key).cast("string").alias("key"), F.col(moment).alias("moment"), F.unix_micros(moment).alias("at"))
+    made = rows.groupBy("key").transformWithStateInPandas(SessionKeeper(idle, absolute, touch), "key string, began long, last long, touches long, ended_by string", "Append", "EventTime")
+    return made.select("key", F.timestamp_micros("began").alias("started_at"), F.timestamp_micros("last").alias("last_at"), "touches", "ended_by")

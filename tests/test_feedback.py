@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
@@ -201,3 +202,24 @@ def test_a_failed_batch_leaves_only_its_pairs_open(spark):
     assert judging.judge_batches(df.limit(0), third_fails).count() == 0
     short = judging.judge_batches(df, lambda batch: ["same"] * 9)  # a verdict too few
     assert {r["outcome"] for r in short.collect()} == {"failed"}
+
+
+def test_a_stream_ends_sessions_by_touches_and_by_time(spark, tmp_path):
+    from fairground.streaming import incremental
+
+    rng = random.Random(3)
+    rows = sorted(((rng.choice([1, 1, 2, 3]), at(rng.randrange(300_000))) for _ in range(150)), key=lambda r: r[1]) + [(9, at(2_000_000))]
+    for n in range(3):  # a file a batch, in the order of time
+        spark.createDataFrame(rows[n * 51 : n * 51 + 51], "user long, at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("user long, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        ended = incremental.limited_sessions(stream, "user", "at", 9000, 30_000, 3600)
+        out = incremental.drain(ended, "append", spark, f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    finally:
+        spark.conf.unset(store)
+    want = Counter(k[:4] for k in brute_sessions(rows, 9000, 30_000, 3600) if k[0] != 9)  # the last one is still open
+    assert Counter((int(r["key"]), r["started_at"], r["last_at"], r["touches"]) for r in out) == want
+    assert {r["ended_by"] for r in out} == {"age", "idle"}

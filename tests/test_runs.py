@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
