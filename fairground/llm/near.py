@@ -198,8 +198,8 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     of its own buckets, then with that of others in whose balls it is, unless one group holds both already, so
     a group costs as many pairs as it has members. Only classes that are then in another group than that first
     one are compared with the others of their bucket, once a pair, and of these only such pairs go on whose
-    complete fingerprints are close and whose shared shingles can be enough: what no other such class has does
-    not count. Each candidate is verified over the whole shingle sets. A `similarity` below SIMILARITY would
+    complete fingerprints are close and whose shared shingles can be enough: what no other class of such pairs
+    has does not count. Each candidate is verified over the whole shingle sets. A `similarity` below SIMILARITY would
     need more segments than layout() gives and raises ValueError."""
     if not SIMILARITY <= similarity <= 1:
         raise ValueError(f"a similarity from {SIMILARITY} to 1 is expected")
@@ -233,21 +233,22 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     entries = balls(placed, "root").join(shared.hint("merge"), "bucket").where(F.col("mixed") | F.col("owns") | (F.col("root") != F.col("first")))
     members = keep.table(entries.select("bucket", "copy", "owns", "root", (F.col("root") != F.col("first")).alias("apart")), "members")
     open_ = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    members = keep.table(members.join(open_, "bucket"), "open")
-    sets = keep.table(sets_of(members.select("copy").distinct(), classes, named), "sets")
-    alone = sets.select("copy", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("sets"), F.first("copy").alias("copy")).where("sets = 1").groupBy("copy").agg(F.count("*").alias("alone"))
-    # At least this share of a class's shingles must be some other's too, or it has no link.
-    common = placed.select("copy", "n", "fp").join(alone, "copy", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(F.col("common") >= similarity * F.col("n") * (1 - 1e-9))
-    members = keep.table(members.join(common, "copy"), "members")
-    side = lambda of, c: of.select("bucket", *[F.col(k).alias(f"{k}_{c}") for k in ("copy", "owns", "root", "apart", "n", "fp", "common")])
-    enough = F.least("common_a", "common_b") * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) * (1 - 1e-9)
-    fits = (F.col("root_a") != F.col("root_b")) & enough & close("a", "b", similarity)
+    members = keep.table(members.join(open_, "bucket").join(placed.select("copy", "n", "fp"), "copy"), "open")
+    side = lambda of, c: of.select("bucket", *[F.col(k).alias(f"{k}_{c}") for k in ("copy", "owns", "root", "apart", "n", "fp")])
+    fits = (F.col("root_a") != F.col("root_b")) & close("a", "b", similarity)
     owners = members.where("owns")
     once = ~F.col("owns_b") | ~F.col("apart_b") | (F.col("copy_a") < F.col("copy_b"))
     more = side(owners.where("apart"), "a").join(side(members, "b"), "bucket").where(once & fits)
     more = more.unionByName(side(owners.where(~F.col("apart")), "a").join(side(members.where(~F.col("owns") & F.col("apart")), "b"), "bucket").where(fits))
-    more = more.select(F.least("copy_a", "copy_b").alias("a"), F.greatest("copy_a", "copy_b").alias("b")).distinct()
-    more = verified(more, classes, named, similarity, keep, sets)
+    more = keep.table(more.select(F.least("copy_a", "copy_b").alias("low"), F.greatest("copy_a", "copy_b").alias("high")).distinct(), "likely")
+    sets = keep.table(sets_of(more.select(F.col("low").alias("copy")).union(more.select("high")).distinct(), classes, named), "sets")
+    alone = sets.select("copy", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("sets"), F.first("copy").alias("copy")).where("sets = 1").groupBy("copy").agg(F.count("*").alias("alone"))
+    common = sets.select("copy", F.size("hashes").alias("n")).join(alone, "copy", "left").select("copy", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    for c in ("low", "high"):
+        more = more.join(common.select(F.col("copy").alias(c), F.col("n").alias(f"n_{c}"), F.col("common").alias(f"common_{c}")), c)
+    # Two sets share no more than what the smaller number of shingles is that are not a class's alone.
+    enough = F.least("common_low", "common_high") * (1 + similarity) >= similarity * (F.col("n_low") + F.col("n_high")) * (1 - 1e-9)
+    more = verified(more.where(enough).select(F.col("low").alias("a"), F.col("high").alias("b")), classes, named, similarity, keep, sets)
     for c in "ab":
         more = more.join(placed.select(F.col("copy").alias(c), F.col("root").alias(f"root_{c}")), c)
     roots = components(more.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
