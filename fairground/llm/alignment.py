@@ -175,14 +175,15 @@ COUNTS, SUMS = ["n_a", "n_b", "n_groups", "n_links"], ["n_best", "count_sum"]
 
 def unpacked(rows: pa.Table) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     """COUNTS, groups, places of links (one more than entries) and links of a block's entries in their order; counts of -1 if not ok."""
-    parts = {c: [zlib.decompress(x.as_py()) for x in rows.column(c)] for c in PACKED[1:]}
+    parts = {c: [zlib.decompress(x.as_py()) for x in rows.column(c)] for c in ("ats", "sizes", "links")}
     ats, sizes, links = (np.frombuffer(b"".join(parts[c]), k) for c, k in (("ats", np.int32), ("sizes", np.int32), ("links", np.int64)))
     counts, groups = np.full((len(ats), len(COUNTS)), -1, np.int64), [""] * len(ats)
-    texts = [t for x in parts["texts"] for t in x.decode().split("\n")]
-    for at, text in zip(ats.tolist(), texts, strict=True):
-        if text:
-            *numbers, groups[at] = text.split(" ")
-            counts[at] = numbers
+    place = iter(ats.tolist())
+    for packed in rows.column("texts"):  # one after another: no second copy of all groups
+        for text, at in zip(zlib.decompress(packed.as_py()).decode().split("\n"), place, strict=False):
+            if text:
+                *numbers, groups[at] = text.split(" ")
+                counts[at] = numbers
     order = np.argsort(ats)
     begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     ends = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)

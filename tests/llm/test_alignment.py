@@ -62,6 +62,7 @@ def test_groups_of_whole_texts(spark, monkeypatch):
     texts += [p + w + q + "z" for p in ("a", ";", "'", ".", "9", "é", chr(0x200B)) for w in SPACES for q in [*SPACES, ""]]
     texts += [None, "", " ", "foo ", "The cat.", "The cat.", "a" * 3000, "中" * 500, "say it again " * 3000]
     monkeypatch.setattr(alignment, "BLOCK", 2000)  # many blocks
+    monkeypatch.setattr(alignment, "TOGETHER", 300)  # a block's entries come in many parts
     compare(spark, texts)
 
 
