@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,9 @@ by_value(__name__)
 # The named entities that are read, and what they stand for.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“", "copy": "©", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "ocirc": "ô", "icirc": "î", "ecirc": "ê", "trade": "™", "reg": "®"}
 
+#: The same as one SQL literal, which is built at once.
+_ENTITY_MAP = "map(" + ", ".join(f"'{k}', " + ("\"'\"" if v == "'" else f"'{v}'") for k, v in ENTITIES.items()) + ")"
+
 
 def clean(text: Column) -> Column:
     """White space collapsed; nothing left: null."""
@@ -70,6 +74,41 @@ def tag_text(markup: Column) -> Column:
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
+def decode_references(text: Column) -> Column:
+    """Numeric references, then the named ones of ENTITIES, each read once and without Python; others stay."""
+
+    def pieces(held: Column, mark: str, read: Callable[[Column], Column]) -> Column:
+        # Every piece but the first begins with a mark, so what one reference stands for is not read again.
+        return F.concat_ws("", F.transform(F.split(held, f"(?={mark})"), read))
+
+    def numeric(piece: Column) -> Column:
+        body, rest = F.regexp_extract(piece, "(?s)^&#0*([0-9]{1,7}|[xX][0-9a-fA-F]{1,12});", 1), F.regexp_extract(piece, "(?s)^&#[^;]*;(.*)$", 1)
+        code = F.when(body.rlike("^[xX]"), F.conv(F.substring(body, 2, 12), 16, 10).cast("long")).otherwise(F.try_to_number(body, F.lit("9999999")).cast("long"))
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when((body != "") & (code < 0x110000), F.concat(char, rest)).otherwise(piece)
+
+    def named(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^&([a-zA-Z]+);", 1)
+        known = F.try_element_at(F.expr(_ENTITY_MAP), F.lower(name))
+        return F.coalesce(F.concat(known, F.substring(piece, F.length(name) + 3, F.length(piece))), piece)
+
+    return F.when(text.contains("&"), pieces(pieces(text, "&#", numeric), "&", named)).otherwise(text)
+
+
+def fragment_lines(markup: Column) -> Column:
+    """Text of a fragment without Python: blocks end lines, runs of blank lines shrink to one, references are read."""
+
+    def stripped(text: Column) -> Column:
+        # Three passes: what is no text, what ends a line, other tags.
+        for pattern, to in ((r"<(script|style)[^>]*>[\s\S]*?</\1>|<!--[\s\S]*?-->", " "), (r"<br\s*/?>|</(p|div|li|h[1-6]|tr|section|article)>", "\n"), (r"<[^>]+>", " ")):
+            text = swap(text, pattern, to)
+        return let(text, decode_references)
+
+    plain = let(markup, lambda m: F.when(m.rlike("[<&]"), stripped(m)).otherwise(m))
+    lines = F.regexp_replace(F.regexp_replace(plain, r"[ \t\r\x{a0}]+", " "), " ?\n ?", "\n")
+    return F.regexp_replace(F.regexp_replace(lines, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
 def text_of(markup: Column) -> Column:
     """One line of text."""
     return squeeze(strip_tags(markup))

@@ -27,7 +27,7 @@ def payloads(events: DataFrame, platform: str, payload: Column, **options: str)
 
 
 def parsed(events: DataFrame, platform: str, payload: Column, window: tuple[str, str] = WINDOW, **options: str) -> DataFrame:
-    return raw_events(payloads(events, platform, payload, **options), window)[0]
+    return raw_events(payloads(events, platform, payload, **options), window, [platform])[0]
 
 
 @query(f"""{EV} SELECT id AS external_id, regexp_replace(title, '\\s+', ' ', 'g') AS title, description, local_date || ' ' || local_time || ':00' AS local_start, {O.UNTIMED.replace('all_day OR ', '')} AS all_day, venue_name, address || ', L4M' AS address, cost_text, category || ',' || status AS labels, organizer, image_url, url
@@ -120,7 +120,7 @@ def ingest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat_ws("\n", F.lit("BEGIN:VCALENDAR"), F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("id")), F.concat(F.lit("DTSTART:"), F.date_format("starts_at", "yyyyMMdd'T'HHmmss'Z'")), F.concat(F.lit("SUMMARY:"), F.col("title")), F.lit("END:VEVENT"), F.lit("END:VCALENDAR"))
     before = F.lit("2020-01-01").cast("timestamp")
     stored = materialize(listings(spark, sf_dir), "stored").withColumns({"cluster_id": F.lit(None).cast("string"), "first_seen_at": before, "last_seen_at": before, "removed_at": F.lit(None).cast("timestamp"), "detail_hash": F.lit(None).cast("string"), "detail_attempts": F.lit(0)})
-    done = ingest(payloads(feeds, "ics", body), WINDOW, homes(spark), stored, "2026-01-02")
+    done = ingest(payloads(feeds, "ics", body), WINDOW, homes(spark), stored, "2026-01-02", ["ics"])
     return done.decided.groupBy("source_slug", "action").agg(F.count("*").alias("listings"))
 
 

@@ -1,6 +1,6 @@
-"""Payloads of each platform to raw events.
+"""Payloads of each platform to raw events; those of JSON, XML and iCalendar are read in `columns`.
 
-A parser takes a payload (or a page and the pages it leads to), the source's options and the window of
+A parser of pages takes a payload (or a page and the pages it leads to), the source's options and the window of
 days, and gives dicts of raw event fields. `placed` asks that the row be dropped unless it can be placed.
 Fetching is not done here: payloads come as a table."""
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -22,7 +22,8 @@ from ..registry import GOVSTACK_EXCLUDED, ZONE
 from ..schemas import RAW
 from ..shipping import by_value
 from ..storage import materialize
-from .clocks import at_zone, clock, day, month, shift, wall, year_of, zulu_at_zone
+from . import columns
+from .clocks import at_zone, clock, day, month, shift, wall, year_of
 from .markup import Node, plain, shorten, tree
 
 by_value(__name__)
@@ -45,10 +46,6 @@ def inside(start: str, window: Window) -> bool:
     return window[0] <= start[:10] <= window[1]
 
 
-def join_parts(*parts: str | None) -> str | None:
-    return ", ".join(p for p in parts if p and p.strip()) or None
-
-
 def long_text(html: str | None) -> str | None:
     return shorten(plain(html)) or None
 
@@ -162,22 +159,6 @@ def eventon(payload: str, options: dict, window: Window) -> Rows:
             )
 
 
-def tribe(payload: str, options: dict, window: Window) -> Rows:
-    """Events of the calendar plugin's REST pages. A venue may be an empty list, a picture false."""
-    for e in json.loads(payload)["events"]:
-        if e.get("hide_from_listings") or e.get("status", "publish") != "publish":
-            continue
-        venue = e["venue"] if isinstance(e.get("venue"), dict) else {}
-        who = e["organizer"][0].get("organizer") if isinstance(e.get("organizer"), list) and e["organizer"] else None
-        address = join_parts(venue.get("address"), venue.get("city"), venue.get("zip"))
-        yield event(
-            e["id"], tree(e["title"]).text() or "Untitled event", e["start_date"], local_end=e.get("end_date"), description=long_text(e.get("description")) if e.get("description") else tree(e.get("excerpt") or "").text(),
-            venue_name=tree(venue.get("venue") or "").text(), address=address, municipality_hint=venue.get("city"), cost_text=(e.get("cost") or "").strip(),
-            categories=[c["name"] for c in [*(e.get("categories") or []), *(e.get("tags") or [])] if c.get("name")], organizer=tree(who or "").text(),
-            image_url=e["image"].get("url") if isinstance(e.get("image"), dict) else None, url=e["url"], placed=bool(address) and not options.get("municipality"),
-        ) | {"all_day": bool(e.get("all_day")), "time_precision": "date-only" if e.get("all_day") else "exact"}
-
-
 def spaces(payload: str, options: dict, window: Window) -> Rows:
     """{cards, details}: a page of cards, and pages by card number. A card's last copy wins; years come from the window."""
     given = json.loads(payload)
@@ -216,185 +197,6 @@ def spaces_detail(html: str) -> dict:
     return {"description": shorten(text), "venue_name": said("location|where|venue|place"), "address": said("address"), "cost_text": said("cost|price|admission|tickets?|fee|entry"), "organizer": who.text() if who else None}
 
 
-def cityspark(payload: str, options: dict, window: Window) -> Rows:
-    """A portal's events; times are local however they end, and a portal reaches far, so rows must be placed."""
-    given = json.loads(payload)
-    if not given.get("Success"):
-        raise ValueError(given.get("ErrorMessage") or "request failed")
-    for e in {e["PId"]: e for e in reversed(given.get("Value") or [])}.values():
-        if not e.get("DateStart"):
-            continue
-        city = re.sub(r"(?i),\s*ON$", "", e.get("CityState") or "").strip() or None
-        timed = bool(e.get("HasTime")) and not e.get("AllDay")
-        low, high = e.get("Price"), e.get("PriceHigh")
-        price = (e.get("PriceText") or "").strip() or ("Free" if e.get("Free") else None if low is None else f"${low:g}–${high:g}" if high and high != low else f"${low:g}")
-        yield event(
-            e["PId"], e["Name"].strip(), e["DateStart"][:16], timed=timed, local_end=e["DateEnd"][:16] if timed and e.get("DateEnd") else None, description=long_text(e.get("Description")), venue_name=(e.get("Venue") or "").strip(),
-            address=join_parts(e.get("Address"), e.get("CityState"), e.get("Zip")), municipality_hint=city, cost_text=price, is_free=True if e.get("Free") else None, image_url=e.get("LargeImg") or e.get("MediumImg"),
-            url=f"{options.get('origin', '').rstrip('/')}/#/details/{slug(e['Name'])}/{e['PId']}", placed=True,
-        )
-
-
-def eventbrite(payload: str, options: dict, window: Window) -> Rows:
-    """Search results: no online events, none that begin after the window; all must be placed."""
-    for e in json.loads(payload)["events"]["results"]:
-        if e.get("is_online_event") or not e.get("start_date") or e["start_date"] > window[1]:
-            continue
-        venue, tickets = e.get("primary_venue") or {}, e.get("ticket_availability") or {}
-        where = venue.get("address") or {}
-        timed = bool(e.get("start_time")) and not e.get("hide_start_date")
-        last, until = e.get("end_date"), e.get("end_time")
-        end = f"{last}T{until[:5]}" if timed and last and until else f"{last}T23:59" if not timed and last and last != e["start_date"] else None
-        money = lambda k: "$" + v.strip().removesuffix(".00") if (v := (tickets.get(k) or {}).get("major_value")) else None
-        low, high = money("minimum_ticket_price"), money("maximum_ticket_price")
-        price = "Free" if tickets.get("is_free") else f"{low}–{high}" if low and high and high != low else low
-        picture = e.get("image") or {}
-        yield event(
-            e["id"], ("CANCELLED: " if e.get("is_cancelled") else "") + e["name"].strip(), f"{e['start_date']}T{(e.get('start_time') or '00:00')[:5]}", timed=timed, local_end=end, description=long_text(e.get("summary")),
-            venue_name=(venue.get("name") or "").strip(), address=(where.get("localized_address_display") or "").strip(), municipality_hint=(where.get("city") or "").strip(), cost_text=price, is_free=tickets.get("is_free"),
-            categories=[t["display_name"] for t in e.get("tags") or [] if t.get("prefix") in ("EventbriteCategory", "EventbriteSubCategory") and t.get("display_name")],
-            image_url=(picture.get("image_sizes") or {}).get("large") or picture.get("url"), url=e["url"], placed=True,
-        )
-
-
-def ticketmaster(payload: str, options: dict, window: Window) -> Rows:
-    """Events of venues: no tests, no open dates; always paid. The smallest wide picture that is large enough."""
-    dollars = lambda n: f"${n:.0f}" if n == int(n) else f"${n:.2f}"
-    for e in (json.loads(payload).get("_embedded") or {}).get("events") or []:
-        start = (e.get("dates") or {}).get("start") or {}
-        if e.get("test") or start.get("dateTBA") or start.get("dateTBD") or not start.get("localDate"):
-            continue
-        venue = ((e.get("_embedded") or {}).get("venues") or [{}])[0]
-        city, line = ((venue.get("city") or {}).get("name") or "").strip(), (venue.get("address") or {}).get("line1")
-        timed = bool(start.get("localTime")) and not start.get("timeTBA") and not start.get("noSpecificTime")
-        state = {"cancelled": "CANCELLED: ", "rescheduled": "RESCHEDULED: "}.get(((e["dates"].get("status")) or {}).get("code"), "")
-        price = next((p for p in e.get("priceRanges") or [] if isinstance(p.get("min"), (int, float)) and p["min"] > 0), None)
-        images = e.get("images") or []
-        wide = sorted((i for i in images if i.get("ratio") == "16_9" and (i.get("width") or 0) >= 1024), key=lambda i: i["width"]) or sorted(images, key=lambda i: -(i.get("width") or 0))
-        yield event(
-            e["id"], state + e["name"].strip(), f"{start['localDate']}T{(start.get('localTime') or '00:00')[:5]}", timed=timed, description=long_text(e.get("info") or e.get("pleaseNote")), venue_name=(venue.get("name") or "").strip(),
-            address=join_parts(line, city, venue.get("postalCode")), municipality_hint=city, cost_text=price and (f"{dollars(price['min'])}–{dollars(price['max'])}" if price.get("max") and price["max"] != price["min"] else dollars(price["min"])), is_free=False,
-            categories=[n for c in e.get("classifications") or [] for k in ("segment", "genre", "subGenre") if (n := (c.get(k) or {}).get("name")) and n != "Undefined"], image_url=wide[0]["url"] if wide else None, url=e["url"], placed=True,
-        )
-
-
-def communico(payload: str, options: dict, window: Window) -> Rows:
-    """A library's window in one list: no private and no online rows; free only if nothing is billed."""
-    host = options.get("origin", "")
-    for e in json.loads(payload):
-        place = (e.get("location") or "").strip()
-        if e.get("private_event") == "1" or (e.get("event_type") or "INPERSON") != "INPERSON" or place.lower() == "online":
-            continue
-        fee, outside = e.get("registration_cost"), (e.get("venue_name") or "").strip()
-        free = fee == "0" and e.get("enable_billing") == "0"
-        yield event(
-            e["id"], " — ".join(t for t in (e["title"].strip(), (e.get("sub_title") or "").strip()) if t), e["event_start"], local_end=e.get("event_end"), description=long_text(e.get("long_description") or e.get("description")),
-            venue_name=outside or place, municipality_hint=outside, cost_text="Free" if free else f"${fee}" if fee else None, is_free=True if free else None, categories=[c.strip() for c in [*(e.get("tagsArray") or []), *(e.get("agesArray") or [])] if c.strip()],
-            image_url=f"https://{host}/images/events/{host.split('.')[0]}/{e['image']}" if e.get("image") else None, url=(e.get("url") or "").strip() or f"https://{host}/event/{e['id']}",
-        )
-
-
-def read_ics(text: str) -> list[dict]:
-    """VEVENT properties of a calendar: name to (value, parameters), unfolded; values are still escaped."""
-    found, now = [], None
-    for line in re.sub(r"\n[ \t]", "", re.sub(r"\r\n?", "\n", text)).split("\n"):
-        if line == "BEGIN:VEVENT":
-            now = {}
-        elif line == "END:VEVENT":
-            found += [now] if now and "UID" in now and "DTSTART" in now else []
-            now = None
-        elif now is not None and ":" in line:
-            head, value = line.split(":", 1)
-            name, *params = head.split(";")
-            now[name.upper()] = (value, {k.upper(): v.strip('"') for k, _, v in (p.partition("=") for p in params) if v})
-    return found
-
-
-def ics(payload: str, options: dict, window: Window) -> Rows:
-    """Calendar feeds; an all-day end is the day after. Escaped backslashes stay doubled."""
-    if "BEGIN:VCALENDAR" not in payload:
-        raise ValueError("not an iCalendar feed")
-    literal = lambda v: re.sub(r"\\([nN;,])", lambda m: "\n" if m[1] in "nN" else m[1], v).strip()
-
-    def moment(value: str, params: dict) -> tuple[str, bool] | None:
-        if m := re.fullmatch(r"(\d{4})(\d{2})(\d{2})", value.strip()):
-            return "-".join(m.groups()), True
-        if (m := re.fullmatch(r"(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})\d{2}(Z?)", value.strip())) and params.get("VALUE") != "DATE":
-            local = f"{m[1]}-{m[2]}-{m[3]}T{m[4]}:{m[5]}"
-            return (zulu_at_zone(local, options.get("timezone", ZONE)) if m[6] else local), False
-        return None
-
-    for e in read_ics(payload):
-        start, end = moment(*e["DTSTART"]), moment(*e["DTEND"]) if "DTEND" in e else None
-        if start is None or not inside(start[0], window):
-            continue
-        get = lambda k: literal(e[k][0]) if k in e else None
-        where = get("LOCATION") or ""
-        venue, _, rest = where.partition(",")
-        numbered = bool(re.search(r"\d", rest))
-        picture = next((v for k in ("X-TKF-FEATURED-IMAGE", "X-IMAGE", "X-GOOGLE-CALENDAR-IMAGE") if (v := get(k) or "").startswith("https://")), None)
-        yield event(
-            e["UID"][0].strip(), get("SUMMARY") if "SUMMARY" in e else "Untitled event", start[0], timed=not start[1], local_end=end and (f"{shift(end[0][:10], -1)}T23:59" if start[1] else end[0]), description=shorten(get("DESCRIPTION") or ""),
-            venue_name=venue.strip() if numbered else where, address=where if numbered else None, municipality_hint=where, categories=[c.strip() for c in (get("CATEGORIES") or "").split(",") if c.strip()], image_url=picture,
-        ) | {"url": (get("URL") or "")}
-
-
-def libcal(payload: str, options: dict, window: Window) -> Rows:
-    """Feeds of several calendars of a library: a JSON object of feeds by calendar id, or one feed alone. Only the
-    calendars that the options list count, in their order; an event of several is kept once."""
-    feeds = json.loads(payload) if payload.lstrip().startswith("{") else {"": payload}
-    wanted = [c.strip() for c in options.get("calendars", "").split(",") if c.strip()] if "" not in feeds else [""]
-    seen = set()
-    for calendar in wanted or list(feeds):
-        if calendar not in feeds:
-            raise ValueError(f"no feed of calendar {calendar}")
-        for row in ics(feeds[calendar], options, window):
-            if row["external_id"] not in seen:
-                seen.add(row["external_id"])
-                yield row
-
-
-def sitefinity(payload: str, options: dict, window: Window) -> Rows:
-    """An OData page; the clock is that of the offset fields. Recurring events are an error, not a guess."""
-    for e in json.loads(payload)["value"]:
-        if e.get("IsRecurrent") or e.get("RecurrenceExpression"):
-            raise ValueError(f"{e.get('Title')} recurs")
-        start, end = e["EventStartWithOffset"][:16], (e.get("EventEndWithOffset") or "")[:16] or None
-        timed = not e.get("AllDayEvent") and not start.endswith("T00:00")
-        if end and e.get("AllDayEvent") and end.endswith("T00:00"):
-            end = f"{shift(end[:10], -1)}T23:59"
-        parts = [p.strip() for p in (e.get("Location"), e.get("Street"), e.get("City")) if p and p.strip()]
-        whole = ", ".join(parts)
-        numbered = bool(re.search(r"\d", whole.partition(",")[2]))
-        yield event(
-            e["Id"], e["Title"].strip(), start, timed=timed, local_end=end if end and end > start else None, description=long_text(e.get("Content") or e.get("Summary") or e.get("Description")),
-            venue_name=whole.partition(",")[0].strip() if numbered else whole, address=whole if numbered else None, municipality_hint=(e.get("City") or "").strip(), cost_text=(e.get("Admission") or "").strip(),
-            organizer=(e.get("ContactName") or "").strip(), image_url=p if (p := e.get("ImagePath") or "").startswith("https://") else None, url=f"{options.get('origin', '')}{options.get('detail', '')}{e.get('ItemDefaultUrl', '')}",
-        )
-
-
-def growthzone(payload: str, options: dict, window: Window) -> Rows:
-    """A chamber's XML list: approved events; fees of vendors and "free for members" are no admission."""
-    import xml.etree.ElementTree as et
-
-    if "<ArrayOfEventDisplay" not in payload:
-        raise ValueError("not an event list")
-    for record in et.fromstring(re.sub(r'\sxmlns(:\w+)?="[^"]*"', "", payload).encode()).iter("EventDisplay"):
-        raw = lambda tag: (record.findtext(tag) or "").strip()  # noqa: E731, B023
-        field = lambda tag: " ".join(plain(raw(tag)).split()) or None  # noqa: E731, B023
-        if raw("Status") != "APPROVED" or not (raw("EventID") and field("Name") and raw("StartDate") and raw("Slug")) or not inside(raw("StartDate"), window):
-            continue
-        start, end = raw("StartDate")[:16], raw("EndDate")[:16]
-        price = field("AdmissionDesc") or ""
-        # What is charged to others than visitors, and what is free to members only.
-        others = re.search(r"\b(float|vendor|booth|table|exhibitor|sponsor|entrant)s?\b.{0,20}\b(entr|fee|rate|cost|price)|entry fee|\bfree\b[^.]{0,30}\b(members?|membership)\b", price, re.IGNORECASE)
-        street, city = field("MapAddr1"), field("MapCity")
-        yield event(
-            raw("EventID"), field("Name"), start, timed=raw("IsAllDayEvent") != "true", local_end=end if end > start else None, description=shorten(field("Description") or ""), address=join_parts(street, city) if street else field("LocationDesc"),
-            municipality_hint=city, cost_text=None if others or re.fullmatch(r"(?i)n/?a", price) else price, organizer=field("ContactDesc"), url=f"{options.get('origin', '')}/events/details/{raw('Slug')}-{raw('EventID')}",
-        )
-
-
 def tixhub(payload: str, options: dict, window: Window) -> Rows:
     """{index, runs}: a box office table, and the page of each run by its event; a run is a row for each performance."""
     given, tenant = json.loads(payload), options.get("origin", "")
@@ -448,24 +250,6 @@ def film_nights(payload: str, options: dict, window: Window) -> Rows:
         raise ValueError("no films on the page")
 
 
-def cfmws(payload: str, options: dict, window: Window) -> Rows:
-    """The list that a base's page assigns to loadedData. Recurring events are an error."""
-    at = payload.find("var loadedData")
-    if at < 0:
-        raise ValueError("no loadedData on the page")
-    place = options.get("place", "")
-    for e in json.JSONDecoder().raw_decode(payload, payload.index("[", at))[0]:
-        if e.get("event_virtual"):
-            continue
-        if (e.get("event_recurrence") or "None") != "None":
-            raise ValueError(f"{e['event_name']} recurs")
-        read = lambda v: f"{v.strip()[:10]}T{clock(v.strip()[10:])}"
-        start, end = read(e["event_startdate"]), read(e["event_enddate"]) if e.get("event_enddate") else None
-        if inside(start, window):
-            path = (e.get("event_externalurl") or "").strip() or (e.get("event_cta_link") or "").strip()
-            yield event(f"{path or e['event_name']}@{start[:10]}", e["event_name"].strip(), start, local_end=end if end and end > start else None, venue_name=(e.get("event_location") or "").strip() or place, municipality_hint=place, categories=[e["event_demo"]] if e.get("event_demo") not in (None, "", "All") else [], url=path if path.startswith("http") else f"{options.get('origin', '')}{path}")
-
-
 def govstack_detail(html: str, host: str) -> dict:
     """Description up to the toggle, and the poster, of an event's own page."""
     box = tree(html).one("div", "icrt-calendarContentDetail")
@@ -492,21 +276,20 @@ def drupal_detail(html: str, origin: str) -> dict:
     return {"description": "\n\n".join(t for t in (field("body"), field("field-comments")) if t) or None, "cost_text": field("field-cost"), "image_url": urljoin(origin, src) if src and not re.search("placeholder|icon|logo|spacer", src, re.IGNORECASE) else None}
 
 
-ADAPTERS: dict[str, Callable[[str, dict, Window], Rows]] = {
-    "govstack": govstack, "drupal-events": drupal, "eventon": eventon, "tribe": tribe, "spaces": spaces, "cityspark": cityspark, "eventbrite": eventbrite, "ticketmaster": ticketmaster,
-    "communico": communico, "libcal": libcal, "ics": ics, "sitefinity": sitefinity, "growthzone": growthzone, "tixhub": tixhub, "mat-film-nights": film_nights, "cfmws": cfmws,
-}
+#: Platforms of pages; those of JSON, XML and iCalendar are columns.
+ADAPTERS: dict[str, Callable[[str, dict, Window], Rows]] = {"govstack": govstack, "drupal-events": drupal, "eventon": eventon, "spaces": spaces, "tixhub": tixhub, "mat-film-nights": film_nights}
 DETAILS: dict[str, Callable[[str, str], dict]] = {"govstack": govstack_detail, "drupal-events": drupal_detail}
 _FIELDS = [f.split()[0] for f in RAW.replace("\n", " ").split(", ")]
 
 
-def raw_events(payloads: DataFrame, window: Window) -> tuple[DataFrame, DataFrame]:
+def raw_events(payloads: DataFrame, window: Window, platforms: Collection[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Raw events of payloads, and the payloads that failed with their errors.
 
     payloads: source_slug, platform, options (map), part (its place among the source's payloads), payload.
     Payloads are parsed once, and what was read is stored. A row's position is its place in the payload behind
     that of the payload (2^32 to each). One payload that can't be read never stops the others, nor the rest of its source. Rows that must be
-    placed and can't be are dropped, and so are daily series that run away (tribe)."""
+    placed and can't be are dropped, and so are daily series that run away (tribe). `platforms` names those that the
+    table holds, where they are known, so that the plan has no part for others; rows of others are then not read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -521,7 +304,13 @@ def raw_events(payloads: DataFrame, window: Window) -> tuple[DataFrame, DataFram
             yield pd.DataFrame(out, columns=[*_FIELDS, "platform", "placed", "error"]).astype(object).where(lambda d: d.notna(), None)
 
     def parse(some: DataFrame) -> DataFrame:
-        return some.select("source_slug", "platform", "options", "part", "payload").mapInPandas(run, f"{RAW}, platform string, placed boolean, error string")
+        """Documents are read by columns, pages by Python; a table of one kind only leaves the other part empty."""
+        known = [p for p in columns.PLATFORMS if platforms is None or p in platforms]
+        pages = some.where(~F.coalesce(F.col("platform").isin(*known), F.lit(False))).select("source_slug", "platform", "options", "part", "payload")
+        if platforms is not None and set(known) == set(platforms):
+            return columns.parse(some, window, known)
+        read = pages.mapInPandas(run, f"{RAW}, platform string, placed boolean, error string")
+        return columns.parse(some, window, known).unionByName(read) if known else read
 
     def placeable(rows: DataFrame) -> DataFrame:
         place = resolve_municipality(F.col("municipality_hint"), F.col("address"), F.col("venue_name"))

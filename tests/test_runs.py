@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fairground.operators import filters, pairs, reconcile
 from fairground.operators.graph import components
 from fairground.plans.runs import deduplicate, ingest
+from fairground.sources import columns
 from fairground.sources.adapters import ADAPTERS, drupal_detail, govstack_detail, raw_events
 from fairground.storage import Snapshots
 from fairground.streaming import incremental
@@ -139,7 +140,7 @@ def test_ingest_isolates_failures(spark):
     made = spark.createDataFrame([("good", "ics", {"timezone": "America/Toronto"}, 0, feed("a", "b", "a")), ("bad", "ics", {}, 0, "<html>"), ("empty", "tribe", {}, 0, '{"events":[]}')], "source_slug string, platform string, options map<string,string>, part int, payload string")
     sources = spark.createDataFrame([(s, "media", None, "America/Toronto") for s in ("good", "bad", "empty")], "slug string, kind string, municipality_slug string, timezone string")
     stored = incremental.with_cursors(table(spark, [listing(1, id="bad:1", source_slug="bad"), listing(2, id="empty:2", source_slug="empty"), listing(3, id="good:c", source_slug="good", external_id="c")]).drop("cluster_id"))
-    done = ingest(made, WINDOW, sources, stored, "2026-06-01")
+    done = ingest(made, WINDOW, sources, stored, "2026-06-01", ["ics", "tribe"])
     state = {r["id"]: r["active"] for r in done.listings.collect()}
     assert state == {"bad:1": True, "empty:2": True, "good:a": True, "good:b": True, "good:c": False}
     assert [r["source_slug"] for r in done.failed.collect()] == ["bad"] and done.skipped.first()["reason"] == "duplicate external id in batch"
@@ -159,11 +160,51 @@ PAYLOADS = {
 }
 
 
-@pytest.mark.parametrize("platform", PAYLOADS)
-def test_adapters(platform):
-    payload, want = PAYLOADS[platform]
-    rows = list(ADAPTERS[platform](payload if isinstance(payload, str) else json.dumps(payload), {"origin": "https://p"}, WINDOW))
-    assert {k: rows[0].get(k) for k in want} == want
+PAYLOADS |= {
+    "tribe": ({"events": [{"id": 4, "title": "Jazz &#8211; Fun &amp; <b>more</b>", "start_date": "2026-07-01 19:00:00", "url": "u", "venue": [], "image": False, "organizer": [{"organizer": "Club"}], "categories": [{"name": "Music"}, {"name": ""}], "description": "<p>One</p><p>&#38;lt; two&nbsp;three</p><script>x</script>"}, {"id": 5, "title": "h", "start_date": "2026-07-01", "url": "u", "hide_from_listings": True}]}, {"external_id": "4", "title": "Jazz – Fun & more", "description": "One\n< two three", "venue_name": None, "image_url": None, "organizer": "Club", "categories": ["Music"], "time_precision": "exact"}),
+    "communico": ([{"id": 3, "title": " Craft ", "sub_title": "Part 2", "event_start": "2026-07-01 10:00:00", "registration_cost": "0", "enable_billing": "0", "location": "Main", "image": "a.png", "tagsArray": [" Kids ", ""]}, {"id": 4, "title": "x", "event_start": "y", "location": "Online"}], {"title": "Craft — Part 2", "cost_text": "Free", "is_free": True, "venue_name": "Main", "categories": ["Kids"], "url": "https://https://p/event/3"}),
+    "ics": ("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:9\r\nDTSTART;VALUE=DATE:20260701\r\nDTEND;VALUE=DATE:20260703\r\nSUMMARY:Fair\\, big\r\n  one\r\nLOCATION:Hall\\, 5 Elm St\r\nCATEGORIES:Art, Music\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nDTSTART:20260701T000000Z\r\nEND:VEVENT\r\nEND:VCALENDAR", {"external_id": "9", "title": "Fair, big one", "local_start": "2026-07-01T00:00", "local_end": "2026-07-02T23:59", "venue_name": "Hall", "address": "Hall, 5 Elm St", "categories": ["Art", "Music"], "all_day": True}),
+    "cfmws": ('<script>var a = "["; var loadedData = [{"event_name": "Swim ]", "event_startdate": "2026-07-01 9:30:00 a.m.", "event_enddate": "2026-07-01 11:00 PM", "event_demo": "All", "event_externalurl": "/s"}, {"event_name": "v", "event_virtual": true}]; draw(loadedData)</script>', {"external_id": "/s@2026-07-01", "title": "Swim ]", "local_start": "2026-07-01T09:30", "local_end": "2026-07-01T23:00", "categories": [], "url": "https://p/s"}),
+}
+
+
+def payload_table(spark, *rows):
+    return spark.createDataFrame(list(rows), "source_slug string, platform string, options map<string,string>, part int, payload string")
+
+
+def test_adapters_of_documents_and_pages(spark):
+    """Each platform's first row, all platforms in one table: columns and Python together."""
+    text = lambda p: p if isinstance(p, str) else json.dumps(p)
+    made = payload_table(spark, *[(k, k, {"origin": "https://p", "timezone": "America/Toronto"}, 0, text(p)) for k, (p, _) in PAYLOADS.items()])
+    rows, failed = raw_events(made, WINDOW)
+    first = {}
+    for r in rows.orderBy("source_slug", "position").collect():
+        first.setdefault(r["source_slug"], r.asDict())
+    assert failed.collect() == [] and first.keys() == PAYLOADS.keys()
+    for k, (_, want) in PAYLOADS.items():
+        assert {f: first[k][f] for f in want} == want
+
+
+def test_documents_that_fail_add_only_their_error(spark):
+    bad = [("not json", "tribe"), ('{"events": {}}', "tribe"), ('{"events": [{"id": 1, "title": "t", "start_date": "2026-07-01"}]}', "tribe"), (None, "communico"), ('{"Success": false, "ErrorMessage": "busy"}', "cityspark"), ('{"value": [{"Id": 1, "Title": "t", "EventStartWithOffset": "2026-07-01T10:00", "IsRecurrent": true}]}', "sitefinity"), ("<html>", "growthzone"), ("<ArrayOfEventDisplay><EventDisplay>", "growthzone"), ("<html>", "cfmws"), ("", "ics"), ('{"1": "x"}', "libcal"), ("x", "unknown")]
+    fine = [('{"events": []}', "tribe"), ("[]", "communico"), ('{"page": {}}', "ticketmaster"), ('{"Success": true}', "cityspark"), ("<ArrayOfEventDisplay/>", "growthzone"), ("BEGIN:VCALENDAR\nEND:VCALENDAR", "ics")]
+    rows, failed = raw_events(payload_table(spark, *[(f"{i}", p, {}, 0, x) for i, (x, p) in enumerate(bad + fine)]), WINDOW)
+    assert rows.count() == 0 and sorted(int(r["source_slug"]) for r in failed.collect()) == list(range(len(bad)))
+    assert failed.where("source_slug = '4'").first()["error"] == "busy"
+
+
+def test_first_copies_and_calendars_of_a_library(spark):
+    copies = {"Success": True, "Value": [{"PId": k % 3, "Name": f"n{k}", "DateStart": "2026-07-01T19:00:00", "CityState": "Barrie, ON"} for k in range(9)]}
+    feed = lambda *uids: "BEGIN:VCALENDAR\n" + "".join(f"BEGIN:VEVENT\nUID:{u}\nDTSTART:20260701T190000\nSUMMARY:{u}\nEND:VEVENT\n" for u in uids) + "END:VCALENDAR"
+    made = payload_table(spark, ("c", "cityspark", {}, 0, json.dumps(copies)), ("l", "libcal", {"calendars": "2, 1"}, 0, json.dumps({"1": feed("a", "b"), "2": feed("b", "c"), "3": feed("d")})), ("m", "libcal", {"calendars": "2,9"}, 0, json.dumps({"2": feed("b")})))
+    rows, failed = raw_events(made, WINDOW, ["cityspark", "libcal"])
+    got = [(r["source_slug"], r["title"]) for r in rows.orderBy("source_slug", "position").collect()]
+    assert got == [("c", "n0"), ("c", "n1"), ("c", "n2"), ("l", "b"), ("l", "c"), ("l", "a")] and [r["source_slug"] for r in failed.collect()] == ["m"]
+
+
+def test_documents_are_read_without_python(spark):
+    made = payload_table(spark, ("s", "tribe", {}, 0, '{"events": []}'))
+    assert "Python" not in columns.parse(made, WINDOW, ["tribe"])._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rows_and_details():
@@ -177,4 +218,4 @@ def test_runaway_series_are_dropped(spark):
     days = pd.date_range("2026-06-01", periods=95).strftime("%Y-%m-%d %H:%M:%S")
     body = json.dumps({"events": [{"id": i, "title": "Daily", "start_date": d, "url": "u"} for i, d in enumerate(days)] + [{"id": 999, "title": "Once", "start_date": "2026-07-01 10:00:00", "url": "u"}]})
     made = spark.createDataFrame([("s", "tribe", {}, 0, body)], "source_slug string, platform string, options map<string,string>, part int, payload string")
-    assert [r["title"] for r in raw_events(made, WINDOW)[0].collect()] == ["Once"]
+    assert [r["title"] for r in raw_events(made, WINDOW, ["tribe"])[0].collect()] == ["Once"]
