@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..operators.spread import HOT, with_hot
 from ..storage import Scratch, drop_materialized, materialize, shared_dir, table_path, write_bytes
 
-__all__ = ["HOT", "Scratch", "bounded_batches", "drop_materialized", "free_name", "materialize", "partitions", "positional", "ranked", "read", "shared_dir", "table_path", "whole", "with_hot", "write_bytes"]
+__all__ = ["HOT", "Scratch", "bounded_batches", "drop_materialized", "free_name", "materialize", "partitions", "positional", "ranked", "read", "shared_dir", "sifted", "table_path", "whole", "with_hot", "write_bytes"]
 
 #: Bytes of an Arrow batch sent to a Python worker, so that long texts do not add up: a task holds some of these,
 #: outside the heap and as Python objects.
 ARROW_BATCH_BYTES = 8 << 20
+#: Bits of a sieve for each key that it holds, and at most (32 MB; beyond, only more rows pass that are not wanted).
+SIEVE_BITS, SIEVE_MOST = 16, 1 << 28
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +43,20 @@ def ranked(df: DataFrame, group: str, cell: str, order: list[str], out: str) ->
     return df.join(F.broadcast(offsets), [group, cell]).withColumn(out, F.col("before") + F.row_number().over(within) - 1).drop("before", cell)
 
 
+def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose key is not in wanted (a stored table with that column); all others stay.
+
+    For a join with wanted: long rows that it would not keep are not shuffled. The sieve is one bit for each hash of
+    a key, broadcast as bitmaps of 4,096 bytes; it holds SIEVE_BITS bits a key and never more than SIEVE_MOST."""
+    bits = min(SIEVE_MOST, SIEVE_BITS * max(1, wanted.count()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    cell, at = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1)).cast("int")
+    sieve = wanted.groupBy(cell.alias("_cell")).agg(F.bitmap_construct_agg(at).alias("_bitmap"))
+    octet = F.conv(F.hex(F.substring("_bitmap", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    holds = F.getbit(octet, at.bitwiseAND(F.lit(7))) == 1
+    return rows.join(F.broadcast(sieve), cell == F.col("_cell")).where(holds).select(*rows.columns)
+
+
 def whole(df: DataFrame) -> Column:
     """All columns of df as one struct, so that an operator's own columns beside it clash with none of them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

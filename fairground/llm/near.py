@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..shipping import by_value
-from .common import Scratch, bounded_batches, free_name
+from .common import Scratch, bounded_batches, free_name, sifted
 
 SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
 #: A segment's ball: its value with up to FLIPS of its UNSURE least certain bits turned over.
@@ -160,16 +160,19 @@ def likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(close("a", "b", similarity)).select("a", "b")
 
 
-def sets_of(asked: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """copy and hashes, the whole shingle set, of each class asked for (copy): its texts are read again."""
-    texts = rows.select("row", "text").join(classes.join(asked, "copy", "left_semi").select("copy", F.col("best.row").alias("row")), "row").select("copy", "row", "text").dropDuplicates(["copy"])
+def sets_of(asked: DataFrame, classes: DataFrame, rows: DataFrame, keep: Scratch) -> DataFrame:
+    """copy and hashes, the whole shingle set, of each class asked for (copy), stored: its texts are read again."""
+    wanted = keep.table(classes.join(asked, "copy", "left_semi").select("copy", F.col("best.row").alias("row")), "wanted")
+    texts = sifted(rows.select("row", "text"), "row", wanted).join(wanted, "row").select("copy", "row", "text").dropDuplicates(["copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = ShingleSets()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sets(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["copy", "hashes"])
 
-    return texts.select("copy", "text").mapInArrow(run, "copy binary, hashes array<bigint>")
+    sets = keep.table(texts.select("copy", "text").mapInArrow(run, "copy binary, hashes array<bigint>"), "sets")
+    keep.drop(wanted)
+    return sets
 
 
 def verified(near: DataFrame, classes: DataFrame, rows: DataFrame, similarity: float, keep: Scratch, sets: DataFrame | None = None) -> DataFrame:
@@ -177,7 +180,7 @@ def verified(near: DataFrame, classes: DataFrame, rows: DataFrame, similarity: f
     near = keep.table(near, "close")
     made = None
     if sets is None:
-        made = sets = keep.table(sets_of(near.select(F.col("a").alias("copy")).union(near.select("b")).distinct(), classes, rows), "sets")
+        made = sets = sets_of(near.select(F.col("a").alias("copy")).union(near.select("b")).distinct(), classes, rows, keep)
     both = near.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     shared = F.size(F.array_intersect("left", "right"))
     found = keep.table(both.where(shared / (F.size("left") + F.size("right") - shared) >= similarity).select("a", "b"), "near")
@@ -241,7 +244,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     more = side(owners.where("apart"), "a").join(side(members, "b"), "bucket").where(once & fits)
     more = more.unionByName(side(owners.where(~F.col("apart")), "a").join(side(members.where(~F.col("owns") & F.col("apart")), "b"), "bucket").where(fits))
     more = keep.table(more.select(F.least("copy_a", "copy_b").alias("low"), F.greatest("copy_a", "copy_b").alias("high")).distinct(), "likely")
-    sets = keep.table(sets_of(more.select(F.col("low").alias("copy")).union(more.select("high")).distinct(), classes, named), "sets")
+    sets = sets_of(more.select(F.col("low").alias("copy")).union(more.select("high")).distinct(), classes, named, keep)
     alone = sets.select("copy", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("sets"), F.first("copy").alias("copy")).where("sets = 1").groupBy("copy").agg(F.count("*").alias("alone"))
     common = sets.select("copy", F.size("hashes").alias("n")).join(alone, "copy", "left").select("copy", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
     for c in ("low", "high"):
