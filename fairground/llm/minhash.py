@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..operators.graph import components
 from ..shipping import by_value
-from .common import Scratch, bounded_batches, drop_materialized, with_hot
+from .common import Scratch, bounded_batches, drop_materialized, sifted, with_hot
 from .near import ShingleSets
 
 #: Permutations, each giving a minimum and a maximum; values of a band; least similarity in percent.
@@ -88,10 +88,10 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """copy and hashes, the whole shingle set, of each of wanted (copy, key): key is a row that has it."""
+    """copy and hashes, the whole shingle set, of each of wanted (copy, key; stored): key is a row that has it."""
     text = F.col(f"`{text_col}`")
     key = F.md5(F.concat_ws(" ", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.md5(F.coalesce(text, F.lit("")))))
-    texts = docs.select(key.alias("key"), text.alias("text")).join(wanted, "key").select("copy", "text").dropDuplicates(["copy"])
+    texts = sifted(docs.select(key.alias("key"), text.alias("text")), "key", wanted).join(wanted, "key").select("copy", "text").dropDuplicates(["copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = ShingleSets()
@@ -169,7 +169,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = classes.select("copy", F.posexplode("bands").alias("band", "bucket"))
     buckets = keep.table(own.groupBy("bucket").agg(F.count("*").alias("size"), F.lit(True).alias("shared")).where("size > 1"), "buckets")
     members = keep.table(with_hot(own, ["bucket"], buckets, "size", ["shared"]).where("shared").drop("shared"), "members")
-    wanted = classes.join(members.select("copy").distinct(), "copy").select("copy", "key")
+    wanted = keep.table(classes.join(members.select("copy").distinct(), "copy").select("copy", "key"), "wanted")
     sets = keep.table(whole_sets(docs, id_col, text_col, wanted), "sets")
 
     placed = keep.table(classes.select("copy", F.col("copy").alias("root")), "placed")
