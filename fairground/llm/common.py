@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.spread import HOT, with_hot
 from ..storage import Scratch, drop_materialized, materialize, shared_dir, table_path, write_bytes
 
-__all__ = ["HOT", "Scratch", "bounded_batches", "drop_materialized", "free_name", "materialize", "partitions", "positional", "ranked", "read", "shared_dir", "sifted", "table_path", "whole", "with_hot", "write_bytes"]
+__all__ = ["HOT", "Scratch", "bounded_batches", "drop_materialized", "few", "free_name", "materialize", "partitions", "positional", "ranked", "read", "shared_dir", "sifted", "table_path", "whole", "with_hot", "write_bytes"]
 
 #: Bytes of an Arrow batch sent to a Python worker, so that long texts do not add up: a task holds some of these,
 #: outside the heap and as Python objects.
@@ -57,6 +57,11 @@ def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sieve), cell == F.col("_cell")).where(holds).select(*rows.columns)
 
 
+def few(rows: DataFrame, key: str, wanted: DataFrame, of: str | None = None) -> DataFrame:
+    """rows sifted by wanted's column `of` (the key's name if none is given) for a join that keeps few of them."""
+    return sifted(rows, key, wanted.select(F.col(of or key).alias(key)))
+
+
 def whole(df: DataFrame) -> Column:
     """All columns of df as one struct, so that an operator's own columns beside it clash with none of them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..operators.graph import components
 from ..shipping import by_value
-from .common import Scratch, bounded_batches, drop_materialized, sifted, with_hot
+from .common import Scratch, bounded_batches, drop_materialized, few, sifted, with_hot
 from .near import ShingleSets
 
 #: Permutations, each giving a minimum and a maximum; values of a band; least similarity in percent.
@@ -88,10 +88,12 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """copy and hashes, the whole shingle set, of each of wanted (copy, key; stored): key is a row that has it."""
+    """copy and hashes, the whole shingle set, of each of wanted (copy, key; stored): key is a row that has it.
+
+    Rows of one key have one text; they become one before the join, so that texts are shuffled once."""
     text = F.col(f"`{text_col}`")
     key = F.md5(F.concat_ws(" ", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.md5(F.coalesce(text, F.lit("")))))
-    texts = sifted(docs.select(key.alias("key"), text.alias("text")), "key", wanted).join(wanted, "key").select("copy", "text").dropDuplicates(["copy"])
+    texts = sifted(docs.select(key.alias("key"), text.alias("text")), "key", wanted).dropDuplicates(["key"]).join(wanted, "key").select("copy", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = ShingleSets()
@@ -116,9 +118,11 @@ def may_link(similarity: int) -> Column:
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int, keep: Scratch) -> DataFrame:
     """Those pairs (a, b) of classes whose whole sets have that similarity.
 
-    A class in many pairs is met in chunks of about CHUNK of them, its set once a chunk, so no task takes more."""
+    A class in many pairs is met in chunks of about CHUNK of them, its set once a chunk, so no task takes more.
+    Sets (stored) of classes in no pair are sifted out before they are joined."""
     pairs = keep.table(pairs, "asked")
     sizes = keep.table(pairs.groupBy("a").agg(F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")), "chunks")
+    sets = few(sets, "copy", sizes.select("a").union(pairs.select("b")), "a")
     dealt = with_hot(pairs, ["a"], sizes, "size", ["chunks"]).select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
     left = sets.join(sizes, sets["copy"] == sizes["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hashes").alias("left"))
     both = dealt.join(sets.toDF("b", "right"), "b").join(left, ["a", "chunk"])
@@ -157,7 +161,8 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets; only in buckets that then still hold several groups are classes of different groups compared with
     each other, once a pair, in chunks. There, shingles that no other such class has bound what two sets can
     share: this and the sizes rule out pairs exactly, two-bit signatures with a chance of some 1 in 100,000 to
-    lose a link. A pair at the similarity itself shares no band with chance (1 - s^ROWS)^BANDS (1 in 26,000 at
+    lose a link. All this is done with the classes of buckets that several share; the others only get their name
+    at the end. A pair at the similarity itself shares no band with chance (1 - s^ROWS)^BANDS (1 in 26,000 at
     85), which must not exceed MISSED. What passes is confirmed on the whole sets."""
     if (1 - (similarity / 100) ** ROWS) ** BANDS > MISSED or similarity > 100:
         raise ValueError(f"{BANDS} bands of {ROWS} values do not find pairs of similarity {similarity} %")
@@ -166,18 +171,24 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     has_words = marked.where("n > 0").groupBy("copy")
     classes = keep.table(has_words.agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.min("key").alias("key"), F.min("id").alias("low"), F.count("*").alias("size")), "classes")
 
+    rows = keep.table(marked.select("id", "copy", "n"), "rows")
+    keep.drop(marked)
+
     own = classes.select("copy", F.posexplode("bands").alias("band", "bucket"))
     buckets = keep.table(own.groupBy("bucket").agg(F.count("*").alias("size"), F.lit(True).alias("shared")).where("size > 1"), "buckets")
-    members = keep.table(with_hot(own, ["bucket"], buckets, "size", ["shared"]).where("shared").drop("shared"), "members")
-    wanted = keep.table(classes.join(members.select("copy").distinct(), "copy").select("copy", "key"), "wanted")
-    sets = keep.table(whole_sets(docs, id_col, text_col, wanted), "sets")
-
-    placed = keep.table(classes.select("copy", F.col("copy").alias("root")), "placed")
+    members = keep.table(with_hot(few(own, "bucket", buckets), ["bucket"], buckets, "size", ["shared"]).where("shared").drop("shared"), "members")
+    theirs = keep.table(members.select("copy").distinct(), "theirs")
+    several = keep.table(few(classes, "copy", theirs).join(theirs, "copy"), "several")
+    alike = keep.table(classes.select("copy", "low", "size"), "alike")
+    keep.drop(classes, buckets)
+    sets = keep.table(whole_sets(docs, id_col, text_col, several.select("copy", "key")), "sets")
+
+    placed = keep.table(several.select("copy", F.col("copy").alias("root")), "placed")
     for turn in range(TURNS):
         grouped, mixed = mixed_buckets(members, placed, turn, keep)
         star = with_hot(grouped, ["bucket"], mixed, "size", ["head"]).where(F.col("head.root") != F.col("root"))
         pairs = keep.table(star.select(F.col("head.copy").alias("a"), F.col("copy").alias("b")).distinct(), "stars")
-        sides = {c: classes.select(F.col("copy").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"}
+        sides = {c: several.select(F.col("copy").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"}
         heads = keep.table(pairs.groupBy("a").agg(F.count("*").alias("size")).join(sides["a"], "a"), "heads")
         near = with_hot(pairs.join(sides["b"], "b"), ["a"], heads, "size", ["n_a", "bits_a"]).where(may_link(similarity)).select("a", "b")
         placed = merged(placed, confirmed(near, sets, similarity, keep), keep)
@@ -185,27 +196,29 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grouped, mixed = mixed_buckets(members, placed, 0, keep)
     mixed = keep.table(mixed.select("bucket", F.col("head.root").alias("first"), F.col("size").alias("members"), "size"), "mixed")
     open_ = keep.table(with_hot(grouped, ["bucket"], mixed, "size", ["first", "members"]).where("members IS NOT NULL"), "open")
-    shown = classes.join(open_.select("copy").distinct(), "copy").select("copy", "n", "bits", "bands")
+    keep.drop(members)
+    shown = keep.table(several.join(open_.select("copy").distinct(), "copy").select("copy", "n", "bits", "bands"), "shown")
     for _ in range(2):  # without classes that cannot link, more shingles stand alone
-        asked = sets.join(shown.select("copy"), "copy").select("copy", F.explode("hashes").alias("hash"))
+        asked = few(sets, "copy", shown).join(shown.select("copy"), "copy").select("copy", F.explode("hashes").alias("hash"))
         alone = asked.groupBy("hash").agg(F.count("*").alias("sets"), F.first("copy").alias("copy")).where("sets = 1").groupBy("copy").agg(F.count("*").alias("alone"))
         shown = shown.select("copy", "n", "bits", "bands").join(alone, "copy", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
         shown = keep.table(shown.where(F.col("common") * 100 >= similarity * F.col("n")), "shown")
 
     tiles = F.ceil(F.col("members") / CHUNK).cast("int")
-    rows = open_.join(shown, "copy").withColumn("tiles", tiles)
+    dealt = open_.join(shown, "copy").withColumn("tiles", tiles)
     side = lambda of, c: of.select("bucket", "tile", "band", "first", *[F.col(k).alias(f"{k}_{c}") for k in ("copy", "root", "n", "bits", "bands", "common")])
-    left = side(rows.where("root <> first").withColumn("tile", F.pmod(F.xxhash64("copy"), "tiles").cast("int")), "a")
-    right = side(rows.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))), "b").drop("band", "first")
+    left = side(dealt.where("root <> first").withColumn("tile", F.pmod(F.xxhash64("copy"), "tiles").cast("int")), "a")
+    right = side(dealt.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))), "b").drop("band", "first")
     once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("first")) | (F.col("copy_a") < F.col("copy_b")))
     enough = F.least("common_a", "common_b") * (100 + similarity) >= similarity * (F.col("n_a") + F.col("n_b"))
     earlier = F.arrays_overlap(F.slice("bands_a", F.lit(1), F.col("band")), F.slice("bands_b", F.lit(1), F.col("band")))
     found = left.join(right, ["bucket", "tile"]).where(once & enough & may_link(similarity) & ~earlier)
     more = confirmed(found.select(F.col("copy_a").alias("a"), F.col("copy_b").alias("b")), sets, similarity, keep)
     last = merged(placed, more, keep)
-    lowest = classes.join(last, "copy").groupBy("root").agg(F.min("low").alias("component_id"))
-    named = keep.table(classes.select("copy", "size").join(last, "copy").join(lowest, "root").select("copy", "size", "component_id"), "named")
-    keep.close(marked, named)
-    placed = with_hot(marked.select("id", "copy", "n"), ["copy"], named, "size", ["component_id"])
+    lowest = several.join(last, "copy").groupBy("root").agg(F.min("low").alias("component_id"))
+    linked = last.join(lowest, "root").select("copy", "component_id")
+    named = keep.table(alike.join(linked, "copy", "left").select("copy", "size", F.coalesce("component_id", "low").alias("component_id")), "named")
+    keep.close(rows, named)
+    placed = with_hot(rows, ["copy"], named, "size", ["component_id"])
     lowest = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), lowest.alias("component_id"), F.col("id").eqNullSafe(lowest).alias("kept"))

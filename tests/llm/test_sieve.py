@@ -49,3 +49,39 @@ def test_minhash_shuffles_only_texts_of_shared_buckets(spark, monkeypatch):
     seen = passing(monkeypatch, minhash)
     assert {r["doc_id"] for r in minhash.minhash_dedup(documents(spark)).where("kept").collect()} == set(range(300))
     assert len(seen) == 1 and seen[0][0] == 305 and seen[0][1] < 60
+
+
+def test_minhash_goes_on_only_with_classes_of_shared_buckets(spark, monkeypatch):
+    own, placed, sets = [], [], []
+
+    def with_hot(rows, keys, *rest):
+        if keys == ["bucket"]:
+            own.append(rows.count())
+        return common.with_hot(rows, keys, *rest)
+
+    def mixed_buckets(members, roots, *rest):
+        placed.append(roots.count())
+        return mixed(members, roots, *rest)
+
+    mixed, few = minhash.mixed_buckets, getattr(common, "few", None)
+
+    def counted(rows, key, *rest):
+        out = few(rows, key, *rest)
+        if "hashes" in rows.columns:
+            sets.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "with_hot", with_hot)
+    monkeypatch.setattr(minhash, "mixed_buckets", mixed_buckets)
+    monkeypatch.setattr(minhash, "few", counted, raising=False)
+    assert {r["doc_id"] for r in minhash.minhash_dedup(documents(spark)).where("kept").collect()} == set(range(300))
+    assert own[0] < 305 * minhash.BANDS / 4 and max(placed) <= 10  # of 9,760 bands and 305 classes
+    assert sets and sets[0][0] <= 10 and sets[-1][1] == 0  # no class is left for the last turn
+
+
+def test_texts_of_one_row_name_are_one_set(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, "other")], "doc_id long, text string")
+    wanted = common.materialize(minhash.signed(docs, "doc_id", "text").groupBy("copy").agg(F.min("key").alias("key")), "wanted")
+    out = minhash.whole_sets(docs, "doc_id", "text", wanted)
+    assert sorted(len(r["hashes"]) for r in out.collect()) == [1, 2]
+    assert "hashpartitioning(copy" not in out._jdf.queryExecution().executedPlan().toString()  # texts are not shuffled twice
