@@ -25,8 +25,8 @@ BANDS = VALUES // ROWS
 SPREAD, MISSED = 4.5, 0.005
 #: Times that every class is compared with one class of each of its buckets before the rest of a bucket is.
 TURNS = 3
-#: Shingles hashed at once; pairs of one class, or members of one bucket, that one task takes.
-AT_ONCE, CHUNK = 1 << 12, 1024
+#: Shingles hashed at once; sets that a tile's classes meet, or members of one bucket, that one task takes; classes of a tile.
+AT_ONCE, CHUNK, TILE = 1 << 12, 1024, 64
 _RANDOM = np.random.default_rng(42)
 _XOR, _ODD = _RANDOM.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32), _RANDOM.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SALT, _MIX = _RANDOM.integers(0, 1 << 63, BANDS, dtype=np.uint64), _RANDOM.integers(0, 1 << 62, ROWS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,14 +118,19 @@ def may_link(similarity: int) -> Column:
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int, keep: Scratch) -> DataFrame:
     """Those pairs (a, b) of classes whose whole sets have that similarity.
 
-    A class in many pairs is met in chunks of about CHUNK of them, its set once a chunk, so no task takes more.
-    Sets (stored) of classes in no pair are sifted out before they are joined."""
+    Classes a are put into tiles of about TILE; a set b comes once to each tile that has classes to meet it, not
+    once a pair. What a tile meets is cut into chunks of about CHUNK sets, its own sets come once a chunk, so no
+    task takes more. Sets (stored) of classes in no pair are sifted out before they are joined."""
     pairs = keep.table(pairs, "asked")
-    sizes = keep.table(pairs.groupBy("a").agg(F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")), "chunks")
-    sets = few(sets, "copy", sizes.select("a").union(pairs.select("b")), "a")
-    dealt = with_hot(pairs, ["a"], sizes, "size", ["chunks"]).select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
-    left = sets.join(sizes, sets["copy"] == sizes["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hashes").alias("left"))
-    both = dealt.join(sets.toDF("b", "right"), "b").join(left, ["a", "chunk"])
+    firsts = keep.table(pairs.select("a").distinct(), "firsts")
+    tile = F.pmod(F.xxhash64("a"), F.lit(math.ceil(firsts.count() / TILE) or 1)).alias("tile")
+    asked = keep.table(pairs.groupBy(tile, "b").agg(F.collect_set("a").alias("those")), "asked")
+    sizes = keep.table(asked.groupBy("tile").agg(F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")), "chunks")
+    sets = few(sets, "copy", firsts.union(pairs.select("b")), "a")
+    dealt = with_hot(asked, ["tile"], sizes, "size", ["chunks"]).select("tile", "b", "those", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
+    own = firsts.select("a", tile).join(sizes, "tile").select("a", "tile", "chunks")
+    left = sets.join(own, sets["copy"] == own["a"]).select("a", "tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("hashes").alias("left"))
+    both = dealt.join(sets.toDF("b", "right"), "b").join(left, ["tile", "chunk"]).where(F.array_contains("those", F.col("a")))
     shared = F.size(F.array_intersect("left", "right"))
     return both.where(shared * (100 + similarity) >= similarity * (F.size("left") + F.size("right"))).select("a", "b")
 

@@ -105,3 +105,26 @@ def test_values_agree_as_often_as_sets_overlap():
             values = minhash.min_max(a), minhash.min_max(b)
             errors.append((values[0] == values[1]).mean() - len(a) / len(b))
     assert abs(np.mean(errors)) < 0.03 and max(map(abs, errors)) < 0.13
+
+
+def test_a_set_meets_a_tile_at_once(spark, monkeypatch):
+    rng, met = random.Random(8), []
+    sets = {f"c{i:02}".encode(): sorted(rng.sample(range(40), 34) + [100 + rng.randrange(3)]) for i in range(60)}
+    names = sorted(sets)
+    pairs = [(a, b) for a in names for b in names if a < b]
+
+    def with_hot(rows, *rest):
+        met.append(rows.count())
+        return hot(rows, *rest)
+
+    hot = minhash.with_hot
+    monkeypatch.setattr(minhash, "with_hot", with_hot)
+    monkeypatch.setattr(minhash, "CHUNK", 7)
+    monkeypatch.setattr(minhash, "TILE", 16, raising=False)
+    stored = minhash.Scratch(spark, "test")
+    table = stored.table(spark.createDataFrame(list(sets.items()), "copy binary, hashes array<bigint>"), "sets")
+    found = minhash.confirmed(spark.createDataFrame(pairs, "a binary, b binary"), table, 75, stored).collect()
+    want = [(a, b) for a, b in pairs if 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))]
+    assert 0 < len(want) < len(pairs) and sorted((bytes(r.a), bytes(r.b)) for r in found) == want
+    assert len(met) == 1 and met[0] <= 4 * len(names)  # of 1,770 pairs
+    assert not minhash.confirmed(spark.createDataFrame([], "a binary, b binary"), table, 75, stored).count()
