@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.spread import HOT, with_hot
 from ..storage import Scratch, drop_materialized, materialize, shared_dir, table_path, write_bytes
 
-__all__ = ["HOT", "Scratch", "bounded_batches", "drop_materialized", "few", "free_name", "materialize", "partitions", "positional", "ranked", "read", "shared_dir", "sifted", "table_path", "whole", "with_hot", "write_bytes"]
+__all__ = ["HOT", "Scratch", "bounded_batches", "drop_materialized", "few", "free_name", "materialize", "partitions", "positional", "ranked", "read", "release_freed", "shared_dir", "sifted", "table_path", "whole", "with_hot", "write_bytes"]
 
 #: Bytes of an Arrow batch sent to a Python worker, so that long texts do not add up: a task holds some of these,
 #: outside the heap and as Python objects.
@@ -26,6 +29,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+def release_freed() -> None:
+    """Give memory that this process has freed back to the system. Else glibc keeps it below any block in use, for as long as the driver runs."""
+    if sys.platform.startswith("linux") and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

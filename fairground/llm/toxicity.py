@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import by_value
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, release_freed
 from .labels import training_rows, with_score
 
 #: Labelled rows that a model is fitted on at most, and distinct n-grams of all of them (4 bytes each on the driver).
@@ -116,13 +116,14 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, smooth:
     used = np.flatnonzero(times >= in_texts)
     number = np.full(size, -1, np.int32)
     number[used] = np.arange(len(used), dtype=np.int32)
-    # Only these features stay, as 32-bit numbers: a few bytes for each of them and text.
+    # Only these features stay, as 32-bit numbers in one array: a few bytes for each of them and text.
+    ends = np.cumsum([np.count_nonzero(number[r] >= 0) for r in rows])
+    n, flat = len(ends), np.empty(int(ends[-1]), np.int32)
     for i, r in enumerate(rows):
-        rows[i] = number[r][number[r] >= 0]
-    ends = np.cumsum([len(r) for r in rows])
-    flat = np.concatenate(rows)
+        kept, rows[i] = number[r], None
+        flat[int(ends[i - 1]) if i else 0 : int(ends[i])] = kept[kept >= 0]
+    del r
     rows.clear()
-    n = len(ends)
 
     def by_feature(of_text: np.ndarray) -> np.ndarray:
         """The sum of a number of each text over the texts that have each feature, a few texts at a time."""
@@ -192,7 +193,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
     y = found.column("y").to_numpy().astype(float)
     weight = found.column("weight").to_numpy() * np.array([totals[k] / last[k][1] for k in y.astype(int)])
     del found
-    return fit_rows(texts, y, weight, in_texts=in_texts)
+    model = fit_rows(texts, y, weight, in_texts=in_texts)
+    release_freed()
+    return model
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, out: str = "score", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ def _settled(labels: DataFrame, rounds: int) -> DataFrame:
     for _ in range(rounds):
         far = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
         jumped = materialize(labels.join(far, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "labels")
-        moved = bool(jumped.where("moved").limit(1).count())
+        moved = not jumped.where("moved").isEmpty()
         drop_materialized(labels)
         labels = jumped.select("node", "root")
         if not moved:
@@ -28,7 +28,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     their ends; what remains are edges between ends, each once, and a new round on them. At least every second
     node goes in a round, and in a dense group nearly all do, so edges are joined but once or twice. Every
     step is written to the shared folder, which cuts the lineage, and deleted when the next one stands. Only
-    counts come to the driver."""
+    one row of it at most comes to the driver, to tell that it is not empty: without a shuffle."""
     edges, found = materialize(edges.select("a", "b").where("a <> b"), "edges"), None
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
@@ -45,7 +45,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         left = materialize(left.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "edges")
         drop_materialized(edges)
         edges = left
-        if not edges.limit(1).count():
+        if edges.isEmpty():
             drop_materialized(edges)
             return found
     raise RuntimeError(f"components did not settle in {rounds} rounds")
