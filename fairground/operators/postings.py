@@ -12,12 +12,17 @@ BUCKETS, PARTS, GRAM = 64, 8, 3
 
 
 def build(texts: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    """Write the index of texts (id, text) to folder: for each trigram and id where it stands, in folders by the
-    trigram's checksum. Ids are unique; texts of fewer than three characters and null ones have no postings."""
+    """Write the index of texts (id, text) to folder: for each trigram and text where it stands, in folders by the
+    trigram's checksum. Equal texts have postings once, under the least of their ids, and a list of their ids beside
+    them. Ids are unique; texts of fewer than three characters and null ones have no postings."""
+    held = texts.where(F.length("text") >= GRAM).select("id", "text")
+    held.groupBy("text").agg(F.min("id").alias("first")).write.parquet(f"{folder}/texts")
+    firsts = texts.sparkSession.read.parquet(f"{folder}/texts")
+    held.join(firsts, "text").select("first", "id").write.parquet(f"{folder}/ids")
     places = F.transform(F.sequence(F.lit(1), F.length("text") - GRAM + 1), lambda i: F.struct(F.substring(F.col("text"), i, F.lit(GRAM)).alias("gram"), i.alias("at")))
-    rows = texts.where(F.length("text") >= GRAM).select("id", F.explode(places).alias("x")).groupBy("id", F.col("x.gram").alias("gram")).agg(F.collect_list("x.at").alias("places"))
+    rows = firsts.select(F.col("first").alias("id"), F.explode(places).alias("x")).groupBy("id", F.col("x.gram").alias("gram")).agg(F.collect_list("x.at").alias("places"))
     rows = rows.withColumn("bucket", F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PARTS))).write.partitionBy("bucket").parquet(folder)
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PARTS))).write.partitionBy("bucket").parquet(f"{folder}/postings")
 
 
 def pieces(term: str) -> list[tuple[str, int]]:
@@ -36,12 +41,13 @@ def search(spark: SparkSession, folder: str, terms: list[str], buckets: int = BU
         raise ValueError("a search of the index has terms of three characters or more")
     wanted = [(n, gram, k) for n, term in enumerate(dict.fromkeys(terms)) for gram, k in pieces(term)]
     grams = sorted({gram for _, gram, _ in wanted})
-    kept = spark.read.parquet(folder).where(F.col("bucket").isin(sorted({zlib.crc32(g.encode()) % buckets for g in grams})) & F.col("gram").isin(grams))
+    kept = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(sorted({zlib.crc32(g.encode()) % buckets for g in grams})) & F.col("gram").isin(grams))
     asked = spark.createDataFrame(wanted, "term int, gram string, k int")
     asked = asked.join(asked.groupBy("term").agg(F.count("*").alias("pieces")), "term")
     starts = kept.join(F.broadcast(asked), "gram").select("id", "term", "pieces", F.explode("places").alias("at"), "k").groupBy("id", "term", "pieces", (F.col("at") - F.col("k")).alias("start")).agg(F.count("*").alias("met"))
     found = starts.where("met = pieces").select("id", "term").distinct()
-    return found.groupBy("id").agg(F.count("*").alias("terms")).where(F.col("terms") == len(set(terms))).select("id")
+    firsts = found.groupBy("id").agg(F.count("*").alias("terms")).where(F.col("terms") == len(set(terms))).select(F.col("id").alias("first"))
+    return spark.read.parquet(f"{folder}/ids").join(firsts, "first").select("id")
 
 
 def searched(events: DataFrame, text: Column, folder: str, terms: list[str], buckets: int = BUCKETS) -> DataFrame:

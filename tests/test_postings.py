@@ -39,3 +39,12 @@ def test_only_the_terms_folders_are_read(spark, texts):
     plan = found._jdf.queryExecution().executedPlan().toString()
     folders = sorted({zlib.crc32(g.encode()) % postings.BUCKETS for g, _ in postings.pieces("aab é")})
     assert re.search(r"PartitionFilters: \[.*bucket#\d+ IN \(" + ",".join(map(str, folders)) + r"\)", plan) and "PushedFilters: [In(gram" in plan
+
+
+def test_equal_texts_have_postings_once(spark, tmp_path):
+    df = spark.createDataFrame([(f"t{i:02d}", f"harbour jazz {i % 3}") for i in range(30)], "id string, text string")
+    folder = f"file://{tmp_path}/index"
+    postings.build(df, folder)
+    written = spark.read.parquet(f"{folder}/postings")
+    assert written.select("id").distinct().count() == 3
+    assert sorted(r["id"] for r in postings.search(spark, folder, ["jazz 1"]).collect()) == [f"t{i:02d}" for i in range(30) if i % 3 == 1]
