@@ -12,10 +12,14 @@ from .catalog import ORACLE, query
 from .queries_serving import with_places
 
 
+#: Columns that the conditions of a search look at besides its text.
+ASKED = ["active", "municipality_slug", "category", "cost", "source_slugs", "status", "local_date", "ends_at"]
+
+
 def _indexed(spark: SparkSession, sf_dir: str, asked: str) -> DataFrame:
     """The filtered search as fl.select() does it, with the index in place of looking into every text."""
     wanted = fl.Filters.parse(asked)
-    events = materialize(with_places(spark, sf_dir).withColumn("text", fl.search_text()), "events")
+    events = materialize(with_places(spark, sf_dir).select("id", *ASKED, fl.search_text().alias("text")), "events")
     folder = table_path(spark, "postings")
     postings.build(events.select("id", "text"), folder)
     found = postings.searched(events, F.col("text"), folder, fl.search_terms(wanted.search))
